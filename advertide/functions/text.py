@@ -35,6 +35,9 @@ PAGE_ENTITIES = (
     ("&gt;", ">"),
 )
 
+# A private-use character no text carries.
+MARK = "\ue000"
+
 LONGEST_SENTENCE = 320
 EXCERPT_RADIUS = 110
 
@@ -133,9 +136,9 @@ def feed_text(html: Column) -> Column:
         if entity != "&amp;":
             text = F.regexp_replace(text, f"(?i){entity}", character)
     # Ampersands last, by way of a private mark, so none decoded here is read twice.
-    text = F.regexp_replace(text, "(?i)&amp;", "")
+    text = F.regexp_replace(text, "(?i)&amp;", MARK)
     text = F.regexp_replace(text, "(?i)&[a-z#0-9]+;", " ")
-    return squeeze(F.translate(text, "", "&"))
+    return squeeze(F.translate(text, MARK, "&"))
 
 
 def page_entities(html: Column) -> Column:
