@@ -93,7 +93,7 @@ def period_start(day: Column, granularity: Column) -> Column:
     """The first day of the month, quarter or year a day lies in."""
     return (
         F.when(granularity == "MONTH", F.trunc(day, "MM"))
-        .when(granularity == "QUARTER", F.trunc(day, "Q"))
+        .when(granularity == "QUARTER", F.trunc(day, "QUARTER"))
         .when(granularity == "YEAR", F.trunc(day, "YEAR"))
     )
 

@@ -42,6 +42,11 @@ LONGEST_SENTENCE = 320
 EXCERPT_RADIUS = 110
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(text: Column) -> Column:
     """Runs of blanks become one space; none at either end."""
     return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
@@ -105,10 +110,13 @@ def _swap_numeric(text: Column, pattern: str, read) -> Column:
         named = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.concat(gap, F.when(named, _character(code)).otherwise(F.coalesce(entity, F.lit(""))))
 
-    gaps = F.split(text, pattern, -1)
-    entities = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    swapped = F.array_join(F.zip_with(gaps, entities, swap), "")
-    return F.when(text.rlike(pattern), swapped).otherwise(text)
+    def rewrite(text: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        entities = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        swapped = F.array_join(F.zip_with(gaps, entities, swap), "")
+        return F.when(text.rlike(pattern), swapped).otherwise(text)
+
+    return let(text, rewrite)
 
 
 def _decimal(digits: Column) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from advertide.functions.text import plain_text, quote, sentence_at, strip, word_key
+from advertide.functions.text import let, plain_text, quote, sentence_at, strip, word_key
 
 
 @dataclass(frozen=True)
@@ -152,29 +152,39 @@ def _negated(sentence: Column, start: Column, end: Column, pack: SignalPack) ->
     return before.rlike(pack.negators) | after.rlike(pack.negators)
 
 
+def _reader(sentence: Column, pack: SignalPack, tier_no: int, pattern_no: int):
+    """How a hit of one pattern is read: its weight, its place in the order met and its signal."""
+    tier = pack.tiers[tier_no]
+
+    def read(hit: Column) -> Column:
+        # The least struct is the highest rank, then the first met.
+        def place(refused: Column) -> Column:
+            return F.struct(
+                F.when(refused, -pack.refused_rank).otherwise(-tier.rank).alias("weight"),
+                F.lit(tier_no).alias("tier"),
+                F.lit(pattern_no).alias("pattern"),
+                hit["start"].alias("start"),
+                F.when(refused, pack.refused).otherwise(tier.signal).alias("signal"),
+                hit["phrase"].alias("phrase"),
+                hit["end"].alias("end"),
+            )
+
+        if tier.refusal:
+            return place(F.lit(True))
+        return let(_negated(sentence, hit["start"], hit["end"], pack), place)
+
+    return read
+
+
 def _readings(sentence: Column, pack: SignalPack) -> Column:
-    """Every match in one sentence with the signal it stands for and the order it was met in."""
-    parts = []
-    for tier_no, tier in enumerate(pack.tiers):
-        for pattern_no, pattern in enumerate(tier.patterns):
-
-            def read(hit: Column, tier=tier, tier_no=tier_no, pattern_no=pattern_no) -> Column:
-                refused = F.lit(tier.refusal) | _negated(sentence, hit["start"], hit["end"], pack)
-                rank = F.when(refused, pack.refused_rank).otherwise(tier.rank)
-                signal = F.when(refused, pack.refused).otherwise(tier.signal)
-                # The least key is the highest rank, then the first met.
-                return F.struct(
-                    (-rank).alias("weight"),
-                    F.lit(tier_no).alias("tier"),
-                    F.lit(pattern_no).alias("pattern"),
-                    hit["start"].alias("start"),
-                    signal.alias("signal"),
-                    hit["phrase"].alias("phrase"),
-                    hit["end"].alias("end"),
-                )
-
-            parts.append(F.transform(occurrences(sentence, pattern), read))
-    return F.concat(*parts)
+    """Every match in one sentence, read."""
+    return F.concat(
+        *[
+            F.transform(occurrences(sentence, pattern), _reader(sentence, pack, tier_no, pattern_no))
+            for tier_no, tier in enumerate(pack.tiers)
+            for pattern_no, pattern in enumerate(tier.patterns)
+        ]
+    )
 
 
 def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSHIP) -> Column:
@@ -188,22 +198,27 @@ def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSH
     sentences = F.regexp_extract_all(plain, F.lit(r"([^.!?]*[.!?]|[^.!?]+\z)"), F.lit(1))
 
     def judge(sentence: Column, position: Column) -> Column:
-        readings = _readings(sentence, pack)
-        first = F.array_min(
-            F.transform(readings, lambda r: F.struct(r["tier"], r["pattern"], position, r["start"]))
-        )
-        best = F.array_min(readings)
-        length = F.length(sentence)
-        return F.when(
-            F.size(readings) > 0,
-            F.struct(
-                first.alias("met"),
-                best["weight"].alias("weight"),
-                best["signal"].alias("signal"),
-                F.trim(best["phrase"]).alias("phrase"),
-                quote(sentence, F.lit(0), length, best["start"], best["end"]).alias("sentence"),
-            ),
-        )
+        def weigh(readings: Column) -> Column:
+            first = F.array_min(
+                F.transform(readings, lambda r: F.struct(r["tier"], r["pattern"], position, r["start"]))
+            )
+            return let(
+                F.array_min(readings),
+                lambda best: F.when(
+                    best.isNotNull(),
+                    F.struct(
+                        first.alias("met"),
+                        best["weight"].alias("weight"),
+                        best["signal"].alias("signal"),
+                        F.trim(best["phrase"]).alias("phrase"),
+                        quote(sentence, F.lit(0), F.length(sentence), best["start"], best["end"]).alias(
+                            "sentence"
+                        ),
+                    ),
+                ),
+            )
+
+        return let(_readings(sentence, pack), weigh)
 
     holding = F.filter(
         F.transform(
@@ -215,25 +230,32 @@ def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSH
     findings = F.array_sort(
         F.filter(F.transform(holding, lambda e: judge(e["s"], e["i"])), lambda f: f.isNotNull())
     )
-    # Weight is minus rank: a refusal is the least weight, the weakest wording the greatest.
-    weights = F.transform(findings, lambda f: f["weight"])
-    settled = F.when(F.array_min(weights) == -pack.refused_rank, F.array_min(weights)).otherwise(
-        F.array_max(weights)
-    )
-    spoken = F.filter(findings, lambda f: f["weight"] == settled)
-    evidence = F.transform(
-        spoken, lambda f: F.struct(f["phrase"].alias("phrase"), f["sentence"].alias("sentence"))
-    )
     none = F.array().cast("array<struct<phrase:string,sentence:string>>")
-    blank = text.isNull() | (strip(text) == "")
-    mentioned = F.contains(F.lower(text), F.lit(pack.keyword.lower()))
     quiet = F.when(is_excerpt, pack.partial).otherwise(pack.silent)
-    return F.struct(
-        F.when(blank, pack.partial)
-        .when(~mentioned, quiet)
-        .otherwise(F.coalesce(spoken[0]["signal"], quiet))
-        .alias("signal"),
-        F.when(blank | ~mentioned, none).otherwise(F.coalesce(evidence, none)).alias("evidence"),
+
+    def settle(found: Column) -> Column:
+        # Weight is minus rank: a refusal is the least weight, the weakest wording the greatest.
+        weights = F.transform(found, lambda f: f["weight"])
+        refused = F.array_min(weights) == -pack.refused_rank
+        settled = F.when(refused, F.array_min(weights)).otherwise(F.array_max(weights))
+        return let(
+            F.filter(found, lambda f: f["weight"] == settled),
+            lambda spoken: F.struct(
+                F.coalesce(F.try_element_at(spoken, F.lit(1))["signal"], quiet).alias("signal"),
+                F.transform(
+                    spoken,
+                    lambda f: F.struct(f["phrase"].alias("phrase"), f["sentence"].alias("sentence")),
+                ).alias("evidence"),
+            ),
+        )
+
+    def without(signal: Column) -> Column:
+        return F.struct(signal.alias("signal"), none.alias("evidence"))
+
+    return (
+        F.when(text.isNull() | (strip(text) == ""), without(F.lit(pack.partial)))
+        .when(~F.contains(F.lower(text), F.lit(pack.keyword.lower())), without(quiet))
+        .otherwise(let(findings, settle))
     )
 
 
@@ -285,22 +307,25 @@ def vocabulary_matches(
 ) -> Column:
     """array<struct(position, key, name, kind, matched_text, sentence)>, one per entry found."""
     joined = text if text is not None else combined_text(title, description)
+
+    def attacher(position: int, entry: Entry):
+        def attach(hit: Column) -> Column:
+            return F.struct(
+                F.lit(position).alias("position"),
+                F.lit(entry.key).alias("key"),
+                F.lit(entry.name).alias("name"),
+                F.lit(entry.kind).alias("kind"),
+                hit["wording"].alias("matched_text"),
+                sentence_at(joined, hit["start"], hit["end"]).alias("sentence"),
+            )
+
+        return attach
+
     found = []
     for position, entry in enumerate(vocabulary):
-        hit = _earliest(joined, entry)
-        found.append(
-            F.when(
-                hit.isNotNull() & ~own_name(entry.name, company),
-                F.struct(
-                    F.lit(position).alias("position"),
-                    F.lit(entry.key).alias("key"),
-                    F.lit(entry.name).alias("name"),
-                    F.lit(entry.kind).alias("kind"),
-                    hit["wording"].alias("matched_text"),
-                    sentence_at(joined, hit["start"], hit["end"]).alias("sentence"),
-                ),
-            )
-        )
+        present = joined.rlike("|".join(f"(?:{p})" for p in entry.patterns))
+        match = let(_earliest(joined, entry), attacher(position, entry))
+        found.append(F.when(present & ~own_name(entry.name, company), match))
     return F.filter(F.array(*found), lambda m: m.isNotNull())
 
 
