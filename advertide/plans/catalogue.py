@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from advertide.plans import listings, series  # noqa: F401
+from advertide.plans import areas, listings, series  # noqa: F401

@@ -160,8 +160,8 @@ select concat('job-', lpad(cast(d.doc_id as string), 12, '0')) as id, d.doc_id,
        case o.o_orderpriority when '1-URGENT' then 'FULL_TIME' when '2-HIGH' then 'PART_TIME'
             when '3-MEDIUM' then 'CONTRACT' end as employment_type,
        case d.doc_id % 5 when 0 then ' Permanent ' when 1 then 'CONTRACT' when 2 then '' when 3 then ' fixed Term' end as contract_type,
-       case when d.doc_id % 4 <> 1 then round(o.o_totalprice / 10, 2) end as salary_min,
-       case when d.doc_id % 6 <> 1 then round(o.o_totalprice / 8, 2) end as salary_max,
+       case when d.doc_id % 4 <> 1 then o.o_totalprice * 0.5 end as salary_min,
+       case when d.doc_id % 6 <> 1 then o.o_totalprice * 0.75 end as salary_max,
        case when d.doc_id % 5 <> 2 then 'AUD' end as salary_currency,
        case when d.doc_id % 9 <> 2 then 'YEAR' end as salary_period,
        case when d.doc_id % 7 <> 2 then 'REPORTED' end as salary_basis,
@@ -219,7 +219,72 @@ select event_id as error_id, event_id as run_id, concat('src', cast(user_id % 20
 from {events} where event_type = 'error' or (event_type = 'view' and event_id % 4 = 0)
 """
 
-_NAME = re.compile(r"\{(\w+)\}")
+# A registry whose codes are bare numbers: regions and nations share some, so those are ambiguous.
+VIEWS["numbered_area"] = """
+select cast(n_nationkey as string) as code, case when n_nationkey = 5 then 'New South Wales' else n_name end as name,
+       'SA4' as level from {nation}
+union all
+select cast(r_regionkey as string), r_name, 'STATE' from {region}
+"""
+
+VIEWS["stated_area"] = """
+select c_custkey as id,
+       case c_custkey % 5 when 0 then concat(' 0', cast(c_nationkey as string)) when 1 then cast(c_nationkey as string)
+            when 3 then '' when 4 then 'zz' end as stated_code,
+       case c_custkey % 4 when 0 then replace(n_name, '_', ' - ') when 1 then 'nsw' when 3 then 'nowhere' end as stated_name
+from {customer} join {nation} on c_nationkey = n_nationkey
+"""
+
+VIEWS["occupation"] = """
+select code, version, concat(code, '/', version) as occupation_id
+from (select distinct substr(p_brand, 7) as code from {part}) c
+join (values ('v1'), ('v2')) v(version) on version = 'v1' or cast(code as int) % 5 = 0
+"""
+
+# Portal names: every nation is an area, every region but one is known and no place.
+VIEWS["portal"] = """
+select lower(n_name) as portal_key, n_name as area_name from {nation} where n_nationkey % 6 <> 5
+union all
+select lower(r_name), cast(null as string) from {region} where r_name <> 'EUROPE'
+"""
+
+VIEWS["area_verdict"] = """
+select concat('N', cast(n_nationkey as string)) as code,
+       case n_nationkey % 4 when 0 then 'REGIONAL' when 1 then 'NOT_REGIONAL' else 'MIXED' end as status
+from {nation} where n_nationkey % 7 <> 6
+"""
+
+VIEWS["unit_area"] = """
+select place_id as unit, concat('N', cast(c_nationkey as string)) as area_code, n_name as area_name, state_code
+from {place} join {customer} on c_custkey = place_id join {nation} on c_nationkey = n_nationkey
+"""
+
+VIEWS["unit_postcode"] = "select place_id as unit, postcode from {place} where postcode is not null and postcode <> 'X12'"
+
+# A registry with every kind of fault in it.
+VIEWS["faulty_area"] = """
+select code, name, level, parent_code from {geography}
+union all
+select concat('N', cast(n_nationkey as string)), n_name, case when n_nationkey % 5 = 0 then 'GCCSA' else 'SA4' end, 'R1'
+from {nation} where n_nationkey % 10 = 0
+union all
+select concat('M', cast(n_nationkey as string)), n_name, 'SA4', case when n_nationkey % 2 = 0 then 'R9' end
+from {nation} where n_nationkey % 4 <> 1
+union all
+select concat('Q', cast(r_regionkey as string)), r_name, case when r_regionkey = 0 then 'PLANET' else 'STATE' end, 'V' from {region}
+union all
+select 'V', 'Void', 'COUNTRY', 'W' from {region} where r_regionkey = 0
+"""
+
+VIEWS["box"] = """
+select lpad(cast(n_nationkey as string), 4, '1') as polygon_id,
+       (n_nationkey % 5) * 0.1 - 0.25 as x0, (n_nationkey % 5) * 0.1 - 0.15 as x1,
+       floor(n_nationkey / 5) * 0.08 - 0.2 as y0, floor(n_nationkey / 5) * 0.08 - 0.12 as y1
+from {nation} where n_nationkey % 9 <> 4
+"""
+
+
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 def needs(sql: str) -> list[str]:
@@ -274,4 +339,6 @@ class Inputs:
         return self._frames[name]
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text, **{name: getattr(self, name) for name in needs(text)})
+        # Braces that name no table belong to the text itself.
+        literal = re.sub(r"\{(?![a-z]\w*\})", "{{", re.sub(r"(?<![a-z_0-9])\}", "}}", text))
+        return self.spark.sql(literal, **{name: getattr(self, name) for name in needs(text)})

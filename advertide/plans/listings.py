@@ -30,10 +30,10 @@ def b1(t: Inputs) -> DataFrame:
 
 @query(
     "b2_text_contains",
-    f"""select id from {{job}} where {VISIBLE} and (contains(lower(title), 'thion') or contains(lower(description), 'thion') or contains(lower(company_name), 'thion'))""",
+    f"""select id from {{job}} where {VISIBLE} and (contains(lower(title), 'and the') or contains(lower(description), 'and the') or contains(lower(company_name), 'and the'))""",
 )
 def b2(t: Inputs) -> DataFrame:
-    return found(t, text=" Thion ").select("id")
+    return found(t, text=" And The ").select("id")
 
 
 @query(
