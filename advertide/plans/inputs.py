@@ -170,12 +170,12 @@ select concat('job-', lpad(cast(d.doc_id as string), 12, '0')) as id, d.doc_id,
             when 2 then '[{"phrase":"p","context":"old"},{"phrase":1,"sentence":"s"},null,{"phrase":"q","sentence":"t"}]'
             when 3 then '{"phrase":"p"}'
             else '[{"phrase":"p","sentence":"s"}]' end as evidence
-from (select *, n_chars % (select count(*) from {customer}) as ck from {documents}) d
+from (select *, n_chars % (select count(*) from {customer}) as ck, n_chars % (select count(*) from {pages}) as pk from {documents}) d
 left join {customer} c on c.c_custkey = d.ck and d.n_chars % 11 <> 0
 left join {place} p on p.place_id = d.ck and d.n_chars % 13 <> 0
 left join {orders} o on o.o_orderkey = d.doc_id
 left join {labels} l on l.doc_id = d.doc_id
-left join {pages} g on g.page_id = d.doc_id
+left join {pages} g on g.page_id = d.pk and d.n_chars % 3 = 0
 """
 
 # Words of the driver's prose stand in for skills.
@@ -206,7 +206,7 @@ select event_id as run_id, concat('src', cast(user_id % 20 as string)) as source
             then ts + cast(floor(value) as int) * interval '1' minute end as finished_at,
        cast(floor(value * 10) as bigint) as records_seen,
        cast(floor(value * 8) as bigint) as records_written,
-       cast(floor(value * 10) as bigint) - cast(floor(value * 8) as bigint) - (event_id % 2) as records_skipped,
+       cast(floor(value * 10) as bigint) - cast(floor(value * 8) as bigint) - (event_id % 2) - case when event_id % 50 = 1 then 1 else 0 end as records_skipped,
        event_id % 2 as records_quarantined,
        props as checksum,
        case when event_type = 'error' then concat('failed: ', props) end as error
@@ -284,6 +284,44 @@ from {nation} where n_nationkey % 9 <> 4
 """
 
 
+# What an earlier run stored: labelled documents, some re-titled since, and chat turns no feed lists any more.
+VIEWS["stored_listing"] = """
+select d.source as source_key, concat('S', cast(d.doc_id as string)) as source_id,
+       case when l.quality = 0 then upper(split_part(d.text, chr(10), 1)) else split_part(d.text, chr(10), 1) end as title,
+       d.text as description, case when l.toxic = 1 then 'EXPIRED' else 'ACTIVE' end as status,
+       o.o_orderdate as last_seen_at, o.o_orderdate as last_verified_at,
+       case when l.toxic = 1 then o.o_orderdate end as expired_at
+from {documents} d join {labels} l on l.doc_id = d.doc_id left join {orders} o on o.o_orderkey = d.doc_id
+union all
+select 'chat', concat('C', cast(conv_id as string), '-', cast(turn as string)), role, text, 'ACTIVE',
+       o.o_orderdate, o.o_orderdate, cast(null as timestamp)
+from {conversations} left join {orders} o on o.o_orderkey = conv_id
+"""
+
+VIEWS["fed_listing"] = """
+select source as source_key, concat('S', cast(doc_id as string)) as source_id,
+       split_part(text, chr(10), 1) as title, text as description
+from {documents}
+"""
+
+# The observations of an earlier release: the same cells counted over settled line items only.
+VIEWS["stored_metric"] = """
+select concat('N', cast(s_nationkey as string), '|', substr(p_brand, 7)) as series_key,
+       make_date(year(l_shipdate), month(l_shipdate), 1) as period_start, cast(count(*) as double) as value, 'PRESENT' as value_state
+from {lineitem}
+join {part} on l_partkey = p_partkey
+join {supplier} on l_suppkey = s_suppkey
+where l_linestatus = 'F'
+group by 1, 2
+"""
+
+# Groups an earlier pass formed: one per text seen more than once, whatever its source.
+VIEWS["grouped_job"] = """
+select j.*, case when c.n > 1 or j.doc_id % 29 = 3 then concat('old:', cast(j.doc_id % 50 as string)) end as duplicate_group
+from {job} j join (select doc_id, count(*) over (partition by n_chars, lang) as n from {documents}) c on c.doc_id = j.doc_id
+"""
+
+
 _NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
