@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from advertide.functions.text import ascii_edges, let
+
 
 @dataclass(frozen=True)
 class Rule:
+    """A shape to replace; ``hints`` are texts of which every match holds at least one."""
+
     kind: str
     pattern: str
     placeholder: str
+    hints: tuple[str, ...] = ()
 
 
 # Address and Australian telephone shapes, applied in this order,
@@ -21,41 +27,52 @@ class Rule:
 EMAIL_MARK = "[email removed]"
 PHONE_MARK = "[phone number removed]"
 CONTACT_RULES = (
-    Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", EMAIL_MARK),
-    Rule("PHONE", r"(?<!\d)\+61[ ()\-.]?\d(?:[ ()\-.]?\d){8}(?!\d)", PHONE_MARK),
-    Rule("PHONE", r"\(0[2-8]\)[ \-.]?\d{4}[ \-.]?\d{4}(?!\d)", PHONE_MARK),
-    Rule("PHONE", r"(?<!\d)0[23478](?:[ \-.]?\d){8}(?!\d)", PHONE_MARK),
-    Rule("PHONE", r"(?<!\d)1[38]00[ \-.]?\d{3}[ \-.]?\d{3}(?!\d)", PHONE_MARK),
-    Rule("PHONE", r"(?<!\d)13[ \-.]?\d{2}[ \-.]?\d{2}(?![ \-.]?\d)", PHONE_MARK),
+    Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", EMAIL_MARK, ("@",)),
+    Rule("PHONE", r"(?<!\d)\+61[ ()\-.]?\d(?:[ ()\-.]?\d){8}(?!\d)", PHONE_MARK, ("+61",)),
+    Rule("PHONE", r"\(0[2-8]\)[ \-.]?\d{4}[ \-.]?\d{4}(?!\d)", PHONE_MARK, ("(0",)),
+    Rule("PHONE", r"(?<!\d)0[23478](?:[ \-.]?\d){8}(?!\d)", PHONE_MARK, ("02", "03", "04", "07", "08")),
+    Rule("PHONE", r"(?<!\d)1[38]00[ \-.]?\d{3}[ \-.]?\d{3}(?!\d)", PHONE_MARK, ("1300", "1800")),
+    Rule("PHONE", r"(?<!\d)13[ \-.]?\d{2}[ \-.]?\d{2}(?![ \-.]?\d)", PHONE_MARK, ("13",)),
 )
 
 
-def _possible(text: Column) -> Column:
-    """A cheap test every rule's match must pass, so clean text skips the patterns."""
-    return F.contains(text, F.lit("@")) | text.rlike(r"\d[ ()\-.]?\d")
+def _hinted(text: Column, rule: Rule) -> Column:
+    """Whether a rule is worth running, by plain search."""
+    if not rule.hints:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(hint)) for hint in rule.hints])
+
+
+def _apply(text: Column, rule: Rule) -> Column:
+    replaced = F.regexp_replace(text, ascii_edges(rule.pattern), rule.placeholder)
+    return F.when(_hinted(text, rule), replaced).otherwise(text)
 
 
 def redact(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:
     """Text with every contact detail replaced by its placeholder."""
     out = text
     for rule in rules:
-        out = F.regexp_replace(out, rule.pattern, rule.placeholder)
-    return F.when(_possible(text), out).otherwise(text)
+        out = let(out, _step(rule))
+    return out
+
+
+def _step(rule: Rule):
+    return lambda seen: _apply(seen, rule)
 
 
 def removals(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:
-    """How many details ``redact`` takes out."""
-    total = F.lit(0)
-    seen = text
-    for rule in rules:
-        total = total + F.regexp_count(seen, F.lit(rule.pattern))
-        seen = F.regexp_replace(seen, rule.pattern, rule.placeholder)
-    return F.when(_possible(text), total).otherwise(F.when(text.isNotNull(), F.lit(0))).cast("bigint")
+    """How many details ``redact`` takes out: placeholders it leaves beyond those already there."""
+    marks = list(dict.fromkeys(rule.placeholder for rule in rules))
+
+    def standing(of: Column) -> Column:
+        cut = [F.length(of) - F.length(F.replace(of, F.lit(m), F.lit(m[1:]))) for m in marks]
+        return reduce(lambda a, b: a + b, cut)
+
+    return (let(redact(text, rules), standing) - standing(text)).cast("bigint")
 
 
 def has_contact(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:
     """True where at least one rule matches; no replacement is needed to know."""
-    found = F.lit(False)
-    for rule in rules:
-        found = found | text.rlike(rule.pattern)
-    return _possible(text) & found
+    return reduce(
+        lambda a, b: a | b, [_hinted(text, rule) & text.rlike(ascii_edges(rule.pattern)) for rule in rules]
+    )

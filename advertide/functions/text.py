@@ -42,6 +42,25 @@ LONGEST_SENTENCE = 320
 EXCERPT_RADIUS = 110
 
 
+# A word edge between ASCII word characters and anything else. Java's own \\b takes
+# accented letters for word characters on some releases and not on others.
+WORD_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """A pattern whose word edges mean the same on every Java release."""
+    return pattern.replace(r"\b", WORD_EDGE)
+
+
+def shadow(text: Column) -> Column:
+    """The text with every letter, digit and mark outside ASCII blotted out, character for character.
+
+    Patterns run on the shadow, where the plain word edge is an ASCII one, and
+    their positions hold in the text itself.
+    """
+    return F.regexp_replace(text, r"[\p{L}\p{N}\p{M}&&[^\x00-\x7f]]", "•")
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value worked out once, however often the body names it."""
     return F.transform(F.array(value), body)[0]

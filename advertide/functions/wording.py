@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advertide.functions.text import let, plain_text, quote, sentence_at, strip, word_key
+from advertide.functions.text import let, plain_text, quote, sentence_at, shadow, strip, word_key
 
 
 @dataclass(frozen=True)
@@ -122,25 +122,20 @@ def _split_flags(pattern: str) -> tuple[str, str]:
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    """array<struct(start, end, phrase)> of every match, 0-based, in order."""
+    """array<struct(start, end)> of every match, 0-based, in order."""
     flags, body = _split_flags(pattern)
     # Each hit is taken with the gap before it, so positions are plain running sums.
     paired = f"{flags}([\\s\\S]*?)({body})"
     gaps = F.regexp_extract_all(text, F.lit(paired), F.lit(1))
     phrases = F.regexp_extract_all(text, F.lit(paired), F.lit(2))
     lengths = F.zip_with(
-        gaps, phrases, lambda gap, phrase: F.struct(F.length(gap).alias("gap"), phrase.alias("phrase"))
+        gaps, phrases, lambda gap, phrase: F.struct(F.length(gap).alias("gap"), F.length(phrase).alias("phrase"))
     )
-    empty = F.array().cast("array<struct<start:int,end:int,phrase:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def extend(done: Column, hit: Column) -> Column:
         start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + hit["gap"]
-        placed = F.struct(
-            start.alias("start"),
-            (start + F.length(hit["phrase"])).alias("end"),
-            hit["phrase"].alias("phrase"),
-        )
-        return F.concat(done, F.array(placed))
+        return F.concat(done, F.array(F.struct(start.alias("start"), (start + hit["phrase"]).alias("end"))))
 
     return F.when(text.rlike(pattern), F.aggregate(lengths, empty, extend)).otherwise(empty)
 
@@ -165,7 +160,6 @@ def _reader(sentence: Column, pack: SignalPack, tier_no: int, pattern_no: int):
                 F.lit(pattern_no).alias("pattern"),
                 hit["start"].alias("start"),
                 F.when(refused, pack.refused).otherwise(tier.signal).alias("signal"),
-                hit["phrase"].alias("phrase"),
                 hit["end"].alias("end"),
             )
 
@@ -193,11 +187,16 @@ def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSH
     The firmest wording of a sentence speaks for it, the weakest sentence speaks
     for the text, and one refusal settles it.
     """
-    plain = plain_text(text)
     # A terminator closes a sentence, so the pieces are exactly the sentences.
-    sentences = F.regexp_extract_all(plain, F.lit(r"([^.!?]*[.!?]|[^.!?]+\z)"), F.lit(1))
+    pieces = lambda whole: F.regexp_extract_all(whole, F.lit(r"([^.!?]*[.!?]|[^.!?]+\z)"), F.lit(1))
+    sentences = let(
+        plain_text(text),
+        lambda plain: F.zip_with(
+            pieces(plain), pieces(shadow(plain)), lambda s, dark: F.struct(s.alias("s"), dark.alias("dark"))
+        ),
+    )
 
-    def judge(sentence: Column, position: Column) -> Column:
+    def judge(sentence: Column, dark: Column, position: Column) -> Column:
         def weigh(readings: Column) -> Column:
             first = F.array_min(
                 F.transform(readings, lambda r: F.struct(r["tier"], r["pattern"], position, r["start"]))
@@ -210,7 +209,7 @@ def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSH
                         first.alias("met"),
                         best["weight"].alias("weight"),
                         best["signal"].alias("signal"),
-                        F.trim(best["phrase"]).alias("phrase"),
+                        F.trim(F.substring(sentence, best["start"] + 1, best["end"] - best["start"])).alias("phrase"),
                         quote(sentence, F.lit(0), F.length(sentence), best["start"], best["end"]).alias(
                             "sentence"
                         ),
@@ -218,17 +217,21 @@ def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSH
                 ),
             )
 
-        return let(_readings(sentence, pack), weigh)
+        return let(_readings(dark, pack), weigh)
 
+    keyword = F.lit(pack.keyword.lower())
     holding = F.filter(
         F.transform(
             sentences,
-            lambda s, i: F.when(F.contains(F.lower(s), F.lit(pack.keyword.lower())), F.struct(s.alias("s"), i.alias("i"))),
+            lambda e, i: F.when(
+                F.contains(F.lower(e["s"]), keyword),
+                F.struct(e["s"].alias("s"), e["dark"].alias("dark"), i.alias("i")),
+            ),
         ),
         lambda e: e.isNotNull(),
     )
     findings = F.array_sort(
-        F.filter(F.transform(holding, lambda e: judge(e["s"], e["i"])), lambda f: f.isNotNull())
+        F.filter(F.transform(holding, lambda e: judge(e["s"], e["dark"], e["i"])), lambda f: f.isNotNull())
     )
     none = F.array().cast("array<struct<phrase:string,sentence:string>>")
     quiet = F.when(is_excerpt, pack.partial).otherwise(pack.silent)
@@ -261,31 +264,88 @@ def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSH
 
 @dataclass(frozen=True)
 class Entry:
-    """One vocabulary entry: any of the patterns attaches it."""
+    """One vocabulary entry: any of the patterns attaches it.
+
+    ``hints`` are lower-case texts of which any match holds at least one; a text
+    without them is not searched. Without hints every text is.
+    """
 
     name: str
     key: str
     kind: str
     patterns: tuple[str, ...]
-
-
-def _earliest(text: Column, entry: Entry) -> Column:
-    """struct(start, order, end, wording) of the first match of an entry, null when absent."""
+    hints: tuple[str, ...] = ()
+
+
+# The skill vocabulary, in the order skills are listed.
+SKILLS = (
+    Entry("AHPRA registration", "ahpra-registration", "CERTIFICATION", (r"(?i)\bAHPRA\b", r"(?i)\bAustralian Health Practitioner Regulation Agency\b"), ("ahpra", "health practitioner")),
+    Entry(
+        "Working with Children Check", "working-with-children-check", "CERTIFICATION",
+        (
+            r"(?i)\bblue card\b",
+            r"\bWWCC\b",
+            r"(?i)\bworking with children(?:'?s)? (?:check|card|clearance|screening)\b",
+            r"(?i)\bworking with children\b[^.!?]{0,12}\bblue\b",
+        ),
+        ("blue card", "wwcc", "with children"),
+    ),
+    Entry(
+        "Driver's licence", "drivers-licence", "CERTIFICATION",
+        (
+            r"(?i)\b(?:driver'?s?|drivers) (?:licence|license)\b",
+            r"""(?i)\b(?:open )?["'“‘]?C["'”’]? ?class (?:driver'?s? )?(?:licence|license)\b""",
+            r"(?i)\bclass C \(car\)",
+        ),
+        ("licence", "license", "class c"),
+    ),
+    Entry("Criminal history check", "criminal-history-check", "CERTIFICATION", (r"(?i)\b(?:criminal history|police|national police) (?:check|clearance|screening)\b",), ("check", "clearance", "screening")),
+    Entry("First aid certificate", "first-aid-certificate", "CERTIFICATION", (r"(?i)\bfirst aid\b",), ("first aid",)),
+    Entry("Forklift licence", "forklift-licence", "CERTIFICATION", (r"(?i)\bforklift\b",), ("forklift",)),
+    Entry("NDIS Worker Screening Check", "ndis-worker-screening-check", "CERTIFICATION", (r"(?i)\bNDIS worker(?:s)? (?:screening|check)\b",), ("ndis",)),
+    Entry("Responsible Service of Alcohol", "responsible-service-of-alcohol", "CERTIFICATION", (r"(?i)\bresponsible service of alcohol\b", r"\bRSA\b"), ("alcohol", "rsa")),
+    Entry("Yellow Card", "yellow-card", "CERTIFICATION", (r"(?i)\byellow card\b",), ("yellow card",)),
+    Entry("CPR certificate", "cpr-certificate", "CERTIFICATION", (r"\bCPR\b", r"(?i)\bcardiopulmonary resuscitation\b"), ("cpr", "cardiopulmonary")),
+    Entry(
+        "Heavy vehicle licence", "heavy-vehicle-licence", "CERTIFICATION",
+        (r"\b(?:HR|MR|HC|MC) (?:class )?(?:truck )?(?:licence|license)\b", r"(?i)\bheavy (?:rigid|combination) (?:licence|license)\b"),
+        ("licence", "license"),
+    ),
+    Entry("Construction White Card", "construction-white-card", "CERTIFICATION", (r"(?i)\bwhite card\b", r"(?i)\bconstruction induction (?:card|training)\b"), ("white card", "induction")),
+    Entry(
+        "Microsoft Excel", "microsoft-excel", "TOOL",
+        (
+            r"(?i)\bmicrosoft excel\b",
+            r"(?i)\bMS ?Excel\b",
+            r"(?i)\bexcel\b(?=[^.!?]{0,60}\b(?:word|outlook|powerpoint|spreadsheets?|microsoft|office)\b)",
+            r"(?i)\b(?:word|outlook|powerpoint|spreadsheets?|microsoft|office)\b[^.!?]{0,60}\bexcel\b",
+        ),
+        ("excel",),
+    ),
+    Entry("Microsoft Office", "microsoft-office", "TOOL", (r"(?i)\bmicrosoft office\b", r"(?i)\bMS ?Office\b", r"(?i)\bOffice 365\b"), ("office",)),
+    Entry("SAP", "sap", "TOOL", (r"\bSAP\b",), ("sap",)),
+    Entry("ServiceNow", "servicenow", "TOOL", (r"(?i)\bServiceNow\b",), ("servicenow",)),
+    Entry("Power BI", "power-bi", "TOOL", (r"(?i)\bpower ?BI\b",), ("power",)),
+    Entry("Microsoft Azure", "microsoft-azure", "TOOL", (r"(?i)\bAzure\b",), ("azure",)),
+    Entry("Salesforce", "salesforce", "TOOL", (r"(?i)\bSalesforce\b",), ("salesforce",)),
+    Entry("Amazon Web Services", "amazon-web-services", "TOOL", (r"\bAWS\b", r"(?i)\bAmazon Web Services\b"), ("aws", "amazon")),
+    Entry("SQL", "sql", "TECHNICAL", (r"\bSQL\b",), ("sql",)),
+    Entry("Python", "python", "TECHNICAL", (r"\bPython\b",), ("python",)),
+)
+
+
+def _earliest(dark: Column, entry: Entry) -> Column:
+    """struct(start, order, end) of the first match of an entry, null when absent."""
     hits = []
     for order, pattern in enumerate(entry.patterns):
         flags, body = _split_flags(pattern)
         anchored = f"{flags}^([\\s\\S]*?)({body})"
-        start = F.length(F.regexp_extract(text, anchored, 1))
-        wording = F.regexp_extract(text, anchored, 2)
+        start = F.length(F.regexp_extract(dark, anchored, 1))
+        length = F.length(F.regexp_extract(dark, anchored, 2))
         hits.append(
             F.when(
-                text.rlike(pattern),
-                F.struct(
-                    start.alias("start"),
-                    F.lit(order).alias("order"),
-                    (start + F.length(wording)).alias("end"),
-                    F.trim(wording).alias("wording"),
-                ),
+                dark.rlike(pattern),
+                F.struct(start.alias("start"), F.lit(order).alias("order"), (start + length).alias("end")),
             )
         )
     return F.array_min(F.array(*hits))
@@ -298,37 +358,53 @@ def own_name(entry_name: str, company: Column) -> Column:
     return F.coalesce((word_key(F.lit(entry_name)) != "") & F.contains(padded, words), F.lit(False))
 
 
-def vocabulary_matches(
-    title: Column,
-    description: Column,
-    company: Column,
-    vocabulary: tuple[Entry, ...],
-    text: Column | None = None,
-) -> Column:
-    """array<struct(position, key, name, kind, matched_text, sentence)>, one per entry found."""
-    joined = text if text is not None else combined_text(title, description)
+def _attacher(joined: Column, position: int, entry: Entry):
+    def attach(hit: Column) -> Column:
+        wording = F.substring(joined, hit["start"] + 1, hit["end"] - hit["start"])
+        return F.struct(
+            F.lit(position).alias("position"),
+            F.lit(entry.key).alias("key"),
+            F.lit(entry.name).alias("name"),
+            F.lit(entry.kind).alias("kind"),
+            F.trim(wording).alias("matched_text"),
+            sentence_at(joined, hit["start"], hit["end"]).alias("sentence"),
+        )
+
+    return attach
 
-    def attacher(position: int, entry: Entry):
-        def attach(hit: Column) -> Column:
-            return F.struct(
-                F.lit(position).alias("position"),
-                F.lit(entry.key).alias("key"),
-                F.lit(entry.name).alias("name"),
-                F.lit(entry.kind).alias("kind"),
-                hit["wording"].alias("matched_text"),
-                sentence_at(joined, hit["start"], hit["end"]).alias("sentence"),
-            )
 
-        return attach
+def vocabulary_matches(
+    joined: Column, dark: Column, lowered: Column, company: Column, vocabulary: tuple[Entry, ...]
+) -> Column:
+    """array<struct(position, key, name, kind, matched_text, sentence)>, one per entry found.
 
+    ``joined`` is the text, ``dark`` its shadow and ``lowered`` the lower-case shadow.
+    """
     found = []
     for position, entry in enumerate(vocabulary):
-        present = joined.rlike("|".join(f"(?:{p})" for p in entry.patterns))
-        match = let(_earliest(joined, entry), attacher(position, entry))
+        present = dark.rlike("|".join(f"(?:{p})" for p in entry.patterns))
+        if entry.hints:
+            hinted = F.contains(lowered, F.lit(entry.hints[0]))
+            for hint in entry.hints[1:]:
+                hinted = hinted | F.contains(lowered, F.lit(hint))
+            present = hinted & present
+        match = let(_earliest(dark, entry), _attacher(joined, position, entry))
         found.append(F.when(present & ~own_name(entry.name, company), match))
     return F.filter(F.array(*found), lambda m: m.isNotNull())
 
 
+def with_vocabulary(jobs: DataFrame, vocabulary: tuple[Entry, ...]) -> DataFrame:
+    """Advertisements with their vocabulary matches; each text is joined, blotted and lowered once."""
+    joined, dark, lowered = F.col("joined_text"), F.col("dark_text"), F.col("lowered_text")
+    return (
+        jobs.withColumn("joined_text", combined_text(F.col("title"), F.col("description")))
+        .withColumn("dark_text", shadow(joined))
+        .withColumn("lowered_text", F.lower(dark))
+        .withColumn("found", vocabulary_matches(joined, dark, lowered, F.col("company_name"), vocabulary))
+        .drop("joined_text", "dark_text", "lowered_text")
+    )
+
+
 def combined_text(title: Column, description: Column) -> Column:
     """Title and description as one plain text with a sentence break between them."""
     return plain_text(F.concat(title, F.lit(" . "), F.coalesce(description, F.lit(""))))

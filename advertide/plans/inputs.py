@@ -145,7 +145,7 @@ select concat('job-', lpad(cast(d.doc_id as string), 12, '0')) as id, d.doc_id,
        split_part(d.text, chr(10), 1) as title,
        case when d.doc_id % 19 <> 7 then d.text end as description,
        d.doc_id % 3 = 0 as description_is_excerpt,
-       c.c_name as company_name, p.place_id, p.raw_text as location_text, p.state_code, p.postcode,
+       case when c.c_custkey % 5 = 0 then concat('The ', c.c_name) else c.c_name end as company_name, p.place_id, p.raw_text as location_text, p.state_code, p.postcode,
        p.regional_status, p.regional_category, p.regional_basis, p.postcode_source,
        g.url as apply_url, g.url as source_url,
        case when d.doc_id % 17 <> 5 then o.o_orderdate end as posted_at,
@@ -322,12 +322,35 @@ from {job} j join (select doc_id, count(*) over (partition by n_chars, lang) as
 """
 
 
+# Figures with every fault a check looks for: negatives, and states that disagree with their figure.
+VIEWS["faulty_metric"] = """
+select concat('c', cast(c_custkey as string)) as id, case when c_custkey % 11 <> 3 then c_acctbal - 1000 end as value,
+       case c_custkey % 4 when 0 then 'PRESENT' when 1 then 'SUPPRESSED' when 2 then 'PRESENT' end as value_state,
+       c_nationkey as geo, c_mktsegment as measure, case when c_custkey % 2 = 0 then c_custkey % 3 end as occ
+from {customer}
+"""
+
+VIEWS["faulty_summary"] = """
+select concat('s', cast(s_suppkey as string)) as id, s_acctbal - 500 as value from {supplier}
+"""
+
+VIEWS["faulty_occupation"] = """
+select cast(p_partkey as string) as id, case when p_size % 10 = 0 then '' else 'v1' end as version,
+       case when p_size % 7 = 0 then '' else p_name end as name from {part}
+"""
+
+
 _NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 def needs(sql: str) -> list[str]:
-    """Names a text refers to, each once, in order."""
-    return list(dict.fromkeys(_NAME.findall(sql)))
+    """Tables and views a text refers to, each once, in order."""
+    return [n for n in dict.fromkeys(_NAME.findall(sql)) if n in VIEWS or n in TABLES]
+
+
+def named(sql: str) -> str:
+    """The text with tables and views named plainly; other braces are its own."""
+    return _NAME.sub(lambda m: m.group(1) if m.group(1) in VIEWS or m.group(1) in TABLES else m.group(0), sql)
 
 
 def oracle_text(body: str) -> str:
@@ -342,10 +365,10 @@ def oracle_text(body: str) -> str:
 
     for name in needs(body):
         visit(name)
-    plain = _NAME.sub(lambda m: m.group(1), body).strip()
+    plain = named(body).strip()
     if not order:
         return plain
-    parts = [f"{n} as ({_NAME.sub(lambda m: m.group(1), VIEWS[n]).strip()})" for n in order]
+    parts = [f"{n} as ({named(VIEWS[n]).strip()})" for n in order]
     if plain.lower().startswith("with "):
         return "with " + ",\n".join(parts) + ",\n" + plain[5:]
     return "with " + ",\n".join(parts) + "\n" + plain
@@ -378,5 +401,8 @@ class Inputs:
 
     def sql(self, text: str) -> DataFrame:
         # Braces that name no table belong to the text itself.
-        literal = re.sub(r"\{(?![a-z]\w*\})", "{{", re.sub(r"(?<![a-z_0-9])\}", "}}", text))
-        return self.spark.sql(literal, **{name: getattr(self, name) for name in needs(text)})
+        used = needs(text)
+        literal = text.replace("{", "{{").replace("}", "}}")
+        for name in used:
+            literal = literal.replace("{{" + name + "}}", "{" + name + "}")
+        return self.spark.sql(literal, **{name: getattr(self, name) for name in used})
