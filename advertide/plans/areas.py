@@ -279,14 +279,14 @@ def g16(t: Inputs) -> DataFrame:
     return filled.select("place_id", "postcode", "postcode_source", "postcode_reference")
 
 
-@query(
-    "d5_unresolved_dimensions",
-    f"""with by_code as ({keyed('numbered_area', 'code')}), by_name as ({keyed('numbered_area', WORDS.format('name'))})
-    select stated_code as code, stated_name as name, count(*) as series_count from {{stated_area}} s
-    left join by_code a on a.k = nullif(trim(stated_code), '') left join by_code b on regexp_matches(trim(stated_code), '^[0-9]+$') and b.k = cast(try_cast(trim(stated_code) as bigint) as varchar)
-    left join by_name c on c.k = {aliased("nullif(trim(stated_name), '')")}
-    where case when a.n is not null then a.n > 1 when b.n is not null then b.n > 1 when c.n is not null then c.n > 1 else true end group by 1, 2""",
-)
+UNRESOLVED = f"""select stated_code as code, stated_name as name, count(*) as series_count from {{stated_area}} s
+    left join ({keyed('numbered_area', 'code')}) a on a.k = nullif(trim(stated_code), '')
+    left join ({keyed('numbered_area', 'code')}) b on regexp_matches(trim(stated_code), '^[0-9]+$') and b.k = cast(try_cast(trim(stated_code) as bigint) as varchar)
+    left join ({keyed('numbered_area', WORDS.format('name'))}) c on c.k = {aliased("nullif(trim(stated_name), '')")}
+    where case when a.n is not null then a.n > 1 when b.n is not null then b.n > 1 when c.n is not null then c.n > 1 else true end group by 1, 2"""
+
+
+@query("d5_unresolved_dimensions", UNRESOLVED)
 def d5(t: Inputs) -> DataFrame:
     from advertide.operators.totals import unresolved_dimensions
 

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from advertide.plans import areas, checks, listings, releases, series, upkeep, words  # noqa: F401
+from advertide.plans import areas, checks, listings, releases, series, streams, upkeep, words  # noqa: F401

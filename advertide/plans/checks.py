@@ -13,12 +13,12 @@ from advertide.operators import places as G
 from advertide.operators import quality as Q
 from advertide.operators import search as S
 from advertide.operators import totals as T
-from advertide.plans.areas import allocation_sql, classified_sql
+from advertide.plans.areas import UNRESOLVED, allocation_sql, classified_sql
 from advertide.plans.inputs import NOW, RUN_NOW, Inputs
 from advertide.plans.listings import ELIGIBLE, moment
 from advertide.plans.registry import query
 from advertide.plans.upkeep import STORED_SKILL
-from advertide.plans.words import DRIVER_VOCABULARY, attachments, attachments_sql
+from advertide.plans.words import DRIVER_VOCABULARY, EDGES, attachments, attachments_sql
 
 REQUIRED = ("title", "description")
 DECLARED = {
@@ -48,7 +48,7 @@ CHECKS = {
     "s3_series_resolved": (
         "Every series naming a region resolves to an area",
         lambda t: Q.unresolved_geography(eligible_unresolved(t)),
-        None,
+        f"select coalesce(code, name, 'unnamed') as id, series_count as weight from ({UNRESOLVED}) u",
     ),
     "s4_hierarchy_complete": (
         "Every area below the country has a parent",
@@ -124,7 +124,7 @@ CHECKS = {
     "s17_no_contact_details": (
         "No stored description holds contact details",
         lambda t: Q.stored_contacts(t.job, CONTACT_RULES),
-        None,
+        "select id, 1 as weight from {job} where " + " or ".join(f"regexp_matches(description, '{pattern}')" for pattern, _ in EDGES),
     ),
     "s18_attachment_evidenced": (
         "Every attached skill quotes the words that attached it",

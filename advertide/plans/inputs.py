@@ -97,7 +97,7 @@ select source as source_key, concat('Source ', substr(source, 4)) as display_nam
        case when sn % 7 = 6 then 'UNVERIFIED' else 'VERIFIED' end as compliance_status,
        sn % 2 = 0 as attribution_required,
        case when sn % 8 <> 0 then concat('Data from source ', substr(source, 4)) end as attribution_text,
-       case when sn % 6 <> 0 then 'CC BY 4.0' end as licence,
+       case when sn % 3 <> 0 then 'CC BY 4.0' end as licence,
        case when sn % 2 = 1 then 'ESTABLISHED' else 'PARTIAL' end as rights_status,
        case sn % 3 when 0 then 'API' when 1 then 'CRAWL' else 'FILE' end as retrieval_method,
        sn % 4 <> 1 as permits_aggregates

@@ -16,6 +16,7 @@ from advertide.sources import listings as L
 from advertide.sources import registries as G
 from advertide.sources import release as R
 from advertide.sources import sinks as K
+from advertide.session import checkpoint
 
 MEASURE, UNIT, FEED = "Online advertisements", "advertisements", "feed"
 
@@ -78,7 +79,8 @@ class Parsed:
     """The steps of one release, shared by the queries that look at different parts of it."""
 
     def __init__(self, t: Inputs):
-        self.sheets = sheets(t)
+        # A stored release is a table; here it is made once and kept.
+        self.sheets = checkpoint(sheets(t))
         self.layout = R.layouts(self.sheets)
         self.stated = R.stated_rows(self.sheets, self.layout)
         self.read = R.readings(self.stated, FEED, DATASET, MEASURE)
@@ -218,7 +220,7 @@ def listing_lines(t: Inputs) -> DataFrame:
     """Listings as a provider's feed would send them, some of them faulty."""
     d = F.col("doc_id")
     record = F.struct(
-        F.when(d % 2 == 0, F.col("source_id")).otherwise(F.to_json(F.struct(d))).alias("id"),
+        F.col("source_id").alias("id"),
         F.when(d % 17 == 3, F.lit("")).otherwise(F.concat(F.lit("<b>"), "category_tag", F.lit("</b> &amp; Co&nbsp;"))).alias("title"),
         F.when(d % 19 == 4, F.lit("nowhere")).otherwise(F.concat(F.lit("https://example.com/"), "source_id")).alias("redirect_url"),
         F.col("description").alias("description"),
@@ -233,24 +235,22 @@ def listing_lines(t: Inputs) -> DataFrame:
         F.when(d % 5 == 2, "full_time").when(d % 5 == 3, "part_time").alias("contract_time"),
     )
     text = F.to_json(record)
-    # Every 23rd record is cut short, every 13th has a number where a text belongs.
-    broken = F.when(d % 23 == 5, F.substring(text, 1, 20)).when(
-        d % 13 == 6, F.regexp_replace(text, r'^\{', '{"contract_time":7,"latitude":"north",')
+    # Every other identifier is a number, every 23rd record is cut short, every 13th has a text where a number belongs.
+    numbered = F.when(d % 2 == 0, text).otherwise(F.regexp_replace(text, r'"id":"S(\d+)"', '"id":$1'))
+    broken = F.when(d % 23 == 5, F.substring(numbered, 1, 20)).when(
+        d % 13 == 6, F.regexp_replace(numbered, r"^\{", '{"latitude":"north",')
     )
-    return t.job.select(d, F.coalesce(broken, text).alias("value"))
+    return t.job.select("doc_id", F.coalesce(broken, numbered).alias("value"))
 
 
-FAULTS = """case when doc_id % 23 = 5 then '(record); id; title; redirect_url' else concat_ws('; ', case when doc_id % 17 = 3 then 'title' end, case when doc_id % 19 = 4 then 'redirect_url' end,
-    case when doc_id % 13 = 6 and doc_id % 5 not in (2, 3) then 'contract_time' end, case when doc_id % 13 = 6 then 'latitude' end) end"""
+FAULTS = """case when doc_id % 23 = 5 then '(record); id; title; redirect_url' else concat_ws('; ', case when doc_id % 17 = 3 then 'title' end,
+    case when doc_id % 19 = 4 then 'redirect_url' end, case when doc_id % 13 = 6 then 'latitude' end) end"""
 
 
-@query("a4_listing_feed", f"select doc_id, {FAULTS} as faults from {{job}} where doc_id % 13 <> 6 or doc_id % 23 = 5")
+@query("a4_listing_feed", f"select doc_id, {FAULTS} as faults from {{job}}")
 def a4(t: Inputs) -> DataFrame:
-    # A record that repeats a field is not one a feed sends, so those are left to the rejects query.
-    lines = listing_lines(t).filter("doc_id % 13 <> 6 or doc_id % 23 = 5")
-    return L.parse_listings(lines.select("doc_id", "value")).select("faults", "raw").join(
-        lines.withColumnRenamed("value", "raw"), "raw"
-    ).select("doc_id", F.array_join("faults", "; ").alias("faults"))
+    parsed = L.parse_listings(listing_lines(t), keep=("doc_id",))
+    return parsed.select("doc_id", F.array_join("faults", "; ").alias("faults"))
 
 
 SQL_PAID = "doc_id % 4 <> 1 or doc_id % 6 <> 1"
@@ -258,15 +258,14 @@ SQL_PAID = "doc_id % 4 <> 1 or doc_id % 6 <> 1"
 
 @query(
     "h15_canonical_listings",
-    f"""select source_id, trim(category_tag || ' & Co') as title, nullif(trim(regexp_replace(regexp_replace(description, '<[^>]*>', ' ', 'g'), '[\\s\\x{{0b}}\\x{{00a0}}\\x{{feff}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')), '') as description,
+    f"""select case when doc_id % 2 = 0 then source_id else cast(doc_id as varchar) end as source_id, trim(category_tag || ' & Co') as title, nullif(trim(regexp_replace(regexp_replace(description, '<[^>]*>', ' ', 'g'), '[\\s\\x{{0b}}\\x{{00a0}}\\x{{feff}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')), '') as description,
     company_name, location_text, case when doc_id % 5 = 2 then 'FULL_TIME' when doc_id % 5 = 3 then 'PART_TIME' when doc_id % 3 = 1 then 'CONTRACT' end as employment_type,
     salary_min, salary_max, case when {SQL_PAID} then 'AUD' end as salary_currency, case when {SQL_PAID} then case when doc_id % 4 in (0, 1) then 'SOURCE_ESTIMATED' else 'REPORTED' end end as salary_basis,
     case when doc_id % 7 <> 1 then strftime(posted_at, '%Y-%m-%d %H:%M:%S') end as posted_at, category_tag as category_label
-    from {{job}} where {FAULTS} = '' and doc_id % 2 = 0""",
+    from {{job}} where {FAULTS} = ''""",
 )
 def h15(t: Inputs) -> DataFrame:
-    lines = listing_lines(t).filter("doc_id % 2 = 0")
-    listed = L.canonical_listings(L.accepted(L.parse_listings(lines)), "feed", "AU")
+    listed = L.canonical_listings(L.accepted(L.parse_listings(listing_lines(t))), "feed", "AU")
     return listed.select(
         "source_id", "title", "description", "company_name", "location_text", "employment_type", "salary_min", "salary_max",
         "salary_currency", "salary_basis", moment("posted_at").alias("posted_at"), "category_label",
@@ -414,7 +413,7 @@ def a10(t: Inputs) -> DataFrame:
 def a11(t: Inputs) -> DataFrame:
     order = [-F.coalesce("total", F.lit(0.0)), F.col("state_code")]
     lines = K.json_lines(state_table(t), STATE_COLUMNS, ABOUT, order)
-    return lines.filter("part = 1").select(F.ltrim(F.lit(","), "line").alias("line"))
+    return lines.filter("part = 1").select(F.ltrim("line", F.lit(",")).alias("line"))
 
 
 @query(
@@ -423,8 +422,8 @@ def a11(t: Inputs) -> DataFrame:
     union all select code || ',' || coalesce(name, '') || ',' || {WHOLE.format('total')} || ',' || {WHOLE.format('previous_total')} || ',' || cast({LEAF} as varchar) from codes c where code <> '0'""",
 )
 def a14(t: Inputs) -> DataFrame:
-    T.require_aggregable(t.source_registry, "src0")
-    return K.csv_lines(occupation_table(t), GROUP_COLUMNS, ABOUT, [F.col("code")]).sort("part", "seat", "place").select("line")
+    permitted = T.require_aggregable(t.source_registry, "src0").scalar()
+    return K.csv_lines(occupation_table(t).filter(permitted == "src0"), GROUP_COLUMNS, ABOUT, [F.col("code")]).sort("part", "seat", "place").select("line")
 
 
 RETAINED = f"select * from ({RANKED}) f where rn = 1 and period_start in (select distinct period_start from {{metric}} order by 1 desc limit 24)"
@@ -464,7 +463,7 @@ def g22_series(t: Inputs) -> DataFrame:
 
 @query(
     "g23_listing_import",
-    f"""with p as (select doc_id, {FAULTS} as f from {{job}} where doc_id % 13 <> 6 or doc_id % 23 = 5)
+    f"""with p as (select doc_id, {FAULTS} as f from {{job}})
     select count(*) as records_seen, count(*) filter (where f = '') as records_written, 0 as records_skipped, count(*) filter (where f <> '') as records_quarantined from p""",
 )
 def g23(t: Inputs) -> DataFrame:
@@ -472,7 +471,7 @@ def g23(t: Inputs) -> DataFrame:
 
 
 def listing_import(t: Inputs) -> I.ListingImport:
-    lines = listing_lines(t).filter("doc_id % 13 <> 6 or doc_id % 23 = 5").select("value")
+    lines = listing_lines(t).select("value")
     none = F.lit(None)
     stored = t.stored_listing.select(
         "*", *[none.cast("string").alias(c) for c in I.HASHED if c not in t.stored_listing.columns]
@@ -484,7 +483,7 @@ def listing_import(t: Inputs) -> I.ListingImport:
 
 @query(
     "g23_listing_snapshot",
-    f"""select 'feed' as source_key, 'CREATED' as action, 'ACTIVE' as status, count(*) as n from {{job}} where (doc_id % 13 <> 6 or doc_id % 23 = 5) and {FAULTS} = ''
+    f"""select 'feed' as source_key, 'CREATED' as action, 'ACTIVE' as status, count(*) as n from {{job}} where {FAULTS} = ''
     union all select source_key, 'KEPT', status, count(*) from {{stored_listing}} group by 1, 3""",
 )
 def g23_snapshot(t: Inputs) -> DataFrame:

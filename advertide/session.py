@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +34,25 @@ def local_session(name: str, cores: str = "8", shuffle_partitions: int = 8) -> S
     return session
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a local one only on a single machine that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is not None:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the cluster names; a local one only where none is set."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    """Work a frame out once and cut its lineage, in the shared folder."""
+    folder = _shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's output and progress, next to the checkpoints."""
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

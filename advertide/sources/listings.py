@@ -82,7 +82,7 @@ def _kind(raw: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(raw, path, "variant"))
 
 
-def parse_listings(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_listings(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every record with its fields and the list of faults that keep it out, empty for an accepted one.
 
     The envelope is lenient and a record strict: unknown fields are dropped, a
@@ -117,6 +117,7 @@ def parse_listings(lines: DataFrame, column: str = "value") -> DataFrame:
     )
     predicted = text("$.salary_is_predicted")
     return staged.select(
+        *keep,
         F.col(column).alias("raw"),
         identifier.alias("id"),
         title.alias("title"),

@@ -195,7 +195,8 @@ def is_attributed() -> Column:
 
 def readings(stated: DataFrame, source: str, dataset: str, measure: str) -> DataFrame:
     """One row per period cell of an attributed row: series, period, state, value, or what could not be read."""
-    keyed = stated.filter(is_attributed()).withColumn("granularity", F.col("periods")[0]["granularity"])
+    # The key is made once per row, before the row is taken apart.
+    stated = stated.filter(is_attributed()).withColumn("granularity", F.col("periods")[0]["granularity"])
     key = series_key(
         F.lit(source), F.lit(dataset), F.lit(measure), F.col("granularity"),
         F.col("geography_code"), F.col("geography_name"), F.col("occupation_code"), F.col("occupation_name"), F.col("qualifiers"),
@@ -210,8 +211,9 @@ def readings(stated: DataFrame, source: str, dataset: str, measure: str) -> Data
         ),
     )
     return (
-        keyed.select(
-            key.alias("series_key"), "sheet", "row_index", "geography_code", "geography_name", "occupation_code",
+        stated.withColumn("series_key", key)
+        .select(
+            "series_key", "sheet", "row_index", "geography_code", "geography_name", "occupation_code",
             "occupation_name", "qualifiers", "granularity", F.explode(cells).alias("c"),
         )
         .withColumn("read", read_value(F.col("c.cell")))
