@@ -14,7 +14,7 @@ from advertide.operators.places import resolve_geography, resolve_occupation
 from advertide.operators.totals import keep_recent
 from advertide.sources import listings as L
 from advertide.sources import release as R
-from advertide.session import checkpoint
+from advertide.session import stage
 
 MOST_QUARANTINED = 500
 LARGEST_RATE = 0.05
@@ -47,7 +47,7 @@ def import_release(
     layout = R.layouts(sheets)
     stated = R.stated_rows(sheets, layout)
     # Four results are drawn from the readings, so the sheets are parsed once and kept.
-    read = checkpoint(R.readings(stated, source, dataset, measure))
+    read = stage(R.readings(stated, source, dataset, measure), "readings")
     first = R.first_readings(read)
     repeated = R.repeats(read, first)
     problems = R.problems(stated, read, repeated)
@@ -116,7 +116,7 @@ def import_listings(
 ) -> ListingImport:
     """A feed read, rejects set aside, contact details removed, merged by content hash and the unseen expired."""
     # Accepted rows, rejects and both dimensions come from one staged parse.
-    parsed = checkpoint(L.parse_listings(lines))
+    parsed = stage(L.parse_listings(lines), "listings")
     fed = L.canonical_listings(L.accepted(parsed), source, country).withColumn("description", redact(F.col("description")))
     merged = M.upsert_listings(stored, fed, HASHED, now)
     current = M.expire_unseen(merged, source, now, expire_after_days, walk_complete)

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from advertide.session import stage
+
 TABLES = (
     "region",
     "nation",
@@ -374,10 +376,11 @@ def oracle_text(body: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + plain
 
 
-# Counted cells stand for the stored observation table every series report reads.
-# Their number is places x codes x months however many line items there are, so
-# they are kept once built; a lost executor only means counting them again.
-KEPT = ("cell",)
+# The observation table every series report reads. It is places x codes x months
+# rows however many line items there are. A session writes it once, as the import
+# of a release would; every query then reads it as a table.
+STORED = ("metric",)
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Inputs:
@@ -396,9 +399,15 @@ class Inputs:
                 self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
                 frame = self.sql(VIEWS[name])
-                self._frames[name] = frame.persist() if name in KEPT else frame
+                self._frames[name] = self._stored(name, frame) if name in STORED else frame
         return self._frames[name]
 
+    def _stored(self, name: str, frame: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STAGED:
+            _STAGED[key] = stage(frame, name)
+        return _STAGED[key]
+
     def sql(self, text: str) -> DataFrame:
         # Braces that name no table belong to the text itself.
         used = needs(text)

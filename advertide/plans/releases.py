@@ -16,7 +16,7 @@ from advertide.sources import listings as L
 from advertide.sources import registries as G
 from advertide.sources import release as R
 from advertide.sources import sinks as K
-from advertide.session import checkpoint
+from advertide.session import stage
 
 MEASURE, UNIT, FEED = "Online advertisements", "advertisements", "feed"
 
@@ -80,7 +80,7 @@ class Parsed:
 
     def __init__(self, t: Inputs):
         # A stored release is a table; here it is made once and kept.
-        self.sheets = checkpoint(sheets(t))
+        self.sheets = stage(sheets(t), "sheets")
         self.layout = R.layouts(self.sheets)
         self.stated = R.stated_rows(self.sheets, self.layout)
         self.read = R.readings(self.stated, FEED, DATASET, MEASURE)

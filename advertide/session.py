@@ -45,14 +45,32 @@ def _shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Work a frame out once and cut its lineage, in the shared folder."""
-    folder = _shared_folder(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's output and progress, next to the checkpoints."""
     return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Work a frame out once: written as a table in the shared folder and read from there.
+
+    Later readers get pruned columns and true sizes, and a lost executor costs
+    nothing that was worked out before.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Inputs up to this size may hold fewer row groups than there are cores.
+SMALL_INPUT = 1 << 30
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out over the cores before heavy work per row.
+
+    A large input is left as it is: it has row groups enough, and moving it
+    would cost more than it gains.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
