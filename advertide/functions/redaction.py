@@ -1,4 +1,4 @@
-"""Contact details out of stored text: ordered replacement with counted removals."""
+"""Contact details out of stored text: spans found rule by rule, spliced out and counted."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from advertide.functions.text import ascii_edges, let
+from advertide.functions.text import ascii_edges, let, occurrences
 
 
 @dataclass(frozen=True)
@@ -22,8 +22,7 @@ class Rule:
 
 
 # Address and Australian telephone shapes, applied in this order,
-# and the words that stand in for them. No placeholder holds a digit or an at
-# sign, so a later rule can never match inside an earlier replacement.
+# and the words that stand in for them.
 EMAIL_MARK = "[email removed]"
 PHONE_MARK = "[phone number removed]"
 CONTACT_RULES = (
@@ -43,32 +42,55 @@ def _hinted(text: Column, rule: Rule) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(hint)) for hint in rule.hints])
 
 
-def _apply(text: Column, rule: Rule) -> Column:
-    replaced = F.regexp_replace(text, ascii_edges(rule.pattern), rule.placeholder)
-    return F.when(_hinted(text, rule), replaced).otherwise(text)
+def _spans(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """array<struct(start, end, mark)> to take out, in text order.
 
+    Every rule reads the text as it came, so what stands beside a match is never
+    a placeholder; a match that overlaps an earlier rule's is left out.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,mark:string>>")
 
-def redact(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:
-    """Text with every contact detail replaced by its placeholder."""
-    out = text
-    for rule in rules:
-        out = let(out, _step(rule))
-    return out
+    def marked(rule: Rule) -> Column:
+        hits = F.transform(
+            occurrences(text, ascii_edges(rule.pattern)),
+            lambda hit: F.struct(hit["start"].alias("start"), hit["end"].alias("end"), F.lit(rule.placeholder).alias("mark")),
+        )
+        return F.when(_hinted(text, rule), hits).otherwise(empty)
 
+    def take(taken: Column, hit: Column) -> Column:
+        overlaps = F.exists(taken, lambda other: (hit["start"] < other["end"]) & (hit["end"] > other["start"]))
+        return F.when(overlaps, taken).otherwise(F.concat(taken, F.array(hit)))
 
-def _step(rule: Rule):
-    return lambda seen: _apply(seen, rule)
+    return F.array_sort(F.aggregate(F.concat(*[marked(rule) for rule in rules]), empty, take))
 
 
-def removals(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:
-    """How many details ``redact`` takes out: placeholders it leaves beyond those already there."""
-    marks = list(dict.fromkeys(rule.placeholder for rule in rules))
+def redaction(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:
+    """struct(text, removals): contact details replaced by their placeholders, and how many were."""
+
+    def splice(spans: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+        def step(done: Column, span: Column) -> Column:
+            kept = F.substring(text, done["at"] + 1, span["start"] - done["at"])
+            return F.struct(F.concat(done["out"], kept, span["mark"]).alias("out"), span["end"].alias("at"))
+
+        def close(done: Column) -> Column:
+            return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+        return F.struct(
+            F.aggregate(spans, start, step, close).alias("text"), F.size(spans).cast("bigint").alias("removals")
+        )
 
-    def standing(of: Column) -> Column:
-        cut = [F.length(of) - F.length(F.replace(of, F.lit(m), F.lit(m[1:]))) for m in marks]
-        return reduce(lambda a, b: a + b, cut)
+    untouched = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("removals"))
+    return F.when(has_contact(text, rules), let(_spans(text, rules), splice)).otherwise(untouched)
 
-    return (let(redact(text, rules), standing) - standing(text)).cast("bigint")
+
+def redact(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:
+    return redaction(text, rules)["text"]
+
+
+def removals(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:
+    return redaction(text, rules)["removals"]
 
 
 def has_contact(text: Column, rules: tuple[Rule, ...] = CONTACT_RULES) -> Column:

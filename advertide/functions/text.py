@@ -66,6 +66,25 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def split_flags(pattern: str) -> tuple[str, str]:
+    return ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+
+
+def occurrences(text: Column, pattern: str) -> Column:
+    """array<struct(start, end)> of every match, 0-based, in order."""
+    # The pieces between matches and the matches themselves alternate, so positions are running sums.
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hit: F.length(hit))
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def extend(done: Column, pair: Column) -> Column:
+        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + pair["gap"]
+        return F.concat(done, F.array(F.struct(start.alias("start"), (start + pair["hit"]).alias("end"))))
+
+    return F.when(text.rlike(pattern), F.aggregate(lengths, empty, extend)).otherwise(empty)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of blanks become one space; none at either end."""
     return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))

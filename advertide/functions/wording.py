@@ -11,7 +11,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advertide.functions.text import let, plain_text, quote, sentence_at, shadow, strip, word_key
+from advertide.functions.text import (
+    let,
+    occurrences,
+    plain_text,
+    quote,
+    sentence_at,
+    shadow,
+    split_flags,
+    strip,
+    word_key,
+)
 
 
 @dataclass(frozen=True)
@@ -117,29 +127,6 @@ SPONSORSHIP = SignalPack(
 )
 
 
-def _split_flags(pattern: str) -> tuple[str, str]:
-    return ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-
-
-def occurrences(text: Column, pattern: str) -> Column:
-    """array<struct(start, end)> of every match, 0-based, in order."""
-    flags, body = _split_flags(pattern)
-    # Each hit is taken with the gap before it, so positions are plain running sums.
-    paired = f"{flags}([\\s\\S]*?)({body})"
-    gaps = F.regexp_extract_all(text, F.lit(paired), F.lit(1))
-    phrases = F.regexp_extract_all(text, F.lit(paired), F.lit(2))
-    lengths = F.zip_with(
-        gaps, phrases, lambda gap, phrase: F.struct(F.length(gap).alias("gap"), F.length(phrase).alias("phrase"))
-    )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def extend(done: Column, hit: Column) -> Column:
-        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + hit["gap"]
-        return F.concat(done, F.array(F.struct(start.alias("start"), (start + hit["phrase"]).alias("end"))))
-
-    return F.when(text.rlike(pattern), F.aggregate(lengths, empty, extend)).otherwise(empty)
-
-
 def _negated(sentence: Column, start: Column, end: Column, pack: SignalPack) -> Column:
     low = F.greatest(F.lit(0), start - pack.before)
     before = F.regexp_extract(F.substring(sentence, low + 1, start - low), r"([^.;:!?]*)\z", 1)
@@ -338,7 +325,7 @@ def _earliest(dark: Column, entry: Entry) -> Column:
     """struct(start, order, end) of the first match of an entry, null when absent."""
     hits = []
     for order, pattern in enumerate(entry.patterns):
-        flags, body = _split_flags(pattern)
+        flags, body = split_flags(pattern)
         anchored = f"{flags}^([\\s\\S]*?)({body})"
         start = F.length(F.regexp_extract(dark, anchored, 1))
         length = F.length(F.regexp_extract(dark, anchored, 2))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from advertide.functions.redaction import CONTACT_RULES, Rule, redact, removals
+from advertide.functions.redaction import CONTACT_RULES, Rule, redaction
 
 CREATED, UPDATED, UNCHANGED, KEPT = "CREATED", "UPDATED", "UNCHANGED", "KEPT"
 WRITTEN = (CREATED, UPDATED)
@@ -178,8 +178,11 @@ def key_differences(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFr
 
 def redaction_sweep(jobs: DataFrame, column: str = "description", rules: tuple[Rule, ...] = CONTACT_RULES) -> DataFrame:
     """Stored text with contact details removed and how many were."""
-    return jobs.withColumn("removals", F.coalesce(removals(F.col(column), rules), F.lit(0))).withColumn(
-        column, redact(F.col(column), rules)
+    return (
+        jobs.withColumn("redaction", redaction(F.col(column), rules))
+        .withColumn(column, F.col("redaction.text"))
+        .withColumn("removals", F.coalesce("redaction.removals", F.lit(0)))
+        .drop("redaction")
     )
 
 

@@ -158,7 +158,9 @@ REDACTED = f"""select doc_id, text, after, length(replace(after, '{R.EMAIL_MARK}
 @query("h5_contact_redaction", f"select doc_id, after as text, removals, removals > 0 as has_contact from ({REDACTED}) r")
 def h5(t: Inputs) -> DataFrame:
     text = F.col("text")
-    return spread_small(t.sql(CONTACTED)).select("doc_id", R.redact(text).alias("text"), R.removals(text).alias("removals"), R.has_contact(text).alias("has_contact"))
+    return spread_small(t.sql(CONTACTED)).select("doc_id", R.redaction(text).alias("r"), R.has_contact(text).alias("has_contact")).select(
+        "doc_id", "r.text", "r.removals", "has_contact"
+    )
 
 
 @query("g14_redaction_sweep", f"select count(*) as examined, count(*) filter (where removals > 0) as rewritten, cast(sum(removals) as bigint) as removals from ({REDACTED}) r")
