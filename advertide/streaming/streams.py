@@ -27,9 +27,12 @@ def read_stream(spark: SparkSession, path: str, schema, name_pattern: str, files
 
 
 def first_sightings(stream: DataFrame, event_time: str, delay: str, hashed: list[str]) -> DataFrame:
-    """Each version of a listing once within the watermark, whatever number of times the feed repeats it."""
-    marked = stream.withColumn("content_hash", M.content_hash(*hashed))
-    return marked.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([*KEYS, "content_hash"])
+    """Each version of a listing once a day, whatever number of times the feed repeats it.
+
+    The day is part of the key: a listing seen again tomorrow renews its sighting.
+    """
+    marked = stream.withColumn("content_hash", M.content_hash(*hashed)).withColumn("seen_on", F.to_date(event_time))
+    return marked.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([*KEYS, "content_hash", "seen_on"])
 
 
 def current_listings(log: DataFrame) -> DataFrame:
