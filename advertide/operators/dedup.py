@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advertide.functions.text import dash_key, empty_to_null, url_key, word_key
+from advertide.session import stage
 
 BY_URL, BY_IDENTITY = "CANONICAL_URL", "IDENTITY_TRIPLE"
 
@@ -72,7 +73,8 @@ def _join_key(signature: str, claimed: Column | None = None) -> Column:
 
 def duplicate_members(jobs: DataFrame) -> DataFrame:
     """(id, source_key, signature, confidence, canonical_id, members, is_canonical) of every grouped row."""
-    candidates = with_signatures(jobs)
+    # Three passes look at the signatures, one pass at the texts they come from.
+    candidates = stage(with_signatures(jobs), "signatures")
     first = candidates.withColumn("u_key", _join_key("url_sig")).join(_groups(candidates, "url_sig", "u"), "u_key", "left")
     claimed = F.col("u_canonical").isNotNull()
     rest = first.filter(~claimed)

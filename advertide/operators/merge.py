@@ -70,28 +70,48 @@ def outcome(merged: DataFrame) -> DataFrame:
     )
 
 
-def upsert_listings(stored: DataFrame, incoming: DataFrame, hashed: list[str], now: str) -> DataFrame:
-    """Listings merged by content hash; every listing seen again is live and confirmed now."""
-    keys = ["source_key", "source_id"]
+LISTING_KEYS = ["source_key", "source_id"]
+
+
+def listing_changes(known: DataFrame, incoming: DataFrame, hashed: list[str], now: str) -> DataFrame:
+    """Every listing of a feed as created, updated or unchanged, live and confirmed now.
+
+    ``known`` is thin: the keys and ``content_hash`` of what is stored. No stored
+    text is read or moved to tell what changed.
+    """
     fresh = incoming.withColumn("content_hash", content_hash(*hashed))
-    once = one_per_key(fresh, keys, ["content_hash"])
-    known = stored.withColumn("content_hash", content_hash(*hashed))
-    merged = merge(known, once, keys, ["content_hash"])
-    content = [c for c in hashed if c not in keys] + ["content_hash"]
-    seen = F.col("action") != KEPT
+    once = one_per_key(fresh, LISTING_KEYS, ["content_hash"])
+    held = known.select(*LISTING_KEYS, F.col("content_hash").alias("held_hash"), F.lit(True).alias("is_held"))
+    action = (
+        F.when(F.col("is_held").isNull(), CREATED)
+        .when(F.col("held_hash").eqNullSafe(F.col("content_hash")), UNCHANGED)
+        .otherwise(UPDATED)
+    )
     at = F.lit(now).cast("timestamp_ntz")
-    written = F.col("action").isin(*WRITTEN)
-    return merged.select(
-        *keys,
-        "action",
-        *[F.when(written, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in content],
-        F.when(seen, "ACTIVE").otherwise(F.col("old.status")).alias("status"),
-        F.when(seen, at).otherwise(F.col("old.last_seen_at")).alias("last_seen_at"),
-        F.when(seen, at).otherwise(F.col("old.last_verified_at")).alias("last_verified_at"),
-        F.when(~seen, F.col("old.expired_at")).alias("expired_at"),
+    return once.join(held, LISTING_KEYS, "left").select(
+        *LISTING_KEYS,
+        action.alias("action"),
+        *[c for c in hashed if c not in LISTING_KEYS],
+        "content_hash",
+        F.lit("ACTIVE").alias("status"),
+        at.alias("last_seen_at"),
+        at.alias("last_verified_at"),
+        F.lit(None).cast("timestamp_ntz").alias("expired_at"),
     )
 
 
+def upsert_listings(stored: DataFrame, incoming: DataFrame, hashed: list[str], now: str) -> DataFrame:
+    """The whole table after a feed: its listings as changed, all others as stored.
+
+    Stored rows meet the feed's keys only, so a feed small enough to broadcast
+    leaves the table where it lies.
+    """
+    known = stored.withColumn("content_hash", content_hash(*hashed))
+    changes = listing_changes(known, incoming, hashed, now)
+    untouched = known.join(incoming.select(*LISTING_KEYS).distinct(), LISTING_KEYS, "left_anti")
+    return changes.unionByName(untouched.withColumn("action", F.lit(KEPT)).select(*changes.columns))
+
+
 def merge_observations(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Observations by series and period, written only where the state or the value differs."""
     return merge(stored, incoming, ["series_key", "period_start"], ["value_state", "value"])

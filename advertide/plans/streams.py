@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from advertide.operators import merge as M
 from advertide.plans.inputs import NOW, Inputs
 from advertide.plans.listings import moment
 from advertide.plans.registry import query
@@ -23,7 +24,7 @@ def streamed(t: Inputs, table: str) -> DataFrame:
 )
 def t1(t: Inputs) -> DataFrame:
     log, rejects, progress = (work_folder(t.spark, name) for name in ("log", "rejects", "progress"))
-    stored = t.stored_listing.withColumn("action", F.lit("CREATED")).withColumn("content_hash", F.lit(None).cast("string"))
+    stored = t.stored_listing.withColumn("action", F.lit("CREATED")).withColumn("content_hash", M.content_hash(*HASHED))
     stored.write.parquet(f"{log}/batch=-1")
     feed = streamed(t, "documents").select(
         F.col("source").alias("source_key"),

@@ -42,6 +42,11 @@ def current_listings(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEYS).agg(last).select(*KEYS, "last.*")
 
 
+def current_hashes(log: DataFrame) -> DataFrame:
+    """Keys and content hashes a change log has reached; no other column of it is read."""
+    return log.groupBy(*KEYS).agg(F.max_by("content_hash", "batch").alias("content_hash"))
+
+
 def compact(log: DataFrame, batch: int) -> DataFrame:
     """A log with every key once, as of a batch; published to a new folder in place of the older ones."""
     return current_listings(log.filter(F.col("batch") <= batch)).withColumn("batch", F.lit(batch).cast("bigint"))
@@ -65,9 +70,8 @@ def upsert_into(log: str, rejects: str, hashed: list[str], fault: Column, now: C
             _write_batch(judged.filter(F.col("fault").isNotNull()).select(*KEYS, F.col("fault").alias("message")), rejects, batch)
             accepted = judged.filter(F.col("fault").isNull()).select(*hashed)
             # Changes of this very batch are left out, so a repeated batch sees what it saw before.
-            stored = current_listings(spark.read.parquet(log).filter(F.col("batch") < batch))
-            merged = M.upsert_listings(stored, accepted, hashed, now(batch))
-            _write_batch(merged.filter(F.col("action") != M.KEPT), log, batch)
+            known = current_hashes(spark.read.parquet(log).filter(F.col("batch") < batch))
+            _write_batch(M.listing_changes(known, accepted, hashed, now(batch)), log, batch)
         finally:
             judged.unpersist()
 

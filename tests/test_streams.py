@@ -3,6 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from advertide.operators import merge as M
 from advertide.streaming import streams as Z
 
 AT = datetime.datetime
@@ -23,7 +24,7 @@ def test_upsert_stream(spark):
     start = spark.createDataFrame(
         [("s", "1", "old", "d", "ACTIVE"), ("s", "9", "gone", "d", "ACTIVE")], "source_key string, source_id string, title string, description string, status string"
     ).select(
-        "*", F.lit("CREATED").alias("action"), F.lit(None).cast("string").alias("content_hash"),
+        "*", F.lit("CREATED").alias("action"), M.content_hash(*HASHED).alias("content_hash"),
         *[F.lit(None).cast("timestamp_ntz").alias(c) for c in ("last_seen_at", "last_verified_at", "expired_at")],
     )
     start.write.parquet(f"{log}/batch=-1")
