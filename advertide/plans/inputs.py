@@ -46,7 +46,7 @@ select 'W' as code, 'World' as name, 'COUNTRY' as level, cast(null as string) as
        cast(null as string) as change_label
 from {region} group by 1
 union all
-select concat('R', cast(r_regionkey as string)), r_name, 'STATE', 'W', 'E1', true,
+select concat('R', cast(r_regionkey as string)), r_name, 'STATE', case when r_regionkey >= 0 then 'W' end, 'E1', true,
        1000.5 * (r_regionkey + 1), case when r_regionkey % 2 = 0 then 'No change' end
 from {region}
 union all
@@ -238,9 +238,9 @@ from {customer} join {nation} on c_nationkey = n_nationkey
 """
 
 VIEWS["occupation"] = """
-select code, version, concat(code, '/', version) as occupation_id
-from (select distinct substr(p_brand, 7) as code from {part}) c
-join (values ('v1'), ('v2')) v(version) on version = 'v1' or cast(code as int) % 5 = 0
+select distinct substr(p_brand, 7) as code, 'v1' as version, concat(substr(p_brand, 7), '/v1') as occupation_id from {part}
+union all
+select distinct substr(p_brand, 7), 'v2', concat(substr(p_brand, 7), '/v2') from {part} where cast(substr(p_brand, 7) as int) % 5 = 0
 """
 
 # Portal names: every nation is an area, every region but one is known and no place.
@@ -267,7 +267,8 @@ VIEWS["unit_postcode"] = "select place_id as unit, postcode from {place} where p
 VIEWS["faulty_area"] = """
 select code, name, level, parent_code from {geography}
 union all
-select concat('N', cast(n_nationkey as string)), n_name, case when n_nationkey % 5 = 0 then 'GCCSA' else 'SA4' end, 'R1'
+select concat('N', cast(n_nationkey as string)), n_name, case when n_nationkey % 5 = 0 then 'GCCSA' else 'SA4' end,
+       case when n_nationkey >= 0 then 'R1' end
 from {nation} where n_nationkey % 10 = 0
 union all
 select concat('M', cast(n_nationkey as string)), n_name, 'SA4', case when n_nationkey % 2 = 0 then 'R9' end

@@ -293,7 +293,7 @@ SITE = "https://portal.example/tools/"
 
 @query(
     "a5_result_pages",
-    f"""select page_id, 1002 as total, cast(page_id as varchar) as reference, 'Officer ' || page_id || ', R&D' as title, 'Dept of ' || page_id as employer, 'Temporary Full-time' as employment_text,
+    f"""select page_id, cast(1002 as bigint) as total, cast(page_id as varchar) as reference, 'Officer ' || page_id || ', R&D' as title, 'Dept of ' || page_id as employer, 'Temporary Full-time' as employment_text,
       'Gold Coast|Wide Bay|Flexible' as localities, 'Line–one two' as excerpt, '{SITE}jncustomsearch.viewFullSingle?in_organid=1&in_jnCounter=' || page_id as detail_url from {{pages}}
     union all select page_id, 1002, 'ref-' || page_id, 'Officer ' || page_id || ', R&D', 'Dept of ' || page_id, null, '', null, 'https://portal.example/jobs/ref-' || page_id || '?x=1' from {{pages}}""",
 )
@@ -355,7 +355,7 @@ def a7(t: Inputs) -> DataFrame:
 @query(
     "a8_feature_registry",
     """select 'N' || n_nationkey as code, n_name as name, 'SA4' as level, case when n_nationkey % 4 <> 0 then 'R' || n_regionkey end as parent_code, n_nationkey % 6 <> 0 as has_geometry,
-    case when n_nationkey % 5 <> 0 then n_nationkey + 0.5 end as area_sq_km, case when n_nationkey % 3 = 1 then 'New' end as change_label from {nation}""",
+    case when n_nationkey % 5 <> 0 then cast(n_nationkey + 0.5 as double) end as area_sq_km, case when n_nationkey % 3 = 1 then 'New' end as change_label from {nation}""",
 )
 def a8(t: Inputs) -> DataFrame:
     k = F.col("n_nationkey")
@@ -464,7 +464,7 @@ def g22_series(t: Inputs) -> DataFrame:
 @query(
     "g23_listing_import",
     f"""with p as (select doc_id, {FAULTS} as f from {{job}})
-    select count(*) as records_seen, count(*) filter (where f = '') as records_written, 0 as records_skipped, count(*) filter (where f <> '') as records_quarantined from p""",
+    select count(*) as records_seen, count(*) filter (where f = '') as records_written, cast(0 as bigint) as records_skipped, count(*) filter (where f <> '') as records_quarantined from p""",
 )
 def g23(t: Inputs) -> DataFrame:
     return listing_import(t).counts
