@@ -385,8 +385,8 @@ def e6(t: Inputs) -> DataFrame:
 
 @query(
     "e7_position_in_ranking",
-    f"""select code, pos as position, n as of from (select code, row_number() over (order by latest_value desc, code) as pos, count(*) over () as n
-    from ({region_sql('0')}) r where latest_value is not null) k where code = 'N4'""",
+    f"""with k as (select code, row_number() over (order by latest_value desc, code) as pos from ({region_sql('0')}) r where latest_value is not null)
+    select 'N4' as code, (select pos from k where code = 'N4') as position, (select count(*) from k) as of""",
 )
 def e7(t: Inputs) -> DataFrame:
     return T.position_of(regions(t, "0"), "code", "N4", "latest_value")
