@@ -134,38 +134,44 @@ def _negated(sentence: Column, start: Column, end: Column, pack: SignalPack) ->
     return before.rlike(pack.negators) | after.rlike(pack.negators)
 
 
-def _reader(sentence: Column, pack: SignalPack, tier_no: int, pattern_no: int):
-    """How a hit of one pattern is read: its weight, its place in the order met and its signal."""
-    tier = pack.tiers[tier_no]
+def _labelled(tier_no: int, pattern_no: int, tier: Tier):
+    """A hit with what its pattern stands for."""
+    return lambda hit: F.struct(
+        F.lit(tier_no).alias("tier"),
+        F.lit(pattern_no).alias("pattern"),
+        hit["start"].alias("start"),
+        hit["end"].alias("end"),
+        F.lit(tier.rank).alias("rank"),
+        F.lit(tier.signal).alias("signal"),
+        F.lit(tier.refusal).alias("refusal"),
+    )
+
+
+def _readings(sentence: Column, pack: SignalPack) -> Column:
+    """Every match in one sentence with its weight, its place in the order met and its signal."""
+    hits = F.concat(
+        *[
+            F.transform(occurrences(sentence, pattern), _labelled(tier_no, pattern_no, tier))
+            for tier_no, tier in enumerate(pack.tiers)
+            for pattern_no, pattern in enumerate(tier.patterns)
+        ]
+    )
 
     def read(hit: Column) -> Column:
         # The least struct is the highest rank, then the first met.
         def place(refused: Column) -> Column:
             return F.struct(
-                F.when(refused, -pack.refused_rank).otherwise(-tier.rank).alias("weight"),
-                F.lit(tier_no).alias("tier"),
-                F.lit(pattern_no).alias("pattern"),
+                F.when(refused, -pack.refused_rank).otherwise(-hit["rank"]).alias("weight"),
+                hit["tier"].alias("tier"),
+                hit["pattern"].alias("pattern"),
                 hit["start"].alias("start"),
-                F.when(refused, pack.refused).otherwise(tier.signal).alias("signal"),
+                F.when(refused, pack.refused).otherwise(hit["signal"]).alias("signal"),
                 hit["end"].alias("end"),
             )
 
-        if tier.refusal:
-            return place(F.lit(True))
-        return let(_negated(sentence, hit["start"], hit["end"], pack), place)
+        return let(hit["refusal"] | _negated(sentence, hit["start"], hit["end"], pack), place)
 
-    return read
-
-
-def _readings(sentence: Column, pack: SignalPack) -> Column:
-    """Every match in one sentence, read."""
-    return F.concat(
-        *[
-            F.transform(occurrences(sentence, pattern), _reader(sentence, pack, tier_no, pattern_no))
-            for tier_no, tier in enumerate(pack.tiers)
-            for pattern_no, pattern in enumerate(tier.patterns)
-        ]
-    )
+    return F.transform(hits, read)
 
 
 def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSHIP) -> Column:
