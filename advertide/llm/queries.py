@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from advertide.llm.fingerprints import fingerprint_report
+from advertide.llm.mixing import mix_report
+from advertide.llm.packing import packed_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_order_minhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_cube_mix")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_report(table(spark, sf_dir, "documents"))
