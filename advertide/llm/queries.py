@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from advertide.llm.fingerprints import fingerprint_report
+from advertide.llm.jaccard import joined
 from advertide.llm.mixing import mix_report
 from advertide.llm.packing import packed_report
+from advertide.llm.substrings import removal_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +43,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(table(spark, sf_dir, "documents"))
