@@ -1,10 +1,72 @@
-"""From raw documents to packed training sequences, one stage after another."""
+"""From raw documents to packed training sequences, one stage after another.
+
+Every stage works on all rows its predecessor kept, is written as Parquet in the
+shared folder and read again. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from advertide.llm.jaccard import joined
+from advertide.llm.mixing import mix
+from advertide.llm.packing import packed_report
+from advertide.llm.secrets import redacted
+from advertide.llm.toxicity import without_toxic
+from advertide.session import stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer predicts toxic go; its labels are those of the table."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the smallest id stays, once; rows without an id stay.
+
+    Near duplicates are at a Jaccard similarity of 0.85 of four-word shingles, as in the join's contract.
+    """
+    others = joined(docs).where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_order"))
+    # Rows without an id need no neighbour: a number of their own keeps them from meeting in one task.
+    rows = rows.withColumn("_own", F.when(F.col("_id").isNull(), F.col("_order")))
+    left = rows.join(others, F.col("_id") == F.col("_other"), "left_anti")
+    place = F.row_number().over(Window.partitionBy("_id", "_own").orderBy("_order"))
+    left = left.withColumn("_place", place).where("_place = 1 or _id is null")
+    return left.select("_row.*")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking credentials are masked; copied examples and clean texts stay as they are."""
+    return redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the training sequences."""
+    return packed_report(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_each),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+# Trained scores, balanced samples and packing are no SQL; tests hold the stages against plain readings.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -67,3 +67,23 @@ def components(docs, k=4, percent=85):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+PATTERNS = (
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+)
+
+
+def base_spans(text):
+    found = []
+    for n, (_, pattern, group, least) in enumerate(PATTERNS):
+        found += [(m.start(), n, m.end()) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    return sorted(found)
+
+
+def base_row(text):
+    spans = base_spans(text)
+    counts = tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+    return *counts, sha(",".join(f"{PATTERNS[k][0]}:{s}:{e}" for s, k, e in spans))
