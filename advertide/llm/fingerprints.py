@@ -121,7 +121,8 @@ def fingerprinted(df: DataFrame, text: str, into: str, k: int = 3, points: int =
     def tuple_hash(start: Column) -> Column:
         """Hash of the picked k-mers in text order; a text with fewer k-mers repeats them."""
         picked = F.array(*[F.get(held, (start + j) % size) for j in range(picks)])
-        return F.lpad(F.hex(F.xxhash64(F.sort_array(picked)).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+        in_order = F.transform(F.sort_array(picked), lambda v: v.bitwiseAND(F.lit((1 << under) - 1)))
+        return F.lpad(F.hex(F.xxhash64(in_order).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
 
     hashes = F.when(F.size(reach) > 0, F.transform(reach, tuple_hash))
     df = df.withColumn(into, F.lower(F.array_join(hashes, "")))

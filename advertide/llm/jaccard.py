@@ -236,8 +236,10 @@ def joined(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = BLO
     links = _tiles(nodes).join(members, "node").groupBy("tile").applyInPandas(_verify(percent), "low long, high long")
     components = connected(links, "jaccard-links")
 
-    named = sets.select("doc_id", "n", "digest").join(classes, ["digest"], "left")
-    named = named.join(components, ["node"], "left")
+    # A settled document matches no class: its own id keeps it from meeting the others on null.
+    own_key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
+    named = sets.select("doc_id", "n", own_key.alias("digest")).join(classes, ["digest"], "left")
+    named = named.withColumn("node", F.coalesce("node", "doc_id")).join(components, ["node"], "left")
     return named.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )
