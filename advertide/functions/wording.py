@@ -250,7 +250,8 @@ def detect_signal(text: Column, is_excerpt: Column, pack: SignalPack = SPONSORSH
 
     return (
         F.when(text.isNull() | (strip(text) == ""), without(F.lit(pack.partial)))
-        .when(~F.contains(F.lower(text), F.lit(pack.keyword.lower())), without(quiet))
+        # Entities and tags can hide the keyword; only a text without any is settled by its raw form.
+        .when(~F.contains(F.lower(text), F.lit(pack.keyword.lower())) & ~text.rlike("[&<]"), without(quiet))
         .otherwise(let(findings, settle))
     )
 

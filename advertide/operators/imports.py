@@ -16,7 +16,6 @@ from advertide.sources import listings as L
 from advertide.sources import release as R
 from advertide.session import stage
 
-MOST_QUARANTINED = 500
 LARGEST_RATE = 0.05
 
 
@@ -83,7 +82,7 @@ def import_release(
         F.concat_ws(" ", "sheet", F.lit("row"), F.col("row_index").cast("string"), "label").alias("message"),
         "raw",
     )
-    quarantined = M.quarantine(records, F.lit(None).cast("bigint"), F.lit(source), MOST_QUARANTINED)
+    quarantined = M.quarantine(records, F.lit(None).cast("bigint"), F.lit(source))
     return ReleaseImport(series, keep_recent(snapshot, retain_periods), quarantined, M.quarantine_gate(counts, LARGEST_RATE))
 
 
@@ -134,6 +133,6 @@ def import_listings(
         current,
         M.new_keys(named, companies, "company_key"),
         M.new_keys(placed, locations, "location_key"),
-        M.quarantine(rejects, F.lit(None).cast("bigint"), F.lit(source), MOST_QUARANTINED),
+        M.quarantine(rejects, F.lit(None).cast("bigint"), F.lit(source)),
         counts,
     )

@@ -73,14 +73,24 @@ def outcome(merged: DataFrame) -> DataFrame:
 LISTING_KEYS = ["source_key", "source_id"]
 
 
-def listing_changes(known: DataFrame, incoming: DataFrame, hashed: list[str], now: str) -> DataFrame:
+def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is last by ``order``; among equals the greatest content hash, so reruns agree."""
+    rest = [c for c in df.columns if c not in keys]
+    place = F.struct(*order, *[c for c in ("content_hash",) if c in rest])
+    kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("row"))
+    return kept.select(*keys, *[F.col("row")[c].alias(c) for c in rest])
+
+
+def listing_changes(
+    known: DataFrame, incoming: DataFrame, hashed: list[str], now: str, version: list[str] | None = None
+) -> DataFrame:
     """Every listing of a feed as created, updated or unchanged, live and confirmed now.
 
     ``known`` is thin: the keys and ``content_hash`` of what is stored. No stored
     text is read or moved to tell what changed.
     """
     fresh = incoming.withColumn("content_hash", content_hash(*hashed))
-    once = one_per_key(fresh, LISTING_KEYS, ["content_hash"])
+    once = last_per_key(fresh, LISTING_KEYS, version) if version else one_per_key(fresh, LISTING_KEYS, ["content_hash"])
     held = known.select(*LISTING_KEYS, F.col("content_hash").alias("held_hash"), F.lit(True).alias("is_held"))
     action = (
         F.when(F.col("is_held").isNull(), CREATED)
@@ -100,14 +110,24 @@ def listing_changes(known: DataFrame, incoming: DataFrame, hashed: list[str], no
     )
 
 
-def upsert_listings(stored: DataFrame, incoming: DataFrame, hashed: list[str], now: str) -> DataFrame:
+def upsert_listings(
+    stored: DataFrame, incoming: DataFrame, hashed: list[str], now: str, version: list[str] | None = None
+) -> DataFrame:
     """The whole table after a feed: its listings as changed, all others as stored.
 
-    Stored rows meet the feed's keys only, so a feed small enough to broadcast
-    leaves the table where it lies.
+    Columns that the feed does not state stay as stored; ``first_seen_at``, where the
+    table has it, is now for a created listing. A ``content_hash`` the table already
+    stores is used as it is. Of several versions of a key the last by the ``version``
+    columns counts. Stored rows meet the feed's keys only, so a feed small enough to
+    broadcast leaves the table where it lies.
     """
-    known = stored.withColumn("content_hash", content_hash(*hashed))
-    changes = listing_changes(known, incoming, hashed, now)
+    known = stored if "content_hash" in stored.columns else stored.withColumn("content_hash", content_hash(*hashed))
+    changes = listing_changes(known, incoming, hashed, now, version)
+    carried = [c for c in known.columns if c not in changes.columns]
+    if carried:
+        changes = changes.join(known.select(*LISTING_KEYS, *carried), LISTING_KEYS, "left")
+    if "first_seen_at" in carried:
+        changes = changes.withColumn("first_seen_at", F.coalesce("first_seen_at", F.lit(now).cast("timestamp_ntz")))
     untouched = known.join(incoming.select(*LISTING_KEYS).distinct(), LISTING_KEYS, "left_anti")
     return changes.unionByName(untouched.withColumn("action", F.lit(KEPT)).select(*changes.columns))
 
@@ -237,12 +257,9 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
 
 
-def quarantine(rejects: DataFrame, run_id: Column, source: Column, limit: int | None = None) -> DataFrame:
-    """Rejected rows as quarantine records; a run's table may be limited, its counters never are."""
-    records = rejects.select(
-        run_id.alias("run_id"), source.alias("source_key"), "source_id", "kind", "message", "raw"
-    )
-    return records if limit is None else records.orderBy("source_id", "kind", "message").limit(limit)
+def quarantine(rejects: DataFrame, run_id: Column, source: Column) -> DataFrame:
+    """Every rejected row as a quarantine record."""
+    return rejects.select(run_id.alias("run_id"), source.alias("source_key"), "source_id", "kind", "message", "raw")
 
 
 def quarantine_gate(runs: DataFrame, threshold: float) -> DataFrame:

@@ -155,7 +155,7 @@ def contract_label(contract: Column) -> Column:
     """Blank and permanent are not worth saying; anything else starts with a capital."""
     said = F.lower(F.trim(contract))
     return F.when(
-        (said != "") & (said != "permanent"), F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 1 << 20))
+        (said != "") & (said != "permanent"), F.concat(F.upper(F.substring(said, 1, 1)), F.substr(said, F.lit(2)))
     )
 
 

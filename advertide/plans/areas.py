@@ -56,7 +56,7 @@ def c6(t: Inputs) -> DataFrame:
     from {{part}} left join by_code on k = substr(p_brand, 7) and p_size % 7 <> 0""",
 )
 def c7(t: Inputs) -> DataFrame:
-    code = F.when(F.col("p_size") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.substring("p_brand", 7, 9)))
+    code = F.when(F.col("p_size") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.substr("p_brand", F.lit(7))))
     stated = t.part.select(F.col("p_partkey").alias("id"), code.alias("stated_code"))
     return G.resolve_occupation(stated, t.occupation, "stated_code").select("id", "occupation_id", "resolution")
 

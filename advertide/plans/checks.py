@@ -36,48 +36,48 @@ def eligible_unresolved(t: Inputs) -> DataFrame:
 
 CHECKS = {
     "s1_counts_non_negative": (
-        "No stored figure is below zero",
+        "Figures are zero or more, in observations and in summaries",
         lambda t: Q.negative_values(t.faulty_metric, t.faulty_summary),
         "select id, 1 as weight from {faulty_metric} where value < 0 union all select id, 1 from {faulty_summary} where value < 0",
     ),
     "s2_missingness_modelled": (
-        "A figure is present exactly when its state says it was measured",
+        "The state of a reading and its figure say the same",
         lambda t: Q.unmodelled_missingness(t.faulty_metric),
         "select id, 1 as weight from {faulty_metric} where (value is null) = coalesce(value_state in ('PRESENT', 'ZERO'), false)",
     ),
     "s3_series_resolved": (
-        "Every series naming a region resolves to an area",
+        "A series that names a region can be placed",
         lambda t: Q.unresolved_geography(eligible_unresolved(t)),
         f"select coalesce(code, name, 'unnamed') as id, series_count as weight from ({UNRESOLVED}) u",
     ),
     "s4_hierarchy_complete": (
-        "Every area below the country has a parent",
+        "Only a country may stand without a parent area",
         lambda t: Q.orphan_areas(t.faulty_area),
         "select concat(level, ' ', code) as id, 1 as weight from {faulty_area} where parent_code is null and level <> 'COUNTRY'",
     ),
     "s5_occupations_classified": (
-        "Every occupation carries a version and a name",
+        "An occupation has a name and tells its edition",
         lambda t: Q.unclassified_occupations(t.faulty_occupation),
         "select id, 1 as weight from {faulty_occupation} where version = '' or name = ''",
     ),
     "s6_no_duplicate_live_listings": (
-        "No two canonical live listings share an application address",
+        "An application address belongs to one live canonical listing",
         lambda t: Q.shared_live_addresses(D.shared_addresses(t.job)),
         "select apply_url as id, count(*) - 1 as weight from {job} where status = 'ACTIVE' and is_canonical and apply_url is not null group by 1 having count(*) > 1",
     ),
     "s7_dates_possible": (
-        "No posting or verification date lies in the future, and nothing expired before it was seen",
+        "Listing dates are in a possible order and not ahead of the clock",
         lambda t: Q.impossible_dates(t.job, NOW),
         f"""select id, w as weight from (select id, case when posted_at > timestamp '{NOW}' + interval 1 day then 1 else 0 end
           + case when last_verified_at > timestamp '{NOW}' + interval 1 day then 1 else 0 end + case when expired_at < first_seen_at then 1 else 0 end as w from {{job}}) j where w > 0""",
     ),
     "s8_signal_evidenced": (
-        "Every finding about what an advertisement says quotes the wording",
+        "A graded signal comes with its quotation",
         lambda t: Q.unevidenced_signals(t.job),
         "select id, 1 as weight from {job} where signal in ('OFFERED', 'OPEN_TO', 'MAY_BE_CONSIDERED', 'EXCLUDED') and doc_id % 11 in (0, 1)",
     ),
     "s9_placement_coherent": (
-        "Every place agrees with itself about whether and how it was placed",
+        "Status, basis and category of a place fit each other",
         lambda t: Q.incoherent_placements(t.place),
         """select concat(place_id, ': ', p) as id, 1 as weight from (select place_id, case when regional_status = 'UNKNOWN' and regional_basis <> 'NONE' then 'unplaced with a basis'
           when regional_status <> 'UNKNOWN' and regional_basis = 'NONE' then 'placed without a basis' when regional_basis = 'POSTCODE' and postcode is null then 'placed by a postcode it does not hold'
@@ -85,84 +85,84 @@ CHECKS = {
           when regional_status <> 'REGIONAL' and regional_category is not null then 'not regional with a category' end as p from {place}) x where p is not null""",
     ),
     "s10_placement_attributed": (
-        "Every placed location names the instrument that placed it, and when",
+        "A verdict on a place cites its instrument and date",
         lambda t: Q.unattributed_placements(t.place),
         "select cast(place_id as varchar) as id, 1 as weight from {place} where regional_status <> 'UNKNOWN' and (regional_instrument is null or classified_on is null)",
     ),
     "s11_derived_postcode_sourced": (
-        "Every postcode inferred from coordinates names the boundary set",
+        "A postcode worked out from a point cites its boundaries",
         lambda t: Q.unsourced_postcodes(t.place),
         "select cast(place_id as varchar) as id, 1 as weight from {place} where postcode_source = 'DERIVED_FROM_COORDINATES' and postcode_reference is null",
     ),
     "s12_postcode_well_formed": (
-        "Every stored postcode is four digits",
+        "Postcodes have exactly four digits",
         lambda t: Q.malformed_postcodes(t.place),
         "select cast(place_id as varchar) as id, 1 as weight from {place} where not regexp_matches(postcode, '^[0-9][0-9][0-9][0-9]$')",
     ),
     "s13_matches_instrument": (
-        "Every location placed by postcode or state still reads that way",
+        "Placing again by postcode or state changes no verdict",
         lambda t: Q.outdated_placements(t.place, G.allocation_table(t.spark)),
         f"""with alloc as ({allocation_sql()}), a as (select place_id, regional_status, regional_basis, state_code, case when regional_basis = 'POSTCODE' then postcode end as postcode
           from {{place}} where regional_basis in ('POSTCODE', 'STATE')) select cast(place_id as varchar) as id, 1 as weight from ({classified_sql('a')}) c where new_status <> regional_status""",
     ),
     "s14_source_registered": (
-        "Every live listing comes from a registered source",
+        "The register knows the source of each live listing",
         lambda t: Q.sources_standing(Q.listings_by_source(t.job, t.source_registry), "UNKNOWN"),
         "select source_key as id, count(*) as weight from {job} where status = 'ACTIVE' and source_key not in (select source_key from {source_registry}) group by 1",
     ),
     "s15_source_eligible": (
-        "Every live listing comes from a source still permitted",
+        "The source of each live listing may be used today",
         lambda t: Q.sources_standing(Q.listings_by_source(t.job, t.source_registry), "INELIGIBLE"),
         f"select source_key as id, count(*) as weight from {{job}} where status = 'ACTIVE' and source_key in (select source_key from {{source_registry}} where not ({ELIGIBLE})) group by 1",
     ),
     "s16_description_withheld": (
-        "No description is stored for a source whose rights refuse it",
+        "Descriptions are held only where the rights allow them",
         lambda t: Q.unpublishable_descriptions(t.job, S.field_permissions(t.source_registry, t.rights, "description"), t.source_registry),
         f"""select source_key as id, count(*) as weight from {{job}} where description is not null and source_key in (select source_key from {{source_registry}} r where kind = 'JOB_LISTING'
           and not ({ELIGIBLE} and exists (select 1 from {{rights}} x where x.source_key = r.source_key and x.field = 'description' and x.stated = 'PERMITTED'))) group by 1""",
     ),
     "s17_no_contact_details": (
-        "No stored description holds contact details",
+        "Redaction left no contact in a description",
         lambda t: Q.stored_contacts(t.job, CONTACT_RULES),
         "select id, 1 as weight from {job} where " + " or ".join(f"regexp_matches(description, '{pattern}')" for pattern, _ in EDGES),
     ),
     "s18_attachment_evidenced": (
-        "Every attached skill quotes the words that attached it",
+        "A skill is attached together with the matching words",
         lambda t: Q.unquoted_attachments(t.job_skill),
         "select job_id as id, 1 as weight from {job_skill} where matched_text is null or trim(matched_text) = ''",
     ),
     "s19_vocabulary_in_step": (
-        "The stored vocabulary matches the declared one both ways",
+        "Stored and declared vocabulary hold the same entries",
         lambda t: Q.drifted_vocabulary(M.drift(t.sql(STORED_SKILL), t.skill, "key", ["name", "kind"])),
         f"""with o as (select key, name, kind from ({STORED_SKILL}) s), m as (select coalesce(n.key, o.key) as key, o.key as a, n.key as b, o.name is distinct from n.name as d1, o.kind is distinct from n.kind as d2 from o full outer join {{skill}} n on n.key = o.key)
           select key || ': missing from the table' as id, 1 as weight from m where a is null union all select key || ': missing from the declaration', 1 from m where b is null
           union all select key || ': name has drifted', 1 from m where a is not null and b is not null and d1 union all select key || ': kind has drifted', 1 from m where a is not null and b is not null and d2""",
     ),
     "s20_matches_vocabulary": (
-        "Every stored attachment is one the vocabulary still reads",
+        "Reading again would attach each stored skill again",
         lambda t: Q.stale_attachments(attachments(t.job, DRIVER_VOCABULARY), t.job_skill),
         f"""with w as ({attachments_sql()}), h as (select job_id, skill_key, matched_text from {{job_skill}})
           select distinct coalesce(w.job_id, h.job_id) as id, 1 as weight from w full outer join h on h.job_id = w.job_id and h.skill_key = w.skill_key
           where w.matched_text is distinct from h.matched_text""",
     ),
     "s21_attribution_available": (
-        "Every source requiring attribution stores the wording",
+        "Where attribution is due its text is on file",
         lambda t: Q.missing_attribution(t.source_registry),
         f"select source_key as id, 1 as weight from {{source_registry}} where {ELIGIBLE} and attribution_required and attribution_text is null",
     ),
     "s22_licence_linkable": (
-        "Every source with established rights names a licence",
+        "Settled rights come with a licence",
         lambda t: Q.unlinked_licences(t.source_registry),
         "select source_key as id, 1 as weight from {source_registry} where rights_status = 'ESTABLISHED' and licence is null",
     ),
     "s23_listing_content_described": (
-        "Every live listing source states a position on the fields a listing needs",
+        "For each needed field a listing source has said yes or no",
         lambda t: Q.undescribed_rights(t.source_registry, t.rights, REQUIRED),
         f"""select source_key as id, 1 as weight from {{source_registry}} r where {ELIGIBLE} and kind = 'JOB_LISTING'
           and (select count(*) from {{rights}} x where x.source_key = r.source_key and x.field in ('title', 'description')) < 2""",
     ),
     "s25_constraints": (
-        "The table constraints hold",
+        "Rows obey the rules of their tables",
         lambda t: Q.broken_constraints(t.job, t.faulty_metric, t.run, t.faulty_metric, SUMMARY_KEY),
         """select 'value and state: ' || id as id, 1 as weight from {faulty_metric} where (value is null) = coalesce(value_state in ('PRESENT', 'ZERO'), false)
           union all select 'salary range: ' || id, 1 from {job} where salary_min > salary_max
@@ -172,7 +172,7 @@ CHECKS = {
           union all select 'one summary: ' || geo || '/' || measure || '/' || coalesce(cast(occ as varchar), '-'), 1 from {faulty_metric} group by geo, measure, occ having count(*) > 1""",
     ),
     "s26_declared_values": (
-        "Stored codes are declared ones",
+        "Coded columns use known codes only",
         lambda t: Q.undeclared_values(t.job, "id", DECLARED),
         """select 'status: ' || id as id, 1 as weight from {job} where status not in ('ACTIVE', 'EXPIRED')
           union all select 'signal: ' || id, 1 from {job} where signal not in ('OFFERED', 'OPEN_TO', 'MAY_BE_CONSIDERED', 'NOT_MENTIONED', 'INDETERMINATE')

@@ -35,7 +35,7 @@ def sheets(t: Inputs) -> DataFrame:
     rows = (
         t.metric.groupBy("geo_code", "occ_code")
         .agg(F.map_from_entries(F.collect_list(F.struct(F.col("period_start"), printed.alias("cell")))).alias("by_month"))
-        .withColumn("nk", F.substring("geo_code", 2, 9).cast("int"))
+        .withColumn("nk", F.substr("geo_code", F.lit(2)).cast("int"))
         .withColumn("months", months)
     )
     stated = F.array(F.col("occ_code"), F.concat(F.lit("Brand "), "occ_code"), F.col("geo_code"), F.lit("Original"))
@@ -110,7 +110,7 @@ def a2_recent(t: Inputs) -> DataFrame:
       select 'UNREADABLE_VALUE' as kind, sheet, row_index, strftime(period_start, '%b-%y') as period, cell as raw from ({READ}) u where value_state is null
       union all select 'CONFLICTING_DUPLICATE', sheet, row_index, strftime(period_start, '%b-%y'), coalesce(cast(value as varchar), value_state) from ({RANKED}) c
         where rn > 1 and (value_state <> first_state or value is distinct from first_value)
-      union all select 'NO_DIMENSIONS', 'S0', r_regionkey + 4000, null, ' |  |  | Original | 5 | 5 | 5 | 5' from {{region}}) p""",
+      union all select 'NO_DIMENSIONS', 'S0', r_regionkey + 4000, null, ' |  |  | Original' || repeat(' | 5', (select cast(count(distinct period_start) as int) from {{metric}})) from {{region}}) p""",
 )
 def a2_problems(t: Inputs) -> DataFrame:
     release = Parsed(t)

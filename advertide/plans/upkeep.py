@@ -192,7 +192,7 @@ def a13(t: Inputs) -> DataFrame:
         t.documents.filter("lang in ('de', 'es')")
         .select(
             F.col("source").alias("source_key"),
-            F.concat(F.lit("Source "), F.substring("source", 4, 9)).alias("display_name"),
+            F.concat(F.lit("Source "), F.substr("source", F.lit(4))).alias("display_name"),
             F.lit("ACTIVE").alias("activation"),
         )
         .distinct()

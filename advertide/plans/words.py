@@ -15,7 +15,6 @@ from advertide.functions import wording as W
 from advertide.operators import merge as M
 from advertide.plans.inputs import Inputs
 from advertide.plans.registry import query
-from advertide.session import spread_small
 
 DRIVER_VOCABULARY = (
     W.Entry("The", "the", "TOOL", (r"\bthe\b",)),
@@ -52,7 +51,7 @@ def plain_sql(expression: str) -> str:
 
 def attachments(jobs: DataFrame, vocabulary: tuple[W.Entry, ...]) -> DataFrame:
     """One row per advertisement and vocabulary entry found in it."""
-    found = W.with_vocabulary(spread_small(jobs.select("id", "title", "description", "company_name")), vocabulary)
+    found = W.with_vocabulary(jobs.select("id", "title", "description", "company_name"), vocabulary)
     # Exploding outer keeps the optimizer from testing the matches once more before exploding them.
     return found.select(F.col("id").alias("job_id"), F.explode_outer("found").alias("m")).filter("m is not null").select(
         "job_id", F.col("m.key").alias("skill_key"), F.col("m.matched_text").alias("matched_text"), F.col("m.sentence").alias("sentence")
@@ -102,7 +101,7 @@ def attachments_sql() -> str:
 )
 def h1(t: Inputs) -> DataFrame:
     title = F.split_part("text", F.lit("\n"), F.lit(1))
-    return spread_small(t.documents.select("doc_id", "source", "text")).select(
+    return t.documents.select("doc_id", "source", "text").select(
         "doc_id", X.word_key(title).alias("words"), X.dash_key(title).alias("dashes"),
         X.area_slug(title).alias("slug"), X.code_key(F.concat(F.lit(" "), F.col("source"), F.lit(" "))).alias("code"),
     )
@@ -111,7 +110,7 @@ def h1(t: Inputs) -> DataFrame:
 # Entities the plain reading leaves alone stay as they are written.
 @query("h3_html_to_text", f"select page_id, {plain_sql('html')} as text from {{pages}}")
 def h3(t: Inputs) -> DataFrame:
-    return spread_small(t.pages).select("page_id", X.plain_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", X.plain_text(F.col("html")).alias("text"))
 
 
 # Feed wording: known entities read, others blanked; no entity here stands for an ampersand that starts another.
@@ -120,7 +119,7 @@ def h3(t: Inputs) -> DataFrame:
     f"""select page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', chr(57344)), '(?i)&[a-z#0-9]+;', ' ', 'g'), chr(57345), ' '), chr(57344), '&'), '{BLANKS}+', ' ', 'g')) as text from {{pages}}""",
 )
 def h3_feed(t: Inputs) -> DataFrame:
-    return spread_small(t.pages).select("page_id", X.feed_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", X.feed_text(F.col("html")).alias("text"))
 
 
 CONTACTED = """select doc_id, concat(text, case doc_id % 6
@@ -158,14 +157,14 @@ REDACTED = f"""select doc_id, text, after, length(replace(after, '{R.EMAIL_MARK}
 @query("h5_contact_redaction", f"select doc_id, after as text, removals, removals > 0 as has_contact from ({REDACTED}) r")
 def h5(t: Inputs) -> DataFrame:
     text = F.col("text")
-    return spread_small(t.sql(CONTACTED)).select("doc_id", R.redaction(text).alias("r"), R.has_contact(text).alias("has_contact")).select(
+    return t.sql(CONTACTED).select("doc_id", R.redaction(text).alias("r"), R.has_contact(text).alias("has_contact")).select(
         "doc_id", "r.text", "r.removals", "has_contact"
     )
 
 
 @query("g14_redaction_sweep", f"select count(*) as examined, count(*) filter (where removals > 0) as rewritten, cast(sum(removals) as bigint) as removals from ({REDACTED}) r")
 def g14(t: Inputs) -> DataFrame:
-    return M.redaction_outcome(M.redaction_sweep(spread_small(t.sql(CONTACTED)), "text"))
+    return M.redaction_outcome(M.redaction_sweep(t.sql(CONTACTED), "text"))
 
 
 def signal_sql() -> str:
@@ -195,7 +194,7 @@ def signal_sql() -> str:
 
 def signals(t: Inputs, pack: W.SignalPack) -> DataFrame:
     found = W.detect_signal(F.col("description"), F.col("description_is_excerpt"), pack)
-    jobs = spread_small(t.job.select("id", "description", "description_is_excerpt"))
+    jobs = t.job.select("id", "description", "description_is_excerpt")
     return jobs.select("id", found.alias("found"))
 
 
@@ -218,7 +217,7 @@ def h6_sponsorship(t: Inputs) -> DataFrame:
 def g13(t: Inputs) -> DataFrame:
     found = W.detect_signal(F.col("description"), F.col("description_is_excerpt"), DRIVER_PACK)
     stored = t.job.select("id", "description", "description_is_excerpt", "signal", "evidence")
-    swept = M.reclassified(spread_small(stored), found)
+    swept = M.reclassified(stored, found)
     return swept.select("id", F.col("signal").alias("old_signal"), "new_signal", "differs")
 
 

@@ -59,18 +59,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# Inputs up to this size may hold fewer row groups than there are cores.
-SMALL_INPUT = 1 << 30
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out over the cores before heavy work per row.
-
-    A large input is left as it is: it has row groups enough, and moving it
-    would cost more than it gains.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df

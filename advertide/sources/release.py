@@ -258,7 +258,7 @@ def repeats(read: DataFrame, first: DataFrame) -> DataFrame:
 def problems(stated: DataFrame, read: DataFrame, repeated: DataFrame) -> DataFrame:
     """What could not be used: rows about nothing, cells that are no figure, readings that contradict the first."""
     none = F.lit(None).cast("string")
-    shown = F.array_join(F.transform(F.slice("cells", 1, 8), lambda c: F.coalesce(strip(c), F.lit(""))), " | ")
+    shown = F.array_join(F.transform("cells", lambda c: F.coalesce(strip(c), F.lit(""))), " | ")
     nothing = stated.filter(~is_attributed()).select(
         F.lit("NO_DIMENSIONS").alias("kind"), "sheet", "row_index", none.alias("label"), none.alias("series_key"), shown.alias("raw")
     )

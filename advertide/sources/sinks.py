@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advertide.functions.text import csv_field
@@ -47,8 +47,9 @@ def header_lines(p: Provenance) -> list[str]:
 
 
 def _number(value: Column) -> Column:
-    """Figures as a reader writes them: no trailing ".0", no exponent."""
-    text = F.format_string("%.10f", value.cast("double"))
+    """Figures as a reader writes them: the shortest text that reads back the same, no trailing ".0", no exponent."""
+    text = value.cast("string")
+    text = F.when(F.contains(text, F.lit("E")), F.coalesce(text.try_cast("decimal(38,18)").cast("string"), text)).otherwise(text)
     plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.when(value.isNotNull(), plain)
 
@@ -80,8 +81,14 @@ def json_lines(rows: DataFrame, columns: dict[str, str], provenance: Provenance,
     shown = F.to_json(F.struct(*[F.col(key) for key in columns]), {"ignoreNullFields": "false"})
     body = rows.select(F.struct(*order).alias("place"), shown.alias("text"))
     first = body.agg(F.min("place").alias("p")).scalar()
-    comma = F.when(F.col("place") == first, F.lit("")).otherwise(F.lit(","))
-    lines = body.select(F.lit(1).alias("part"), F.lit(0).alias("seat"), "place", F.concat(comma, "text").alias("line"))
+    # One of the rows at the least place goes without a comma and before all others; equal places are settled by text.
+    least = body.where(F.col("place").eqNullSafe(first)).withColumn("nth", F.row_number().over(Window.orderBy("text")))
+    others = body.where(~F.col("place").eqNullSafe(first)).withColumn("nth", F.lit(2))
+    opens = F.col("nth") == 1
+    lines = least.unionByName(others).select(
+        F.lit(1).alias("part"), F.when(opens, 0).otherwise(1).alias("seat"), "place",
+        F.concat(F.when(opens, F.lit("")).otherwise(F.lit(",")), "text").alias("line"),
+    )
     described = {
         "title": provenance.title, "publisher": provenance.publisher, "dataset": provenance.dataset,
         "referencePeriod": provenance.reference_period, "licence": provenance.licence, "licenceUrl": provenance.licence_url,

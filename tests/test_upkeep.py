@@ -185,3 +185,19 @@ def test_pages_are_clamped(spark):
     assert S.page_of(df, 0, 500).count() == 50
     assert [r["id"] for r in S.page_of(df, 3, 50).collect()][:2] == ["100", "101"]
     assert S.page_of(df, -1, 0).count() == 1
+
+
+def test_upsert_keeps_stored_columns_and_the_last_version(spark):
+    names = [*M.LISTING_KEYS, "title", "status", "last_seen_at", "last_verified_at", "expired_at", "first_seen_at", "is_canonical"]
+    kinds = ["string"] * 4 + ["timestamp_ntz"] * 4 + ["boolean"]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, kinds))
+    day = datetime.datetime(2026, 1, 1)
+    stored = spark.createDataFrame(
+        [("feed", "k1", "old", "ACTIVE", day, day, None, day, False), ("feed", "k9", "kept", "EXPIRED", day, day, day, day, True)], schema
+    )
+    versions = [("feed", "k1", "v1", 1), ("feed", "k1", "v2", 2), ("feed", "k2", "new", 1)]
+    for order in (versions, versions[::-1]):
+        fed = spark.createDataFrame(order, f"{M.LISTING_KEYS[0]} string, {M.LISTING_KEYS[1]} string, title string, seen int")
+        after = M.upsert_listings(stored, fed, ["title"], "2026-02-02 00:00:00", ["seen"]).collect()
+        got = {r[M.LISTING_KEYS[1]]: (r.title, r.first_seen_at.month, r.is_canonical) for r in after}
+        assert got == {"k1": ("v2", 1, False), "k2": ("new", 2, None), "k9": ("kept", 1, True)}
