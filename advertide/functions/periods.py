@@ -65,6 +65,9 @@ def parse_period(cell: Column) -> Column:
     ym_year = F.regexp_extract(label, year_month, 1).try_cast("int")
     ym_month = F.regexp_extract(label, year_month, 2).try_cast("int")
 
+    # A date-typed header, exported as text, names its month.
+    full_date = F.regexp_extract(label, r"^(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}:\d{2}.*)?\z", 1).try_cast("date")
+
     quarter_first = r"(?i)^Q([1-4])[ -]+(\d{4})\z"
     year_first = r"(?i)^(\d{4})[ -]+Q([1-4])\z"
     quarter = F.coalesce(
@@ -84,6 +87,7 @@ def parse_period(cell: Column) -> Column:
     return (
         F.when(label.rlike(month_first) & (month > 0), reading(_first_day(year, month), "MONTH"))
         .when(ym_month.between(1, 12), reading(_first_day(ym_year, ym_month), "MONTH"))
+        .when(full_date.isNotNull(), reading(F.trunc(full_date, "MM"), "MONTH"))
         .when(quarter.isNotNull(), reading(_first_day(quarter_year, quarter * 3 - 2), "QUARTER"))
         .when(year_only.between(FIRST_YEAR, LAST_YEAR), reading(_first_day(year_only, F.lit(1)), "YEAR"))
     )

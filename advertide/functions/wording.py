@@ -7,6 +7,7 @@ so no shuffle is needed however long a text is or however many texts share a key
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -328,7 +329,7 @@ SKILLS = (
 )
 
 
-def _earliest(dark: Column, entry: Entry) -> Column:
+def earliest_match(dark: Column, entry: Entry) -> Column:
     """struct(start, order, end) of the first match of an entry, null when absent."""
     hits = []
     for order, pattern in enumerate(entry.patterns):
@@ -382,19 +383,31 @@ def vocabulary_matches(
             for hint in entry.hints[1:]:
                 hinted = hinted | F.contains(lowered, F.lit(hint))
             present = hinted & present
-        match = let(_earliest(dark, entry), _attacher(joined, position, entry))
+        match = let(earliest_match(dark, entry), _attacher(joined, position, entry))
         found.append(F.when(present & ~own_name(entry.name, company), match))
     return F.filter(F.array(*found), lambda m: m.isNotNull())
 
 
+@lru_cache(maxsize=32)
+def _vocabulary_found(vocabulary: tuple[Entry, ...]) -> Column:
+    """The matches of a vocabulary over the columns ``with_vocabulary`` adds; thousands of calls, so built once."""
+    return vocabulary_matches(F.col("joined_text"), F.col("dark_text"), F.col("lowered_text"), F.col("company_name"), vocabulary)
+
+
+@lru_cache(maxsize=32)
+def signal_of(text: str, is_excerpt: str, pack: SignalPack = SPONSORSHIP) -> Column:
+    """``detect_signal`` over two named columns, built once for each pack."""
+    return detect_signal(F.col(text), F.col(is_excerpt), pack)
+
+
 def with_vocabulary(jobs: DataFrame, vocabulary: tuple[Entry, ...]) -> DataFrame:
     """Advertisements with their vocabulary matches; each text is joined, blotted and lowered once."""
-    joined, dark, lowered = F.col("joined_text"), F.col("dark_text"), F.col("lowered_text")
+    joined, dark = F.col("joined_text"), F.col("dark_text")
     return (
         jobs.withColumn("joined_text", combined_text(F.col("title"), F.col("description")))
         .withColumn("dark_text", shadow(joined))
         .withColumn("lowered_text", F.lower(dark))
-        .withColumn("found", vocabulary_matches(joined, dark, lowered, F.col("company_name"), vocabulary))
+        .withColumn("found", _vocabulary_found(vocabulary))
         .drop("joined_text", "dark_text", "lowered_text")
     )
 

@@ -40,8 +40,8 @@ def import_release(
 ) -> ReleaseImport:
     """A release read, narrowed to the retained periods, resolved and merged.
 
-    The gate is part of ``counts`` and is judged before the snapshot is
-    published, so a release that changed shape never replaces good data.
+    The gate is part of ``counts``. Where it fails, ``observations`` are what was
+    stored, so a release that changed shape never replaces good data.
     """
     layout = R.layouts(sheets)
     stated = R.stated_rows(sheets, layout)
@@ -83,7 +83,14 @@ def import_release(
         "raw",
     )
     quarantined = M.quarantine(records, F.lit(None).cast("bigint"), F.lit(source))
-    return ReleaseImport(series, keep_recent(snapshot, retain_periods), quarantined, M.quarantine_gate(counts, LARGEST_RATE))
+    gated = M.quarantine_gate(counts, LARGEST_RATE)
+    failed = gated.select((F.col("status") == "FAILED").alias("failed")).scalar()
+    # One of the two is empty.
+    as_stored = stored_observations.filter(failed).select(
+        "series_key", "period_start", F.lit(M.KEPT).alias("action"), "value_state", "value"
+    )
+    published = keep_recent(snapshot, retain_periods).filter(~failed).unionByName(as_stored)
+    return ReleaseImport(series, published, quarantined, gated)
 
 
 @dataclass(frozen=True)

@@ -160,32 +160,23 @@ def contract_label(contract: Column) -> Column:
 
 
 def evidence_items(stored: Column) -> Column:
-    """Stored evidence as array<struct(phrase, sentence)>; items without both strings are left out."""
-    is_list = F.regexp_like(stored, F.lit(r"^\s*\["))
-    raw = F.from_json(F.when(is_list, stored), "array<string>")
-    items = F.transform(
-        raw,
-        lambda item: F.struct(
-            F.get_json_object(item, "$.phrase").alias("phrase"),
-            F.coalesce(F.get_json_object(item, "$.sentence"), F.get_json_object(item, "$.context")).alias("sentence"),
-            item.alias("item"),
-        ),
-    )
+    """Stored evidence as array<struct(phrase, sentence)>; an item without both as strings is left out.
+
+    ``context`` stands in for a missing or null sentence, not for one of another type.
+    """
+    items = F.try_variant_get(F.try_parse_json(stored), "$", "array<variant>")
 
-    def quoted(item: Column, *names: str) -> Column:
+    def text(value: Column) -> Column:
         # A number or a flag in place of the string is not a quotation.
-        return reduce(
-            lambda a, b: a | b, [F.regexp_like(item, F.concat(F.lit(f'"{n}"'), F.lit(r'\s*:\s*"'))) for n in names]
-        )
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
-    kept = F.filter(
-        items,
-        lambda i: i["phrase"].isNotNull()
-        & i["sentence"].isNotNull()
-        & quoted(i["item"], "phrase")
-        & quoted(i["item"], "sentence", "context"),
-    )
-    pairs = F.transform(kept, lambda i: F.struct(i["phrase"].alias("phrase"), i["sentence"].alias("sentence")))
+    def quotation(item: Column) -> Column:
+        phrase, sentence, context = (F.try_variant_get(item, f"$.{name}", "variant") for name in ("phrase", "sentence", "context"))
+        absent = sentence.isNull() | F.is_variant_null(sentence)
+        said = F.when(absent, text(context)).otherwise(text(sentence))
+        return F.struct(text(phrase).alias("phrase"), said.alias("sentence"))
+
+    pairs = F.filter(F.transform(items, quotation), lambda q: q["phrase"].isNotNull() & q["sentence"].isNotNull())
     return F.coalesce(pairs, F.array().cast("array<struct<phrase:string,sentence:string>>"))
 
 

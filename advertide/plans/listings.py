@@ -114,10 +114,12 @@ def b11(t: Inputs) -> DataFrame:
 
 @query(
     "b12_stored_evidence",
-    """select id, case doc_id % 11 when 0 then '' when 1 then '' when 2 then 'p=old;q=t' when 3 then '' else 'p=s' end as quoted from {job}""",
+    """select id, case doc_id % 11 when 0 then '' when 1 then '' when 2 then 'p=old;q=t' when 3 then '' when 4 then 'p=c' else 'p=s' end as quoted from {job}""",
 )
 def b12(t: Inputs) -> DataFrame:
-    shown = F.transform(S.evidence_items(F.col("evidence")), lambda e: F.concat(e["phrase"], F.lit("="), e["sentence"]))
+    mixed = '[{"phrase":"p","sentence":1,"context":"c"},{"phrase":2,"sentence":"s"},"p",{"phrase":"p","sentence":null,"context":"c"}]'
+    evidence = F.when(F.col("doc_id") % 11 == 4, mixed).otherwise(F.col("evidence"))
+    shown = F.transform(S.evidence_items(evidence), lambda e: F.concat(e["phrase"], F.lit("="), e["sentence"]))
     return t.job.select("id", F.array_join(shown, ";").alias("quoted"))
 
 

@@ -148,13 +148,15 @@ def e10(t: Inputs) -> DataFrame:
       select distinct strftime(d, '%b-%y') as label, date_trunc('month', d) as start, 'MONTH' as grain from (select cast(l_shipdate as date) as d from {lineitem}) a
       union select distinct strftime(d, '%B %Y'), date_trunc('month', d), 'MONTH' from (select cast(l_shipdate as date) as d from {lineitem}) b
       union select distinct strftime(d, '%Y-%m'), date_trunc('month', d), 'MONTH' from (select cast(l_shipdate as date) as d from {lineitem}) c
+      union select distinct strftime(d, '%Y-%m-%d'), date_trunc('month', d), 'MONTH' from (select cast(l_shipdate as date) as d from {lineitem}) h
+      union select distinct strftime(d, '%Y-%m-%d') || ' 00:00:00', date_trunc('month', d), 'MONTH' from (select cast(l_shipdate as date) as d from {lineitem}) i
       union select distinct 'Q' || quarter(d) || ' ' || year(d), date_trunc('quarter', d), 'QUARTER' from (select cast(l_shipdate as date) as d from {lineitem}) e
       union select distinct strftime(d, '%Y'), date_trunc('year', d), 'YEAR' from (select cast(l_shipdate as date) as d from {lineitem}) f) g""",
 )
 def h8(t: Inputs) -> DataFrame:
     d = F.col("l_shipdate").cast("date")
     quarter = F.concat(F.lit("Q"), F.quarter(d).cast("string"), F.lit(" "), F.year(d).cast("string"))
-    spelled = F.array(F.date_format(d, "MMM-yy"), F.date_format(d, "MMMM yyyy"), F.date_format(d, "yyyy-MM"), quarter, F.date_format(d, "yyyy"))
+    spelled = F.array(F.date_format(d, "MMM-yy"), F.date_format(d, "MMMM yyyy"), F.date_format(d, "yyyy-MM"), F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "yyyy-MM-dd HH:mm:ss"), quarter, F.date_format(d, "yyyy"))
     labels = t.lineitem.select(F.explode(spelled).alias("label")).distinct()
     read = labels.withColumn("p", P.parse_period(F.col("label")))
     return read.select("label", F.date_format("p.period_start", "yyyy-MM-dd").alias("period"), F.col("p.granularity").alias("grain"))
@@ -294,12 +296,15 @@ SITE = "https://portal.example/tools/"
 @query(
     "a5_result_pages",
     f"""select page_id, cast(1002 as bigint) as total, cast(page_id as varchar) as reference, 'Officer ' || page_id || ', R&D' as title, 'Dept of ' || page_id as employer, 'Temporary Full-time' as employment_text,
-      'Gold Coast|Wide Bay|Flexible' as localities, 'Line–one two' as excerpt, '{SITE}jncustomsearch.viewFullSingle?in_organid=1&in_jnCounter=' || page_id as detail_url from {{pages}}
-    union all select page_id, 1002, 'ref-' || page_id, 'Officer ' || page_id || ', R&D', 'Dept of ' || page_id, null, '', null, 'https://portal.example/jobs/ref-' || page_id || '?x=1' from {{pages}}""",
+      'Gold Coast|Wide Bay|Flexible' as localities, 'Line–one two' as excerpt, '{SITE}jncustomsearch.viewFullSingle?in_organid=1&in_jnCounter=' || page_id as detail_url, '' as faults from {{pages}} where page_id % 9 <> 4
+    union all select page_id, 1002, 'ref-' || page_id, 'Officer ' || page_id || ', R&D', 'Dept of ' || page_id, null, '', null, 'https://portal.example/jobs/ref-' || page_id || '?x=1', '' from {{pages}} where page_id % 9 <> 4
+    union all select page_id, null, null, null, null, null, null, null, null, 'no result count' from {{pages}} where page_id % 9 = 4""",
 )
 def a5(t: Inputs) -> DataFrame:
-    rows = L.parse_result_pages(result_pages(t), SITE)
-    return rows.withColumn("localities", F.array_join("localities", "|"))
+    # Some pages lack their count: they are faulty rows beside the good pages.
+    counted = F.when(F.col("page_id") % 9 == 4, F.replace("html", F.lit("1,002</strong>"), F.lit("some</strong>"))).otherwise(F.col("html"))
+    rows = L.parse_result_pages(result_pages(t).withColumn("html", counted), SITE)
+    return rows.withColumn("localities", F.array_join("localities", "|")).withColumn("faults", F.array_join("faults", ", "))
 
 
 def detail_pages(t: Inputs) -> DataFrame:

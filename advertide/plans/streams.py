@@ -35,7 +35,7 @@ def t1(t: Inputs) -> DataFrame:
     )
     once = Z.first_sightings(feed, "fed_at", "1 day", HASHED)
     fault = F.when(F.length("title") < 3, "title")
-    Z.run_to_end(once, progress, Z.upsert_into(log, rejects, HASHED, fault, lambda batch: NOW))
+    Z.run_to_end(once, progress, Z.upsert_into(log, rejects, HASHED, fault, lambda batch: NOW, ["fed_at"]))
     changed = t.spark.read.parquet(log).filter("batch >= 0")
     return changed.select("source_key", "source_id", "action", "status")
 

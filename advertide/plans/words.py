@@ -193,7 +193,7 @@ def signal_sql() -> str:
 
 
 def signals(t: Inputs, pack: W.SignalPack) -> DataFrame:
-    found = W.detect_signal(F.col("description"), F.col("description_is_excerpt"), pack)
+    found = W.signal_of("description", "description_is_excerpt", pack)
     jobs = t.job.select("id", "description", "description_is_excerpt")
     return jobs.select("id", found.alias("found"))
 
@@ -215,7 +215,7 @@ def h6_sponsorship(t: Inputs) -> DataFrame:
 
 @query("g13_reclassification_sweep", f"select id, stored.signal as old_signal, s.signal as new_signal, stored.signal <> s.signal or (s.evidence = '') <> (stored.doc_id % 11 = 1) or s.evidence <> '' as differs from {{job}} stored join ({signal_sql()}) s using (id)")
 def g13(t: Inputs) -> DataFrame:
-    found = W.detect_signal(F.col("description"), F.col("description_is_excerpt"), DRIVER_PACK)
+    found = W.signal_of("description", "description_is_excerpt", DRIVER_PACK)
     stored = t.job.select("id", "description", "description_is_excerpt", "signal", "evidence")
     swept = M.reclassified(stored, found)
     return swept.select("id", F.col("signal").alias("old_signal"), "new_signal", "differs")
@@ -241,9 +241,9 @@ def h7_skills(t: Inputs) -> DataFrame:
     """select conv_id, min(pos) as pos from (select conv_id, turn, unnest(['the', 'que', 'der']) as w, case when contains(text, w) then instr(text, w) end as pos from {conversations}) c where pos is not null group by 1""",
 )
 def e13(t: Inputs) -> DataFrame:
-    words = ("the", "que", "der")
-    positions = F.array(*[F.nullif(F.locate(word, F.col("text")), F.lit(0)) for word in words])
-    found = t.conversations.select("conv_id", F.array_min(positions).alias("pos")).filter("pos is not null")
+    entry = W.Entry("word", "word", "TOOL", ("the", "que", "der"))
+    first = W.earliest_match(F.col("text"), entry)["start"] + 1
+    found = t.conversations.select("conv_id", first.alias("pos")).filter("pos is not null")
     return found.groupBy("conv_id").agg(F.min("pos").cast("bigint").alias("pos"))
 
 

@@ -197,21 +197,34 @@ def canonical_listings(records: DataFrame, source: str, country: str) -> DataFra
 
 
 def parse_result_pages(pages: DataFrame, base_url: str) -> DataFrame:
-    """One row per listing of each result page; a page without its count, or a listing without a reference, fails the job."""
+    """One row per listing of each result page with its list of faults, empty for a usable one.
+
+    A page without its count is one row of its own; a listing without a reference or a
+    heading is a faulty row beside the good ones of its page. No page stops the others.
+    """
     html = F.col("html")
     count = F.regexp_replace(F.regexp_extract(html, RESULT_COUNT, 1), ",", "").try_cast("bigint")
     listed = F.regexp_extract(html, RESULT_LIST, 1)
-    items = F.regexp_extract_all(listed, F.lit(RESULT_ROW), F.lit(1))
+    nothing = F.array(F.lit(None).cast("string"))
+    items = F.when(F.col("total").isNotNull(), F.regexp_extract_all(listed, F.lit(RESULT_ROW), F.lit(1))).otherwise(nothing)
     rows = (
-        pages.withColumn("total", F.coalesce(count, F.raise_error(F.lit("no result count on the page")).cast("bigint")))
+        pages.withColumn("total", count)
         .withColumn("item", F.explode_outer(items))
-        .filter(F.col("item").rlike(RESULT_LINK))
+        .filter(F.col("total").isNull() | F.col("item").rlike(RESULT_LINK))
         .withColumn("href", page_entities(F.regexp_extract("item", RESULT_LINK, 1)))
         .withColumn("heading", page_text(F.regexp_extract("item", RESULT_LINK, 2)))
     )
     by_counter = empty_to_null(F.regexp_extract("href", r"(?i)in_jnCounter=(\d+)", 1))
     by_path = empty_to_null(F.regexp_extract("href", r"(?i)/jobs/([^?#/]+)", 1))
-    reference = F.coalesce(by_counter, by_path, F.raise_error(F.concat(F.lit("a result without a reference: "), "href")))
+    reference = F.coalesce(by_counter, by_path)
+    counted = F.col("total").isNotNull()
+    faults = F.array_compact(
+        F.array(
+            F.when(~counted, "no result count"),
+            F.when(counted & reference.isNull(), "no reference"),
+            F.when(counted & (F.col("heading") == ""), "no heading"),
+        )
+    )
     part = lambda pattern: empty_to_null(page_text(F.regexp_extract("item", pattern, 1)))
     site = base_url.split("/", 3)
     address = F.when(F.startswith("href", F.lit("/")), F.concat(F.lit("/".join(site[:3])), "href")).otherwise(
@@ -227,6 +240,7 @@ def parse_result_pages(pages: DataFrame, base_url: str) -> DataFrame:
         split_places(page_text(F.regexp_extract("item", ROW_LOCALITY, 1))).alias("localities"),
         part(ROW_EXCERPT).alias("excerpt"),
         address.alias("detail_url"),
+        faults.alias("faults"),
     )
 
 
@@ -283,9 +297,10 @@ def employment_type(tokens: Column) -> Column:
 
 
 def listings_from_details(rows: DataFrame, details: DataFrame, source: str, state: str) -> DataFrame:
-    """Result rows joined to their detail pages as listings; the detail's localities win over the row's."""
+    """Usable result rows joined to their detail pages as listings; the detail's localities win over the row's."""
     d = details.filter(F.size("faults") == 0).select(*[F.col(c).alias(f"d_{c}") for c in details.columns if c != "faults"])
-    both = rows.join(d, F.col("reference") == F.col("d_reference"))
+    usable = rows.filter(F.size("faults") == 0).drop("faults")
+    both = usable.join(d, F.col("reference") == F.col("d_reference"))
     localities = F.when(F.size("d_localities") > 0, F.col("d_localities")).otherwise(F.col("localities"))
     placed = F.size(localities) > 0
     return both.select(

@@ -27,12 +27,13 @@ def read_stream(spark: SparkSession, path: str, schema, name_pattern: str, files
 
 
 def first_sightings(stream: DataFrame, event_time: str, delay: str, hashed: list[str]) -> DataFrame:
-    """Each version of a listing once a day, whatever number of times the feed repeats it.
+    """Each sighting of a version once, however often the feed repeats it.
 
-    The day is part of the key: a listing seen again tomorrow renews its sighting.
+    The time of the sighting is part of the key: a listing that changes and changes
+    back is three sightings, and one seen again tomorrow renews its own.
     """
-    marked = stream.withColumn("content_hash", M.content_hash(*hashed)).withColumn("seen_on", F.to_date(event_time))
-    return marked.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([*KEYS, "content_hash", "seen_on"])
+    marked = stream.withColumn("content_hash", M.content_hash(*hashed))
+    return marked.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([*KEYS, "content_hash", event_time])
 
 
 def current_listings(log: DataFrame) -> DataFrame:
@@ -56,9 +57,12 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def upsert_into(log: str, rejects: str, hashed: list[str], fault: Column, now: Callable[[int], str]):
+def upsert_into(
+    log: str, rejects: str, hashed: list[str], fault: Column, now: Callable[[int], str], version: list[str] | None = None
+):
     """A foreachBatch step: rejects to their own table, changes appended to the log.
 
+    Of several versions of a key in a batch the last by the ``version`` columns counts.
     Only created and updated listings and those whose sighting is renewed are
     written, never the whole table.
     """
@@ -68,10 +72,10 @@ def upsert_into(log: str, rejects: str, hashed: list[str], fault: Column, now: C
         judged = incoming.withColumn("fault", fault).persist()
         try:
             _write_batch(judged.filter(F.col("fault").isNotNull()).select(*KEYS, F.col("fault").alias("message")), rejects, batch)
-            accepted = judged.filter(F.col("fault").isNull()).select(*hashed)
+            accepted = judged.filter(F.col("fault").isNull()).select(*hashed, *(version or []))
             # Changes of this very batch are left out, so a repeated batch sees what it saw before.
             known = current_hashes(spark.read.parquet(log).filter(F.col("batch") < batch))
-            _write_batch(M.listing_changes(known, accepted, hashed, now(batch)), log, batch)
+            _write_batch(M.listing_changes(known, accepted, hashed, now(batch), version), log, batch)
         finally:
             judged.unpersist()
 

@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 import tempfile
@@ -101,8 +102,12 @@ def test_release_import_is_idempotent_and_gated(spark):
     again = I.import_release(sheet(spark, {"A": lines}), first.observations, *args).counts.collect()[0]
     assert (again["records_written"], again["records_skipped"]) == (0, 40)
     broken = [HEADER] + [["2211", "Accountants", "NSW", str(i), "?", "2"] for i in range(4)]
-    gated = I.import_release(sheet(spark, {"A": broken}), nothing, *args).counts.collect()[0]
+    stored = spark.createDataFrame([("k", datetime.date(2001, 1, 1), 1.0, "PRESENT"), ("k", datetime.date(2001, 2, 1), 2.0, "PRESENT")], nothing.schema)
+    failed = I.import_release(sheet(spark, {"A": broken}), stored, *args)
+    gated = failed.counts.collect()[0]
     assert gated["status"] == "FAILED" and gated["records_quarantined"] == 4
+    # What is stored stays, also what retention would have dropped.
+    assert sorted((r["series_key"], r["period_start"].month, r["value"], r["action"]) for r in failed.observations.collect()) == [("k", 1, 1.0, "KEPT"), ("k", 2, 2.0, "KEPT")]
 
 
 def lines_of(spark, records):
@@ -150,10 +155,19 @@ def test_canonical_listing(spark):
     assert plain["description"] is None and plain["salary_basis"] is None and plain["location_text"] is None
 
 
-def test_result_pages_refuse_other_markup(spark):
-    pages = spark.createDataFrame([(1, "<p>nothing</p>")], "page_id int, html string")
-    with pytest.raises(Exception, match="no result count"):
-        L.parse_result_pages(pages, "https://x.com/").collect()
+def test_a_faulty_result_page_is_a_row_beside_the_good_ones(spark):
+    good = 'of <strong> 3</strong> matching<ol class="search-results jobs">{}</ol>'
+    items = [
+        '<li><h3><a href="/jobs/r1">Clerk, Health</a></h3></li>',
+        '<li><h3><a href="jncustomsearch.viewFullSingle?x=1">Cook, Health</a></h3></li>',
+        '<li><h3><a href="/jobs/r2"> </a></h3></li>',
+    ]
+    pages = spark.createDataFrame([(1, "<p>nothing</p>"), (2, None), (3, good.format("".join(items)))], "page_id int, html string")
+    got = L.parse_result_pages(pages, "https://x.com/").collect()
+    assert sorted((r["page_id"], r["reference"] or "", tuple(r["faults"])) for r in got) == [
+        (1, "", ("no result count",)), (2, "", ("no result count",)),
+        (3, "", ("no reference",)), (3, "r1", ()), (3, "r2", ("no heading",)),
+    ]
 
 
 def test_a_page_of_results_with_nested_lists(spark):

@@ -53,6 +53,26 @@ def test_upsert_stream(spark):
     assert whole.count() == 4 and whole.select("source_id").distinct().count() == 4
 
 
+def test_a_listing_that_changes_back_within_a_day(spark):
+    inbox, log, rejects, progress = (folder(n) for n in ("inbox", "log", "rejects", "progress"))
+    start = spark.createDataFrame([], "source_key string, source_id string, content_hash string, action string")
+    start.write.parquet(f"{log}/batch=-1")
+    step = Z.upsert_into(log, rejects, HASHED, F.lit(None).cast("string"), lambda batch: "2024-05-01 00:00:00", ["fed_at"])
+
+    def run(rows):
+        arrive(spark, [("s", "1", title, "d", AT(2024, 5, 1, hour)) for title, hour in rows], LISTING, inbox)
+        feed = Z.read_stream(spark, inbox, spark.read.parquet(inbox).schema, "*.parquet")
+        Z.run_to_end(Z.first_sightings(feed, "fed_at", "1 day", HASHED), progress, step)
+        state = Z.current_listings(spark.read.schema(f"{LISTING}, content_hash string, action string, batch int").parquet(log))
+        return [(r["title"], r["action"]) for r in state.collect()]
+
+    assert run([("A", 1)]) == [("A", "CREATED")]
+    assert run([("B", 2)]) == [("B", "UPDATED")]
+    assert run([("A", 3)]) == [("A", "UPDATED")]
+    # Both versions in one batch: the later one counts.
+    assert run([("A", 5), ("C", 4)]) == [("A", "UNCHANGED")]
+
+
 def test_expiry_and_late_rows(spark):
     inbox, sink, progress = (folder(n) for n in ("inbox", "sink", "progress"))
     schema = "ts timestamp, k string"
