@@ -154,20 +154,28 @@ def occupation_totals(
     )
     named = scoped.filter(F.col("occ_code").isNotNull() & (F.col("occ_code") != ""))
     keys = ["state_code", "occ_code"] if by_state else ["occ_code"]
-    grouped = (
+    # Areas first, occupations from them: counting two distinct columns in one step would triple every row.
+    reported = F.col("is_latest") & F.col("value").isNotNull() & F.col("geo_code").isNotNull()
+    by_area = (
         named.join(two, "series_key", "left")
-        .groupBy(*keys)
+        .groupBy(*keys, "geo_code")
+        .agg(
+            F.min("occ_name").alias("first_name"),
+            F.max("occ_name").alias("last_name"),
+            F.sum(F.when(F.col("is_latest"), F.col("value"))).alias("latest"),
+            F.sum(F.when(~F.col("is_latest"), F.col("value"))).alias("previous"),
+            F.max(reported).alias("reported"),
+        )
+    )
+    first_name = F.min("first_name")
+    grouped = (
+        by_area.groupBy(*keys)
         .agg(
-            F.count_distinct("occ_name").alias("names"),
-            F.min("occ_name").alias("any_name"),
-            F.sum(F.when(F.col("is_latest"), F.col("value"))).alias("total"),
-            F.sum(F.when(~F.col("is_latest"), F.col("value"))).alias("previous_total"),
-            F.count_distinct(F.when(F.col("is_latest") & F.col("value").isNotNull(), F.col("geo_code"))).alias(
-                "regions_reporting"
-            ),
+            F.sum("latest").alias("total"),
+            F.sum("previous").alias("previous_total"),
+            F.count_if("reported").alias("regions_reporting"),
+            F.when(first_name == F.max("last_name"), first_name).alias("name"),
         )
-        .withColumn("name", F.when(F.col("names") == 1, F.col("any_name")))
-        .drop("names", "any_name")
         .withColumnRenamed("occ_code", "code")
     )
     if by_state:
