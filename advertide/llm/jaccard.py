@@ -39,6 +39,8 @@ from advertide.session import stage
 BLOCK_DOCS = 2048
 # Shingles are counted by their first 40 bits: a chance agreement only makes a shingle look shared.
 COUNT_BITS = 40
+# Copies of one set that meet in one task when their class is named.
+SLOT_DOCS = 128
 # A tile holds about twice as many sets, or as many set members in all.
 TILE_SETS, TILE_MEMBERS = 256, 1 << 20
 SETS = "doc_id long, n long, digest binary, keys array<long>, members binary"
@@ -222,7 +224,9 @@ def joined(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = BLO
     classes = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     band = F.floor(F.log("n") / -math.log(percent / 100 - 0.01)).cast("int")
     keyed = sets.where("digest is not null").select("doc_id", "digest", "n", band.alias("band"), "keys")
-    keyed = keyed.join(classes, ["digest"]).where("doc_id = node").select("node", "n", "band", F.explode("keys").alias("key"))
+    # A class meets its first member alone, not all its copies.
+    firsts = classes.select(F.col("node").alias("doc_id"), "digest")
+    keyed = keyed.join(firsts, ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", "band", F.explode("keys").alias("key"))
     least = keyed.groupBy("key", "band").agg(F.min("node").alias("least"), F.count("*").alias("sets"))
     least = stage(least.where("sets > 0"), "jaccard-groups").drop("sets")
     ties = keyed.join(least, ["key", "band"]).select("node", "least")
@@ -236,10 +240,11 @@ def joined(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = BLO
     links = _tiles(nodes).join(members, "node").groupBy("tile").applyInPandas(_verify(percent), "low long, high long")
     components = connected(links, "jaccard-links")
 
+    # A class of many copies is spread over slots of about SLOT_DOCS documents; its name goes once to each.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(blocks * max(1, block_docs // SLOT_DOCS))).alias("slot")
+    named = classes.join(components, ["node"], "left").select("digest", F.coalesce("component", "node").alias("component"))
+    slots = sets.where("digest is not null").select("digest", slot).distinct().join(named, ["digest"])
     # A settled document matches no class: its own id keeps it from meeting the others on null.
     own_key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
-    named = sets.select("doc_id", "n", own_key.alias("digest")).join(classes, ["digest"], "left")
-    named = named.withColumn("node", F.coalesce("node", "doc_id")).join(components, ["node"], "left")
-    return named.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
-    )
+    rows = sets.select("doc_id", "n", own_key.alias("digest"), slot).join(slots, ["digest", "slot"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
