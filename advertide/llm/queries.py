@@ -51,12 +51,62 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_report(table(spark, sf_dir, "documents"))
 
 
-@query("op3_substring_dedup")
+def _leads(words: int) -> str:
+    """The word of a row and the next ones of its document, joined by one space."""
+    return "concat_ws(' ', word, " + ", ".join(f"lead(word, {i}) over w" for i in range(1, words)) + ")"
+
+
+# Words of every document by place, from ``said(doc_id, text)``.
+WORD_ROWS = r"""
+    split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from said),
+    words as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as place, len(ws) as n from split)
+"""
+
+
+@query(
+    "op3_substring_dedup",
+    f"""
+    with said as (select doc_id, text from documents), {WORD_ROWS},
+    spans as (
+        select doc_id, place, n, {_leads(13)} as g from words window w as (partition by doc_id order by place)
+    ), firsts as (select g, min(doc_id) as first from spans where place + 13 <= n group by g),
+    gone as (
+        select distinct doc_id, unnest(range(place, place + 13)) as place from spans join firsts using (g)
+        where place + 13 <= n and first < doc_id
+    ), marked as (
+        select words.doc_id, words.place, word, gone.place is not null as gone
+        from words left join gone on words.doc_id = gone.doc_id and words.place = gone.place
+    )
+    select said.doc_id, count(word) as n_words, count(word) filter (gone) as n_removed,
+        sha256(coalesce(string_agg(word, ' ' order by place) filter (not gone), '')) as kept_sha256
+    from said left join marked on said.doc_id = marked.doc_id group by said.doc_id
+    """,
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
 
 
-@query("op7_jaccard_join")
+@query(
+    "op7_jaccard_join",
+    f"""
+    with recursive said as (
+        select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+    ), {WORD_ROWS},
+    runs as (select doc_id, place, n, {_leads(4)} as g from words window w as (partition by doc_id order by place)),
+    held as materialized (select distinct doc_id, g from runs where place + 4 <= n or (n < 4 and place = 0)),
+    sized as materialized (select doc_id, count(*) as size from held group by doc_id),
+    pairs as (
+        select a.doc_id as a, b.doc_id as b, count(*) as n from held a join held b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+    ), links as materialized (
+        select a, b from pairs join sized x on x.doc_id = a join sized y on y.doc_id = b where 100 * n >= 85 * (x.size + y.size - n)
+    ), reached as (
+        select doc_id as a, doc_id as b from documents
+        union select reached.a, links.b from reached join links on reached.b = links.a
+    ), least as (select a, min(b) as component_id from reached group by a)
+    select documents.doc_id, coalesce(size, 0) as n_shingles, component_id
+    from documents join least on documents.doc_id = a left join sized on documents.doc_id = sized.doc_id
+    """,
+)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
 

@@ -142,6 +142,4 @@ def without_repeats(docs: DataFrame, window: int = 13, block_docs: int = BLOCK_D
 
 def removal_report(docs: DataFrame) -> DataFrame:
     found = without_repeats(docs)
-    return found.select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "removed"
-    )
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
