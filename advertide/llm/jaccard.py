@@ -39,7 +39,7 @@ from advertide.session import stage
 BLOCK_DOCS = 2048
 # Shingles are counted by their first 40 bits: a chance agreement only makes a shingle look shared.
 COUNT_BITS = 40
-# Copies of one set that meet in one task when their class is named.
+# Members of one class or band that meet in one task when they learn its name or cut.
 SLOT_DOCS = 128
 # A tile holds about twice as many sets, or as many set members in all.
 TILE_SETS, TILE_MEMBERS = 256, 1 << 20
@@ -173,8 +173,11 @@ def _verify(percent: int):
     return verify
 
 
-def _tiles(nodes: DataFrame) -> DataFrame:
-    """``node, tile`` rows: a small component is one tile; a large one is cut by size band and slice."""
+def _tiles(nodes: DataFrame, slots: int) -> DataFrame:
+    """``node, tile`` rows: a small component is one tile; a large one is cut by size band and slice.
+
+    What a band is cut into goes once to each of the ``slots`` that its nodes are spread over.
+    """
     member = F.sum("n").alias("members")
     whole = nodes.groupBy("cluster").agg(F.count("*").alias("sets"), member)
     bands = nodes.groupBy("cluster", "band").agg(F.count("*").alias("sets"), member)
@@ -187,7 +190,9 @@ def _tiles(nodes: DataFrame) -> DataFrame:
         other = bands.select("cluster", (F.col("band") + step).alias("band"), F.col("slices").alias(name))
         beside = beside.join(other, ["cluster", "band"], "left")
     beside = beside.drop("slices")
-    placed = nodes.join(beside, ["cluster", "band"], "left")
+    nodes = nodes.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots)))
+    beside = nodes.select("cluster", "band", "slot").distinct().join(beside, ["cluster", "band"])
+    placed = nodes.join(beside, ["cluster", "band", "slot"], "left")
     mine = F.pmod(F.xxhash64("node"), F.col("own")).cast("int")
     placed = placed.withColumn("mine", mine)
     upto = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
@@ -221,6 +226,7 @@ def joined(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = BLO
     sets = own.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_settle(k, percent), SETS)
     sets = stage(sets, "jaccard-sets")
 
+    slots = blocks * max(1, block_docs // SLOT_DOCS)
     classes = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     band = F.floor(F.log("n") / -math.log(percent / 100 - 0.01)).cast("int")
     keyed = sets.where("digest is not null").select("doc_id", "digest", "n", band.alias("band"), "keys")
@@ -237,14 +243,14 @@ def joined(docs: DataFrame, k: int = 4, percent: int = 85, block_docs: int = BLO
     sized = sets.where("digest is not null").select(F.col("doc_id").alias("node"), "n", band.alias("band")).distinct()
     nodes = stage(clusters.join(sized, "node").select("node", F.col("component").alias("cluster"), "n", "band"), "jaccard-nodes")
     members = sets.where("members is not null").select(F.col("doc_id").alias("node"), "n", "members")
-    links = _tiles(nodes).join(members, "node").groupBy("tile").applyInPandas(_verify(percent), "low long, high long")
+    links = _tiles(nodes, slots).join(members, "node").groupBy("tile").applyInPandas(_verify(percent), "low long, high long")
     components = connected(links, "jaccard-links")
 
-    # A class of many copies is spread over slots of about SLOT_DOCS documents; its name goes once to each.
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(blocks * max(1, block_docs // SLOT_DOCS))).alias("slot")
+    # A class of many copies is spread over the slots; its name goes once to each.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")
     named = classes.join(components, ["node"], "left").select("digest", F.coalesce("component", "node").alias("component"))
-    slots = sets.where("digest is not null").select("digest", slot).distinct().join(named, ["digest"])
+    named = sets.where("digest is not null").select("digest", slot).distinct().join(named, ["digest"])
     # A settled document matches no class: its own id keeps it from meeting the others on null.
     own_key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
-    rows = sets.select("doc_id", "n", own_key.alias("digest"), slot).join(slots, ["digest", "slot"], "left")
+    rows = sets.select("doc_id", "n", own_key.alias("digest"), slot).join(named, ["digest", "slot"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
