@@ -259,34 +259,43 @@ def allocation_table(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(allocation_rows() if rows is None else rows, schema)
 
 
+def _rulebook(allocations: DataFrame) -> Column:
+    """One map from jurisdiction to what the tables say of it: as large as the instrument, whatever the places."""
+    rule = lambda category, kind: F.bool_or((F.col("category") == category) & (F.col("kind") == kind))
+    listed = lambda category: F.collect_list(
+        F.when((F.col("category") == category) & (F.col("kind") == "RANGES"), F.struct("lo", "hi"))
+    )
+    by_jurisdiction = allocations.filter("jurisdiction is not null").groupBy("jurisdiction").agg(
+        F.struct(
+            rule(CITY, "ALL").alias("city_all"),
+            rule(OTHER, "ALL").alias("other_all"),
+            rule(OTHER, "REMAINDER").alias("other_rest"),
+            listed(CITY).alias("city"),
+            listed(OTHER).alias("other"),
+        ).alias("rules")
+    )
+    return by_jurisdiction.agg(F.map_from_entries(F.collect_list(F.struct("jurisdiction", "rules")))).scalar()
+
+
 def classify_places(places: DataFrame, allocations: DataFrame, postcode: str = "postcode", jurisdiction: str = "state_code") -> DataFrame:
-    """Status, category and basis of each place under the two tables; an undecided place is UNKNOWN."""
-    listed = (
-        allocations.filter("kind = 'RANGES'")
-        .select("jurisdiction", "category", F.explode(F.sequence("lo", "hi")).alias("code_number"))
-        .groupBy("jurisdiction", "code_number")
-        .agg(
-            F.bool_or(F.col("category") == CITY).alias("in_city"),
-            F.bool_or(F.col("category") == OTHER).alias("in_other"),
-        )
+    """Status, category and basis of each place under the two tables; an undecided place is UNKNOWN.
+
+    The instrument is looked up as one value, so places are neither joined nor moved.
+    """
+    book = F.try_element_at(_rulebook(allocations), F.upper(F.trim(jurisdiction)))
+    ruled = places.withColumn("_rules", book).withColumn("_code", four_digit_postcode(F.col(postcode)).cast("int"))
+    holds = lambda table: F.coalesce(
+        F.exists(f"_rules.{table}", lambda r: F.col("_code").between(r["lo"], r["hi"])), F.lit(False)
     )
-    rule = lambda category, kind: F.bool_or((F.col("category") == category) & (F.col("kind") == kind))
-    rules = allocations.groupBy("jurisdiction").agg(
-        rule(CITY, "ALL").alias("city_all"),
-        rule(OTHER, "ALL").alias("other_all"),
-        rule(OTHER, "REMAINDER").alias("other_rest"),
-    )
-    code = four_digit_postcode(F.col(postcode))
-    keyed = places.withColumn("jurisdiction", F.upper(F.trim(jurisdiction))).withColumn(
-        "code_number", code.cast("int")
-    )
-    joined = keyed.join(rules, "jurisdiction", "left").join(listed, ["jurisdiction", "code_number"], "left")
-    is_listed = F.col("city_all").isNotNull()
-    readable = F.col("code_number").isNotNull()
+    flags = {name: F.col(f"_rules.{name}") for name in ("city_all", "other_all", "other_rest")}
+    judged = ruled.withColumn("_in_city", flags["city_all"] | holds("city")).withColumn(
+        "_in_other", flags["other_all"] | flags["other_rest"] | holds("other")
+    )
+    is_listed = F.col("_rules").isNotNull()
+    readable = F.col("_code").isNotNull()
     stated = F.col(postcode).isNotNull()
-    in_city = F.col("city_all") | F.coalesce("in_city", F.lit(False))
-    in_other = F.col("other_all") | F.coalesce("in_other", F.lit(False)) | F.col("other_rest")
-    wholly = F.col("city_all") | F.col("other_all") | F.col("other_rest")
+    in_city, in_other = F.col("_in_city"), F.col("_in_other")
+    wholly = flags["city_all"] | flags["other_all"] | flags["other_rest"]
 
     def verdict(status: str, category: Column, basis: str) -> Column:
         return F.struct(
@@ -294,7 +303,7 @@ def classify_places(places: DataFrame, allocations: DataFrame, postcode: str = "
         )
 
     unknown = verdict("UNKNOWN", F.lit(None), "NONE")
-    by_state = F.when(F.col("city_all"), CITY).when(F.col("other_all"), OTHER)
+    by_state = F.when(flags["city_all"], CITY).when(flags["other_all"], OTHER)
     placement = (
         F.when(~is_listed, unknown)
         .when(stated & ~readable, unknown)
@@ -304,7 +313,7 @@ def classify_places(places: DataFrame, allocations: DataFrame, postcode: str = "
         .when(wholly, verdict("REGIONAL", by_state, "STATE"))
         .otherwise(unknown)
     )
-    return joined.select(*places.columns, placement.alias("placed"))
+    return judged.select(*places.columns, placement.alias("placed"))
 
 
 def wholly_regional(allocations: DataFrame) -> DataFrame:
@@ -422,20 +431,36 @@ def edition_changes(geography: DataFrame) -> DataFrame:
     return geography.groupBy("level", label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ring_edges(rings: Column) -> Column:
+    """All edges of some rings, each as its two ends; a ring closes by itself."""
+    nexts = lambda ring: F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    return F.flatten(
+        F.transform(rings, lambda ring: F.zip_with(ring, nexts(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    )
+
+
 def grid_cells(polygons: DataFrame, size: float) -> DataFrame:
-    """One row per grid cell a polygon's bounding box touches."""
-    xs = F.transform("ring", lambda p: p["x"])
-    ys = F.transform("ring", lambda p: p["y"])
-    span = lambda values: F.sequence(
-        F.floor(F.array_min(values) / size), F.floor(F.array_max(values) / size)
+    """``polygon_id, cx, cy, edges``: the grid cells a polygon's box touches, each row of cells with its own edges alone.
+
+    A polygon has one ``ring``, or ``rings`` where it has several parts or holes.
+    """
+    rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
+    cell = lambda v: F.floor(v / size)
+    edged = polygons.select("polygon_id", ring_edges(rings).alias("edges")).filter(F.size("edges") > 0)
+    side = lambda axis, end: F.transform("edges", lambda e: cell(e[end][axis]))
+    span = lambda axis: F.sequence(F.array_min(side(axis, "a")), F.array_max(side(axis, "a")))
+    rows = edged.select("polygon_id", "edges", span("x").alias("across"), F.explode(span("y")).alias("cy"))
+    # A ray to the right from a point of this row of cells meets no edge that lies above or below it.
+    beside = F.filter(
+        "edges",
+        lambda e: (cell(F.least(e["a"]["y"], e["b"]["y"])) <= F.col("cy")) & (cell(F.greatest(e["a"]["y"], e["b"]["y"])) >= F.col("cy")),
     )
-    return polygons.withColumn("cx", F.explode(span(xs))).withColumn("cy", F.explode(span(ys)))
+    rows = rows.select("polygon_id", "across", "cy", beside.alias("edges"))
+    return rows.select("polygon_id", F.explode("across").alias("cx"), "cy", "edges")
 
 
-def inside_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd test: how many edges a ray to the right crosses."""
-    nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    edges = F.arrays_zip(ring.alias("a"), nexts.alias("b"))
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd test: how many edges a ray to the right crosses. Holes and parts need no marks of their own."""
 
     def crosses(edge: Column) -> Column:
         a, b = edge["a"], edge["b"]
@@ -450,12 +475,12 @@ def place_points(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> D
     """The polygon each point lies in, null where it lies in none; the least id where several hold it.
 
     Points and polygons meet on a grid cell, so a point is tested only against
-    polygons whose box touches its cell.
+    polygons whose box touches its cell, and against those edges at its height.
     """
     celled = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
     near = celled.join(grid_cells(polygons, size), ["cx", "cy"])
     held = (
-        near.filter(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
+        near.filter(inside_edges(F.col("x"), F.col("y"), F.col("edges")))
         .groupBy("point_id")
         .agg(F.min("polygon_id").alias("polygon_id"))
     )

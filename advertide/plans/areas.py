@@ -185,6 +185,28 @@ def c13(t: Inputs) -> DataFrame:
     return G.place_points(points(t), polygons(t), 0.05).select("point_id", "polygon_id")
 
 
+def pierced(t: Inputs) -> DataFrame:
+    """Every box with a slanted hole in its middle and a triangle for a second part beyond its upper right corner."""
+    at = lambda x, y: F.struct(F.expr(f"cast({x} as double)").alias("x"), F.expr(f"cast({y} as double)").alias("y"))
+    box = F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"))
+    hole = F.array(at("x0 + 0.05", "y0 + 0.01"), at("x0 + 0.08", "y0 + 0.04"), at("x0 + 0.05", "y0 + 0.07"), at("x0 + 0.02", "y0 + 0.04"))
+    island = F.array(at("x1 + 0.01", "y1"), at("x1 + 0.31", "y1"), at("x1 + 0.01", "y1 + 0.3"))
+    return t.box.select("polygon_id", F.array(box, hole, island).alias("rings"))
+
+
+IN_HOLE = "abs(x - (x0 + 0.05)) + abs(y - (y0 + 0.04)) < 0.03"
+ON_ISLAND = "x > x1 + 0.01 and y > y1 and (x - (x1 + 0.01)) + (y - y1) < 0.3"
+
+
+@query(
+    "c13_holes_and_parts",
+    f"""select point_id, min(polygon_id) as polygon_id from ({POINTS}) p
+    left join {{box}} b on ({HELD} and not {IN_HOLE}) or ({ON_ISLAND}) group by 1""",
+)
+def c13_pierced(t: Inputs) -> DataFrame:
+    return G.place_points(points(t), pierced(t), 0.05).select("point_id", "polygon_id")
+
+
 PARENT = "case level when 'STATE' then 'COUNTRY' when 'GCCSA' then 'STATE' when 'SA4' then 'STATE' end"
 
 

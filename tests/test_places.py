@@ -136,6 +136,41 @@ def test_points_in_concave_polygons(spark):
         assert got[i] == min((k for k, ring in polygons.items() if inside(x, y, ring)), default=None)
 
 
+def test_points_in_rings_with_holes_and_parts(spark):
+    """A slanted ring with a hole, an island in the hole and a second part, against the parity of each ring."""
+    rings = [
+        [(0.0, 0.0), (5.0, 1.0), (4.0, 5.0), (-1.0, 4.0)],
+        [(1.0, 1.0), (3.5, 1.5), (3.0, 4.0), (0.5, 3.5)],
+        [(1.5, 2.0), (2.5, 2.2), (2.0, 3.0)],
+        [(6.0, 6.0), (8.0, 6.5), (6.5, 8.0)],
+    ]
+    rng = random.Random(9)
+    points = [(i, rng.uniform(-2, 9), rng.uniform(-2, 9)) for i in range(600)]
+    schema = "polygon_id string, rings array<array<struct<x:double,y:double>>>"
+    rows = [("1000", [[dict(x=x, y=y) for x, y in ring] for ring in rings]), ("2000", []), ("3000", None)]
+    frame = spark.createDataFrame(points, "point_id int, x double, y double")
+
+    def crossings(x, y):
+        edges = [e for ring in rings for e in zip(ring, ring[1:] + ring[:1])]
+        return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in edges)
+
+    for size in (0.3, 2.0):
+        got = {r["point_id"]: r["polygon_id"] for r in G.place_points(frame, spark.createDataFrame(rows, schema), size).collect()}
+        assert got == {i: "1000" if crossings(x, y) % 2 else None for i, x, y in points}
+
+
+@pytest.mark.parametrize("state", ["a column", "a constant"])
+def test_places_are_classified_where_they_are(spark, tmp_path, state):
+    """No join, no exchange of places, also where all are of one state."""
+    df = spark.range(100).select(F.lpad(F.col("id").cast("string"), 4, "2").alias("postcode"), F.col("id").alias("place_id"))
+    code = F.lit("NSW") if state == "a constant" else F.element_at(F.array(F.lit("NSW"), F.lit("QLD")), (F.col("place_id") % 2 + 1).cast("int"))
+    df.withColumn("state_code", code).write.parquet(str(tmp_path / "places"))
+    placed = G.classify_places(spark.read.parquet(str(tmp_path / "places")), G.allocation_table(spark))
+    plan = placed._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Join" not in plan and "Exchange" not in plan
+    assert placed.count() == 100
+
+
 def test_children_wait_for_their_parents(spark):
     rows = [("W", "COUNTRY", None), ("S", "STATE", "W"), ("T", "STATE", "X"), ("a", "SA4", "S"), ("b", "SA4", "T")]
     df = spark.createDataFrame(rows, "code string, level string, parent_code string")
