@@ -25,6 +25,10 @@ class ReleaseImport:
     observations: DataFrame
     quarantined: DataFrame
     counts: DataFrame
+    ledger: DataFrame
+
+
+RESOLVED_FIELDS = ["resolved_code", "geography_resolution", "occupation_id", "occupation_resolution"]
 
 
 def import_release(
@@ -37,12 +41,25 @@ def import_release(
     measure: str,
     unit: str,
     retain_periods: int,
+    stored_series: DataFrame | None = None,
+    runs: DataFrame | None = None,
+    checksum: str | None = None,
+    started: str = "1970-01-01",
+    finished: str = "1970-01-01",
 ) -> ReleaseImport:
     """A release read, narrowed to the retained periods, resolved and merged.
 
-    The gate is part of ``counts``. Where it fails, ``observations`` are what was
-    stored, so a release that changed shape never replaces good data.
+    The gate is part of ``counts``. Where it fails, ``observations`` and ``series`` are
+    what was stored, so a release that changed shape never replaces good data. A
+    release whose ``checksum`` a completed run of ``runs`` (source_key, dataset, status,
+    checksum) has recorded is not read again: its run is SKIPPED and the stored tables
+    stay. ``ledger`` is the row to append to the runs.
     """
+    done = F.lit(False)
+    if runs is not None:
+        same = (F.col("source_key") == source) & (F.col("dataset") == dataset) & (F.col("checksum") == checksum)
+        done = runs.filter(same & (F.col("status") == "COMPLETED")).agg((F.count(F.lit(1)) > 0).alias("done")).scalar()
+        sheets = sheets.filter(~done)
     layout = R.layouts(sheets)
     stated = R.stated_rows(sheets, layout)
     # Four results are drawn from the readings, so the sheets are parsed once and kept.
@@ -73,7 +90,7 @@ def import_release(
         (F.col("created") + F.col("updated")).alias("records_written"),
         (F.col("unchanged") + dropped).alias("records_skipped"),
         found.alias("records_quarantined"),
-        F.lit("COMPLETED").alias("status"),
+        F.when(done, "SKIPPED").otherwise("COMPLETED").alias("status"),
         F.lit(None).cast("string").alias("error"),
     )
     records = problems.select(
@@ -90,7 +107,13 @@ def import_release(
         "series_key", "period_start", F.lit(M.KEPT).alias("action"), "value_state", "value"
     )
     published = keep_recent(snapshot, retain_periods).filter(~failed).unionByName(as_stored)
-    return ReleaseImport(series, published, quarantined, gated)
+    if stored_series is not None:
+        stated = [c for c in series.columns if c not in ("series_key", *RESOLVED_FIELDS)]
+        resulting = M.merge_series(stored_series, series, stated, RESOLVED_FIELDS)
+        kept = stored_series.filter(failed).withColumn("action", F.lit(M.KEPT)).select(*resulting.columns)
+        series = resulting.filter(~failed).unionByName(kept)
+    ledger = M.ledger_row(gated, source, dataset, F.col("status"), started, finished).withColumn("checksum", F.lit(checksum))
+    return ReleaseImport(series, published, quarantined, gated, ledger)
 
 
 @dataclass(frozen=True)
@@ -104,7 +127,7 @@ class ListingImport:
 
 HASHED = [
     "source_key", "source_id", "title", "description", "description_format", "description_is_excerpt", "company_name",
-    "location_text", "employment_type", "contract_type", "salary_min", "salary_max", "salary_currency", "salary_period",
+    "location_text", "latitude", "longitude", "employment_type", "contract_type", "salary_min", "salary_max", "salary_currency", "salary_period",
     "salary_basis", "apply_url", "source_url", "posted_at", "category_tag",
 ]
 

@@ -296,7 +296,7 @@ def reap_abandoned(runs: DataFrame, now: str, after_hours: int = 2) -> DataFrame
     )
 
 
-def ledger_row(counts: DataFrame, source: str, dataset: str, status: str, started: str, finished: str) -> DataFrame:
+def ledger_row(counts: DataFrame, source: str, dataset: str, status: str | Column, started: str, finished: str) -> DataFrame:
     """One run record from a one-row frame of counters."""
     stamp = lambda text: F.lit(text).cast("timestamp_ntz")
     return counts.select(

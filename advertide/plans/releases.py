@@ -441,22 +441,36 @@ def stored_observations(t: Inputs) -> DataFrame:
     return t.stored_metric.select(key.alias("series_key"), "period_start", (F.col("value") * 1000).alias("value"), "value_state")
 
 
-def release_import(t: Inputs) -> I.ReleaseImport:
-    return I.import_release(sheets(t), stored_observations(t), t.geography, t.occupation, FEED, DATASET, MEASURE, UNIT, 24)
+def release_import(t: Inputs, **rest) -> I.ReleaseImport:
+    return I.import_release(sheets(t), stored_observations(t), t.geography, t.occupation, FEED, DATASET, MEASURE, UNIT, 24, **rest)
 
 
-@query(
-    "g22_release_import",
-    f"""with n as (select (select count(*) from ({RANKED}) a where rn = 1) as seen,
+G22 = f"""with n as (select (select count(*) from ({RANKED}) a where rn = 1) as seen,
       (select count(*) from ({READ}) b where value_state is null) + (select count(*) from ({RANKED}) c where rn > 1 and (value_state <> first_state or value is distinct from first_value)) + (select count(*) from {{region}}) as problems,
       (select count(*) from ({RANKED}) d where rn > 1 and value_state = first_state and value is not distinct from first_value) as dropped,
       (select count(*) from ({RETAINED}) e) as kept, (select count(*) from ({RETAINED}) f join ({STORED}) s on s.series_key = f.series_key and s.period_start = f.period_start where f.value_state = 'PRESENT' and f.value = s.value) as same)
-    select seen + problems as records_seen, kept - same as records_written, same + dropped as records_skipped, problems as records_quarantined, case when problems / (seen + problems) > 0.05 then 'FAILED' else 'COMPLETED' end as status from n""",
-)
+    select seen + problems as records_seen, kept - same as records_written, same + dropped as records_skipped, problems as records_quarantined, case when problems / (seen + problems) > 0.05 then 'FAILED' else 'COMPLETED' end as status from n"""
+
+
+@query("g22_release_import", G22)
 def g22(t: Inputs) -> DataFrame:
     return release_import(t).counts.select("records_seen", "records_written", "records_skipped", "records_quarantined", "status")
 
 
+@query(
+    "g22_ledger",
+    f"""with c as (
+    {G22})
+    select '{FEED}' as source_key, '{DATASET}' as dataset, *, 'sum-2' as checksum from c""",
+)
+def g22_ledger(t: Inputs) -> DataFrame:
+    runs = t.region.select(
+        F.lit(FEED).alias("source_key"), F.lit(DATASET).alias("dataset"), F.concat(F.lit("sum-"), "r_regionkey").alias("checksum"),
+        F.when(F.col("r_regionkey") == 2, "FAILED").otherwise("COMPLETED").alias("status"),
+    )
+    return release_import(t, runs=runs, checksum="sum-2").ledger.drop("started_at", "finished_at")
+
+
 @query(
     "g22_imported_series",
     """select 'feed|advertisement-index|online-advertisements|month|g:n.' || lower(geo_code) || '|o:c.' || occ_code || '|adjustment.original' as series_key, 'UNRESOLVED' as geography_resolution,

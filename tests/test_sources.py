@@ -110,6 +110,32 @@ def test_release_import_is_idempotent_and_gated(spark):
     assert sorted((r["series_key"], r["period_start"].month, r["value"], r["action"]) for r in failed.observations.collect()) == [("k", 1, 1.0, "KEPT"), ("k", 2, 2.0, "KEPT")]
 
 
+def test_a_completed_release_is_not_read_again(spark):
+    areas = spark.createDataFrame([("1", "New South Wales")], "code string, name string")
+    jobs = spark.createDataFrame([("2211", "2211/v1")], "code string, occupation_id string")
+    nothing = spark.createDataFrame([], "series_key string, period_start date, value double, value_state string")
+    lines = {"A": [HEADER] + [["2211", "Accountants", "NSW", str(i), "1", "2"] for i in range(5)]}
+    args = (areas, jobs, "src", "data", "ads", "ads", 2)
+    at = {"started": "2001-01-01 00:00:00", "finished": "2001-01-01 00:05:00"}
+    none_run = spark.createDataFrame([], "source_key string, dataset string, status string, checksum string")
+    first = I.import_release(sheet(spark, lines), nothing, *args, runs=none_run, checksum="c1", **at)
+    run = first.ledger.collect()
+    assert [(r["status"], r["records_written"], r["checksum"], r["finished_at"].minute) for r in run] == [("COMPLETED", 10, "c1", 5)]
+    runs = spark.createDataFrame([(r["source_key"], r["dataset"], r["status"], r["checksum"]) for r in run], none_run.schema)
+    keys = {r["series_key"] for r in first.series.collect()}
+    gone = first.series.withColumn("series_key", F.concat("series_key", F.lit("-old")))
+    stored = first.series.withColumn("geography_resolution", F.lit("UNRESOLVED")).unionByName(gone)
+    again = I.import_release(sheet(spark, lines), first.observations, *args, stored_series=stored, runs=runs, checksum="c1", **at)
+    assert [(r["status"], r["records_seen"]) for r in again.ledger.collect()] == [("SKIPPED", 0)]
+    assert again.observations.count() == 10
+    assert {r["action"] for r in again.series.collect()} == {"KEPT"}
+    # Another checksum is read, and its series are resolved anew beside those it does not name.
+    other = I.import_release(sheet(spark, lines), first.observations, *args, stored_series=stored, runs=runs, checksum="c2", **at)
+    assert [(r["status"], r["records_skipped"]) for r in other.ledger.collect()] == [("COMPLETED", 10)]
+    got = {r["series_key"]: (r["action"], r["geography_resolution"]) for r in other.series.collect()}
+    assert got == {k: ("UPDATED", "RESOLVED") for k in keys} | {k + "-old": ("KEPT", "RESOLVED") for k in keys}
+
+
 def lines_of(spark, records):
     return spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in records], "value string")
 
