@@ -1,9 +1,9 @@
 """Resolving what a source says about a place, and classifying the place.
 
 Lookups are equi joins against keys grouped once per dimension; a key with more
-than one candidate is ambiguous and resolves to nothing. Postcode ranges become
-postcodes (a closed domain of ten thousand codes) and polygons become grid
-cells, so neither needs a range or nested-loop join.
+than one candidate is ambiguous and resolves to nothing. Postcode tables are one
+value in which places are looked up, and polygons become grid cells, so neither
+needs a range or nested-loop join.
 """
 
 from __future__ import annotations
