@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the smallest id stays, once; rows without an id stay.
 
-    Near duplicates are at a Jaccard similarity of 0.85 of four-word shingles, as in the join's contract.
+    Near duplicates are at a Jaccard similarity of 0.80 or more of five-word shingles.
     """
-    others = joined(docs).where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
+    others = joined(docs, k=5, percent=80).where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_order"))
     # Rows without an id need no neighbour: a number of their own keeps them from meeting in one task.

@@ -441,6 +441,19 @@ def test_stages_take_effect(spark, documents, texts):
     assert packed == seen["mixing"].select("doc_id").distinct().count()
 
 
+def test_near_duplicates_are_found_by_five_words_at_four_fifths(spark):
+    base = [f"w{i}" for i in range(1000)]
+    longer = base + [f"n{i}" for i in range(220)]
+    changed = [f"c{i}" if i % 47 == 20 else w for i, w in enumerate(base)]
+    apart = [f"d{i}" if i % 40 == 20 else w for i, w in enumerate(base)]
+    rows = [(n * 10 + i, " ".join(f"{n}{w}" for w in ws)) for n, pair in enumerate([longer, changed, apart]) for i, ws in enumerate([base, pair])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect())
+    classes = brute.components(rows, k=5, percent=80)
+    assert kept == sorted(i for i, (_, c) in classes.items() if i == c) == [0, 10, 20, 21]
+    assert len({c for _, c in brute.components(rows).values()}) == 6
+
+
 def test_stages_take_odd_and_empty_tables(spark, odd, none):
     for frame in (odd.withColumn("lang", F.lit(None).cast("string")), none):
         for _, step in corpus_pipeline.STAGES:
