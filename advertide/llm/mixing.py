@@ -7,7 +7,8 @@ method: the vector of probabilities moves through the null space of the balance
 constraints (number of documents, number of words), so both totals stay as they
 are while probabilities turn into 0 or 1. Blocks of one source move on their
 own; the few undecided documents of each block meet in the next level, until
-one small landing problem a source is left. That is solved by trying every
+one block and one small landing problem of the source are left, whatever the
+number of blocks of other sources. That is solved by trying every
 rounding of its members and keeping the one nearest to the word total.
 """
 
@@ -107,15 +108,14 @@ def landing(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return p
 
 
-def _move(last: bool):
-    def move(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["key", "unit_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
-        p, sizes = block["p"].to_numpy(dtype=float), block["size"].to_numpy(dtype=float)
-        p = flight(p, sizes, LANDING if last else 2)
-        block["p"] = landing(p, sizes) if last else p
-        return block.drop(columns="slot")
-
-    return move
+def _move(block: pd.DataFrame) -> pd.DataFrame:
+    """A source's only block lands; one of several leaves its undecided to the next level."""
+    last = block["slots"].iloc[0] == 1
+    block = block.sort_values(["key", "unit_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    p, sizes = block["p"].to_numpy(dtype=float), block["size"].to_numpy(dtype=float)
+    p = flight(p, sizes, LANDING if last else 2)
+    block["p"] = landing(p, sizes) if last else p
+    return block.drop(columns=["slot", "slots"])
 
 
 def taken_copies(sized: DataFrame, **rules) -> DataFrame:
@@ -146,8 +146,8 @@ def taken_copies(sized: DataFrame, **rules) -> DataFrame:
         )
         widest = counts.agg(F.max("slots")).first()[0] or 1
         dealt = undecided.join(counts, undecided["source"].eqNullSafe(counts["source"])).drop(counts["source"])
-        dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("key", F.lit(level)), F.col("slots"))).drop("n", "slots")
-        moved = dealt.groupBy("source", "slot").applyInPandas(_move(widest == 1), UNIT)
+        dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("key", F.lit(level)), F.col("slots"))).drop("n")
+        moved = dealt.groupBy("source", "slot").applyInPandas(_move, UNIT)
         moved = stage(moved, f"mix-level{level}")
         settled = settled.unionByName(moved.where((F.col("p") <= 0) | (F.col("p") >= 1)))
         if widest == 1:

@@ -163,6 +163,16 @@ def test_mix_meets_its_targets(documents, monkeypatch, block):
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_small_source_lands_whatever_the_size_of_another(spark, monkeypatch):
+    rows = [(i, "small", 100 + 37 * i) for i in range(14)] + [(100 + i, "wide", 50 + i) for i in range(200)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    picks = []
+    for block in (8192, 16):
+        monkeypatch.setattr(mixing, "BLOCK", block)
+        picks.append({r.doc_id: r.copies for r in mixing.taken_copies(sized, weights=(1, 7), share=1.3).collect() if r.source == "small"})
+    assert len(picks[0]) == 14 and picks[0] == picks[1]
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(3)
     p, sizes = rng.random(500), rng.integers(1, 1000, 500).astype(float)
