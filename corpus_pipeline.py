@@ -23,19 +23,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest id stays, once; rows without an id stay.
+    """Of each component of near duplicates the row with the smallest id stays, once; rows without an id stay.
 
     Near duplicates are at a Jaccard similarity of 0.80 or more of five-word shingles.
+    A document is an id with a text: different texts under one id are judged apart,
+    by a 64-bit hash of both.
     """
-    others = joined(docs, k=5, percent=80).where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_order"))
-    # Rows without an id need no neighbour: a number of their own keeps them from meeting in one task.
-    rows = rows.withColumn("_own", F.when(F.col("_id").isNull(), F.col("_order")))
-    left = rows.join(others, F.col("_id") == F.col("_other"), "left_anti")
-    place = F.row_number().over(Window.partitionBy("_id", "_own").orderBy("_order"))
-    left = left.withColumn("_place", place).where("_place = 1 or _id is null")
-    return left.select("_row.*")
+    unit = F.when(F.col("doc_id").cast("long").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    named = docs.select(unit.alias("doc_id"), "text").where("doc_id is not null")
+    near = joined(named, k=5, percent=80).where("component_id <> doc_id")
+    near = stage(near.select(F.col("doc_id").alias("_unit"), F.col("component_id").alias("_group")).distinct(), "pipeline-near")
+    near = near.union(near.select(F.col("_group").alias("_unit"), "_group").distinct())
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"), unit.alias("_unit")).where("_unit is not null").distinct()
+    near = near.join(ids, "_unit")
+    least = near.groupBy("_group").agg(F.min(F.struct("_id", "_unit"))["_unit"].alias("_unit"))
+    others = near.join(least, "_unit", "left_anti").select("_unit")
+
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), unit.alias("_unit"))
+    left = rows.where("_unit is not null").join(others, "_unit", "left_anti")
+    place = F.row_number().over(Window.partitionBy("_unit").orderBy(F.xxhash64("_row")))
+    left = left.withColumn("_place", place).where("_place = 1")
+    return left.select("_row.*").unionByName(rows.where("_unit is null").select("_row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

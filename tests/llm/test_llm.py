@@ -464,6 +464,16 @@ def test_near_duplicates_are_found_by_five_words_at_four_fifths(spark):
     assert len({c for _, c in brute.components(rows).values()}) == 6
 
 
+def test_different_texts_under_one_id_are_judged_apart(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, one + " more"), (3, three), (3, three + " more"), (None, one), (None, one), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()]
+    threes = [r for r in got if r[0] == 3]
+    assert len(threes) == 1 and threes[0] in rows
+    assert sorted((r for r in got if r[0] != 3), key=str) == sorted([(1, one), (1, two), (None, one), (None, one), (4, None), (4, "")], key=str)
+
+
 def test_stages_take_odd_and_empty_tables(spark, odd, none):
     for frame in (odd.withColumn("lang", F.lit(None).cast("string")), none):
         for _, step in corpus_pipeline.STAGES:
