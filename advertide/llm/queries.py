@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from advertide.llm.chat import chat_report
 from advertide.llm.fingerprints import fingerprint_report
 from advertide.llm.jaccard import joined
+from advertide.llm.linededup import line_report
 from advertide.llm.mixing import mix_report
+from advertide.llm.negatives import mined, relabelled
 from advertide.llm.packing import packed_report
+from advertide.llm.periodic import run_report
 from advertide.llm.secrets import secret_report
 from advertide.llm.substrings import removal_report
 from advertide.llm.tokenfiles import documents_through_files
@@ -176,3 +179,106 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    with usable as (
+        select vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label, embedding from embeddings
+        where vec_id is not null and label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), terms as (select vec_id, unnest(embedding) x, unnest(range(len(embedding))) d from usable),
+    whole as (select vec_id, d, cast(floor(256 * cast(x as double)) as bigint) x from terms),
+    scores as (
+        select q.vec_id anchor, c.vec_id other, sum(q.x * c.x) score
+        from whole q join whole c on q.d = c.d and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by 1, 2
+    ), judged as (
+        select anchor, other, score, x.label = y.label as same
+        from scores join usable x on x.vec_id = anchor join usable y on y.vec_id = other
+    ), near as (
+        select *, row_number() over (partition by anchor order by score desc, other) r from judged where same
+    ), found as (
+        select p.anchor, p.other positive, p.score positive_score, n.other negative, n.score negative_score,
+            row_number() over (partition by p.anchor, p.other order by n.score desc, n.other) r
+        from near p join judged n on n.anchor = p.anchor and not n.same
+            and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+        where p.r <= 5
+    )
+    select anchor as anchor_id, positive as positive_id, cast(r as int) as rank, negative as negative_id,
+        cast(positive_score as bigint) as positive_score, cast(negative_score as bigint) as negative_score
+    from found where r <= 3
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(relabelled(table(spark, sf_dir, "embeddings")))
+
+
+@query(
+    "op12_line_dedup",
+    """
+    with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+    lines as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as place from split),
+    keyed as (
+        select *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
+    ), shared as (
+        select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+    ), marked as (
+        select doc_id, line, place, last is not null and last <> doc_id as gone from keyed left join shared using (key)
+    )
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
+    from marked group by doc_id
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+# Checksum of a decimal number: its digits one after another, eight bits each.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+@query(
+    "op13_periodic_runs",
+    rf"""
+    with said as (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as ws, {CRC32} as h from documents
+    ), placed as (select doc_id, ws, len(ws) as n, h, h // 10 as g from said),
+    parts as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from placed),
+    moved as (select *, 1 + (n - a) // (3 + g % 8) as p from parts),
+    words as materialized (
+        select doc_id, n, place, ws[cast(case when place >= a then a + (place - a) % p else place end as bigint) + 1] as word
+        from (select *, unnest(range(n)) as place from moved)
+    ), pairs as (
+        select x.doc_id, x.n, y.place - x.place as q, x.place
+        from words x join words y on x.doc_id = y.doc_id and x.word = y.word and y.place > x.place and 4 * (y.place - x.place) <= x.n
+    ), islands as (
+        select *, place - row_number() over (partition by doc_id, q order by place) as island from pairs
+    ), stretches as (
+        select doc_id, q, min(place) as s, count(*) + q as l from islands group by doc_id, q, island
+    ), long as materialized (select * from stretches where l >= greatest(6, 4 * q)),
+    runs as materialized (
+        select * from long where not exists (
+            select 1 from long b where b.doc_id = long.doc_id and b.q < long.q and b.s <= long.s and b.s + b.l >= long.s + long.l
+        )
+    ), summed as (
+        select doc_id, count(*) as n_runs, string_agg(concat(s, ',', l, ',', q, chr(10)), '' order by s, q) as said from runs group by doc_id
+    ), best as (select *, row_number() over (partition by doc_id order by l desc, s, q) as r from runs),
+    gone as (select distinct doc_id, unnest(range(s + q, s + l)) as place from runs),
+    kept as (
+        select doc_id, string_agg(word, ' ' order by place) as said from words anti join gone using (doc_id, place) group by doc_id
+    )
+    select documents.doc_id, coalesce(n_runs, 0) as n_runs, s as start, l as length, q as period,
+        1000 * l // q as exponent_milli, sha256(coalesce(summed.said, '')) as runs_sha256,
+        sha256(coalesce(kept.said, '')) as collapsed_sha256
+    from documents left join summed using (doc_id) left join kept using (doc_id)
+        left join (select * from best where r = 1) b on b.doc_id = documents.doc_id
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
