@@ -11,7 +11,8 @@ import numpy as np
 # depend on what stands before it. Two blanks in a row, or one at the end, take the slower split.
 PLAIN = re.compile(r" (?:\s|$)")
 PIECES = re.compile(r"(?= (?=\S))")
-CACHED = 300_000
+# Pieces in either generation of the cache.
+CACHED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -24,7 +25,10 @@ class Encoder:
     """Ids of whole texts as little-endian bytes, equal to encoding each text at once.
 
     ``special_as_text``: a special token's own string inside a text is ordinary text.
-    The cache of pieces is bounded; pieces beyond it are encoded again.
+    The cache of pieces has two bounded generations: a piece found in the older one
+    moves to the younger, and when that is full it becomes the older one, so pieces
+    that keep coming stay. Missing pieces are encoded as one text and its ids cut
+    where the pieces' bytes end.
     """
 
     def __init__(self, path: str, width: str = "<u4", special_as_text: bool = False):
@@ -34,7 +38,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.width = width
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # Bytes of text behind each id: a byte-level token is spelled with one character a byte, a special one as it is.
+        special = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spans = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.spans[i] = special.get(i, len(token))
 
     def _pieces(self, text: str) -> list[str]:
         if PLAIN.search(text):
@@ -43,25 +54,55 @@ class Encoder:
         pieces = [" " + p for p in rest]
         return [first, *pieces] if first else pieces
 
+    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(f.ids, dtype=self.width).tobytes() for f in found]
+
+    def _at_once(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin with a blank and a visible character, encoded as one text."""
+        (found,) = self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)
+        ids = np.array(found.ids, dtype=self.width)
+        ends = np.cumsum(self.spans[ids])
+        wanted = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
+        cuts = np.searchsorted(ends, wanted)
+        if len(ends) != cuts[-1] + 1 or (ends[cuts] != wanted).any():  # no byte-level vocabulary
+            return self._one_by_one(pieces)
+        raw, step = ids.tobytes(), ids.itemsize
+        edges = [0, *((cuts + 1) * step).tolist()]
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces the younger generation lacks, found in the older one or encoded."""
+        learnt, led, bare = {}, [], []
+        for piece in pieces:
+            known = self.old.get(piece)
+            if known is not None:
+                learnt[piece] = known
+            elif piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1:
+                led.append(piece)
+            else:
+                bare.append(piece)
+        for some, encode in ((led, self._at_once), (bare, self._one_by_one)):
+            for at in range(0, len(some), 10_000):
+                part = some[at : at + 10_000]
+                learnt.update(zip(part, encode(part)))
+        return learnt
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._pieces(t) if t else [] for t in texts]
-        cache = self.cache
-        new = list({p for pieces in split for p in pieces if p not in cache})
-        known = cache
-        if new:
-            fresh = {}
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    fresh[piece] = np.array(found.ids, dtype=self.width).tobytes()
-            room = CACHED - len(cache)
-            if len(fresh) <= room:
-                cache.update(fresh)
-            else:
-                known = cache | fresh
-                for piece in list(fresh)[: max(room, 0)]:
-                    cache[piece] = fresh[piece]
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        young = self.young
+        every = [p for pieces in split for p in pieces]
+        ids = list(map(young.get, every))
+        missing = [i for i, known in enumerate(ids) if known is None]
+        if missing:
+            learnt = self._learn(list(dict.fromkeys(map(every.__getitem__, missing))))
+            for i in missing:
+                ids[i] = learnt[every[i]]
+            if len(young) + len(learnt) > CACHED:
+                self.old, self.young = young, {}
+            self.young.update(list(learnt.items())[:CACHED])
+        edges = np.cumsum([0, *map(len, split)]).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
