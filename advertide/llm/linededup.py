@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from advertide.llm.exchange import pieces_for
 from advertide.llm.words import BLANKS, encoded, mix
 
-BLOCK_BYTES, SHARD_BYTES = 1 << 22, 1 << 24
+BLOCK_BYTES, SHARD_BYTES = 1 << 22, 1 << 22
 # Stands for a missing id: one document before all others.
 NO_ID = np.iinfo(np.int64).min
 ASKED = "block int, shard int, hash long, mark int, doc_id long"

@@ -87,3 +87,50 @@ def base_row(text):
     spans = base_spans(text)
     counts = tuple(sum(k == n for _, k, _ in spans) for n in range(3))
     return *counts, sha(",".join(f"{PATTERNS[k][0]}:{s}:{e}" for s, k, e in spans))
+
+
+def hard_negatives(rows, every=50, positives=5, negatives=3, low=50, high=95):
+    """Rows of the contract from ``(vec_id, label, whole numbers)``; repeated rows count as often as they stand."""
+    out = []
+    anchors = {}
+    for i, label, vector in rows:
+        if i % every == 0:
+            anchors[i] = min(anchors.get(i, (label, vector)), (label, vector))
+    for a, (label, vector) in anchors.items():
+        scored = sorted((-sum(x * y for x, y in zip(vector, v)), i, other) for i, other, v in rows if i != a)
+        near = [(i, -s) for s, i, other in scored if other == label][:positives]
+        for p, ps in near:
+            far = [(i, -s) for s, i, other in scored if other != label and low * ps <= -100 * s <= high * ps]
+            out += [(a, p, r, n, ps, ns) for r, (n, ns) in enumerate(far[:negatives], 1)]
+    return sorted(out)
+
+
+def shared_lines(docs, min_docs=3, least=20):
+    """(doc_id, n_lines, n_dropped, kept text) a row; rows of one id are one document, all without an id another before them."""
+    holders = defaultdict(set)
+    key = lambda line: lower_az(line.strip(" \t\n\v\f\r"))
+    for i, text in docs:
+        for line in (text or "").split("\n"):
+            holders[key(line)].add(float("-inf") if i is None else i)
+    out = []
+    for i, text in docs:
+        lines, own = (text or "").split("\n"), float("-inf") if i is None else i
+        gone = [len(k) >= least and len(holders[k]) >= min_docs and max(holders[k]) != own for k in map(key, lines)]
+        out.append((i, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
+    return out
+
+
+def periodic(words, times=4, least=6):
+    """(start, length, period) of every maximal run, by start and period."""
+    found, n = [], len(words)
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, times * q):
+                found.append((i, j - i + q, q))
+            i = max(j, i + 1)
+    smaller = lambda s, l, q: any(b < q and a <= s and a + c >= s + l for a, c, b in found)
+    return sorted((r for r in found if not smaller(*r)), key=lambda r: (r[0], r[2]))
