@@ -1,18 +1,19 @@
-"""Token ids of many texts, with a cache of the pieces that texts are made of."""
+"""Token ids of many texts."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-# A blank before a visible character always begins a new piece of the byte-level pre-tokenizers, so ids do not
-# depend on what stands before it. Two blanks in a row, or one at the end, take the slower split.
-PLAIN = re.compile(r" (?:\s|$)")
-PIECES = re.compile(r"(?= (?=\S))")
-# Pieces in either generation of the cache.
-CACHED = 400_000
+# Fixed values of byte-level BPE: how a text falls into pieces, and the bytes that are spelled as themselves.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# Longer runs of blanks are beyond the faster encoder's pattern engine.
+MOST_BLANKS = 10_000
+_BLANKS = re.compile(rf"\s{{{MOST_BLANKS}}}")
 
 
 def default_tokenizer() -> str:
@@ -21,95 +22,71 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that spells each byte: printable bytes themselves, the others from 256 on."""
+    letters = {chr(b): b for b in PLAIN}
+    rest = (b for b in range(256) if b not in set(PLAIN))
+    return letters | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def merge_ranks(described: dict) -> dict[bytes, int] | None:
+    """Bytes and id of each token of a tokenizer file whose merges have rising ids; None for any other kind.
+
+    Where ids rise with the merges, joining by the least id is joining by the first merge.
+    """
+    model, before = described["model"], described.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if model.get("type") != "BPE" or not plain or described.get("normalizer") or model.get("ignore_merges"):
+        return None
+    letters, vocabulary = byte_letters(), model["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    merged = [vocabulary["".join(pair)] for pair in pairs]
+    bases = [vocabulary.get(c, -1) for c in letters]
+    if merged != sorted(set(merged)) or min(bases) < 0 or len(vocabulary) != len(merged) + len(bases) or max(bases) > merged[0]:
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian bytes, equal to encoding each text at once.
+    """Ids of whole texts as little-endian bytes, those the tokenizer file gives for each text at once.
 
     ``special_as_text``: a special token's own string inside a text is ordinary text.
-    The cache of pieces has two bounded generations: a piece found in the older one
-    moves to the younger, and when that is full it becomes the older one, so pieces
-    that keep coming stay. Missing pieces are encoded as one text and its ids cut
-    where the pieces' bytes end.
+    A byte-level vocabulary is read by the library that joins bytes fastest; other
+    vocabularies, and texts with very long runs of blanks, by the file's own. Nothing
+    is kept between texts, so memory follows the longest text.
     """
 
     def __init__(self, path: str, width: str = "<u4", special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.width = width
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        # Bytes of text behind each id: a byte-level token is spelled with one character a byte, a special one as it is.
-        special = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spans = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-        for token, i in vocabulary.items():
-            self.spans[i] = special.get(i, len(token))
-
-    def _pieces(self, text: str) -> list[str]:
-        if PLAIN.search(text):
-            return [p for p in PIECES.split(text) if p]
-        first, *rest = text.split(" ")
-        pieces = [" " + p for p in rest]
-        return [first, *pieces] if first else pieces
-
-    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(f.ids, dtype=self.width).tobytes() for f in found]
-
-    def _at_once(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that begin with a blank and a visible character, encoded as one text."""
-        (found,) = self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)
-        ids = np.array(found.ids, dtype=self.width)
-        ends = np.cumsum(self.spans[ids])
-        wanted = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
-        cuts = np.searchsorted(ends, wanted)
-        if len(ends) != cuts[-1] + 1 or (ends[cuts] != wanted).any():  # no byte-level vocabulary
-            return self._one_by_one(pieces)
-        raw, step = ids.tobytes(), ids.itemsize
-        edges = [0, *((cuts + 1) * step).tolist()]
-        return [raw[a:b] for a, b in zip(edges, edges[1:])]
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces the younger generation lacks, found in the older one or encoded."""
-        learnt, led, bare = {}, [], []
-        for piece in pieces:
-            known = self.old.get(piece)
-            if known is not None:
-                learnt[piece] = known
-            elif piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1:
-                led.append(piece)
-            else:
-                bare.append(piece)
-        for some, encode in ((led, self._at_once), (bare, self._one_by_one)):
-            for at in range(0, len(some), 10_000):
-                part = some[at : at + 10_000]
-                learnt.update(zip(part, encode(part)))
-        return learnt
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        ranks, added = merge_ranks(described), described.get("added_tokens") or []
+        self.fast = None
+        if ranks and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            special = {} if special_as_text else {t["content"]: t["id"] for t in added}
+            coder = tiktoken.Encoding(os.path.basename(path), pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
+            self.fast = lambda text: coder.encode(text, allowed_special="all") if special else coder.encode_ordinary(text)
+
+    def _ids(self, text: str) -> list[int]:
+        if self.fast is None or (len(text) >= MOST_BLANKS and _BLANKS.search(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._pieces(t) if t else [] for t in texts]
-        young = self.young
-        every = [p for pieces in split for p in pieces]
-        ids = list(map(young.get, every))
-        missing = [i for i, known in enumerate(ids) if known is None]
-        if missing:
-            learnt = self._learn(list(dict.fromkeys(map(every.__getitem__, missing))))
-            for i in missing:
-                ids[i] = learnt[every[i]]
-            if len(young) + len(learnt) > CACHED:
-                self.old, self.young = young, {}
-            self.young.update(list(learnt.items())[:CACHED])
-        edges = np.cumsum([0, *map(len, split)]).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(edges, edges[1:])]
+        return [np.array(self._ids(t), dtype=self.width).tobytes() if t else b"" for t in texts]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, width: str = "<u4", special_as_text: bool = False) -> Encoder:
-    """One encoder a worker process, so that its cache outlives a batch."""
+    """One encoder a worker process."""
     key = (path, width, special_as_text)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)

@@ -307,13 +307,31 @@ def test_an_open_document_ends_a_file(spark):
     assert [(r.start, r.n_tokens, r.closed) for r in got] == [(0, 1, True), (2, 0, True), (3, 3, False)]
 
 
-def test_cached_pieces_equal_whole_texts():
+def test_ids_are_those_of_the_tokenizer_file(texts):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokens.default_tokenizer())
-    cases = ["", " ", "a  b", " a", "a ", "x\n y", "x \n\n y  ", "é <|endoftext|> z", "don't  stop", "  a", LONG[:500], "a\x1c b \x1cc"]
-    want = [whole.encode(c, add_special_tokens=False).ids for c in cases]
-    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.Encoder(tokens.default_tokenizer()).encode(cases)] == want
+    path = tokens.default_tokenizer()
+    cases = ["", " ", "a  b", " a", "a ", "x\n y", "x \n\n y  ", "é <|endoftext|> z", "don't  stop", "  a", LONG[:500], "a\x1c b \x1cc"]
+    cases += [*filter(None, texts.values()), "x" * 30_000, "a" + " " * 30_000 + "b", "日本語 ١٢٣ ²½ \u00a0\u3000ø", "😀\u200d👩 '\u2019s 'S"]
+    for special_as_text in (False, True):
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = special_as_text
+        read = tokens.Encoder(path, special_as_text=special_as_text)
+        assert read.fast is not None
+        want = [whole.encode(c, add_special_tokens=False).ids for c in cases]
+        assert [np.frombuffer(b, "<u4").tolist() for b in read.encode(cases)] == want
+        read.fast = None
+        assert [np.frombuffer(b, "<u4").tolist() for b in read.encode(cases[:12])] == want[:12]
+
+
+def test_other_vocabularies_are_read_by_their_own_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    read = tokens.Encoder(path)
+    assert read.fast is None
+    assert np.frombuffer(read.encode(["Some words"])[0], "<u4").tolist() == Tokenizer.from_file(path).encode("Some words", add_special_tokens=False).ids
 
 
 # 7 Jaccard join
