@@ -7,7 +7,7 @@ observation scan, so a table partitioned by period reads two partitions.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,24 +91,34 @@ def latest_pair(metric: DataFrame, scoped: DataFrame) -> tuple[Column, Column]:
     return both["latest"], both["previous"]
 
 
-def region_totals(series: DataFrame, metric: DataFrame, geography: DataFrame, scope: Scope) -> DataFrame:
-    """One row per series in scope with its reading in each of the two latest periods."""
+def scoped_readings(series: DataFrame, metric: DataFrame, geography: DataFrame, scope: Scope) -> DataFrame:
+    """Every series in scope once, with its reading in each of the two latest periods (null where it has none).
+
+    The scope is joined first, so only its observations are grouped, by the key they were joined on.
+    """
     scoped = scoped_series(series, geography, scope)
     # The pair does not depend on the state a report narrows to.
-    wide = scoped_series(series, geography, Scope(scope.source, scope.dataset, scope.edition, scope.levels, scope.occupation))
+    wide = scoped if scope.state is None else scoped_series(series, geography, replace(scope, state=None))
     latest, previous = latest_pair(metric, wide)
     reading = F.struct(F.col("value").alias("value"), F.col("value_state").alias("state"))
-    readings = (
-        metric.filter((F.col("period_start") == latest) | (F.col("period_start") == previous))
-        .groupBy("series_key")
+    two = metric.filter((F.col("period_start") == latest) | (F.col("period_start") == previous)).select(
+        "series_key", (F.col("period_start") == latest).alias("is_latest"), reading.alias("reading")
+    )
+    return (
+        scoped.join(two, "series_key", "left")
+        .groupBy(*scoped.columns)
         .agg(
-            F.max(F.when(F.col("period_start") == latest, reading)).alias("latest"),
-            F.max(F.when(F.col("period_start") == previous, reading)).alias("previous"),
+            F.max(F.when(F.col("is_latest"), F.col("reading"))).alias("latest"),
+            F.max(F.when(~F.col("is_latest"), F.col("reading"))).alias("previous"),
         )
     )
-    joined = scoped.join(readings, "series_key", "left")
+
+
+def region_totals(series: DataFrame, metric: DataFrame, geography: DataFrame, scope: Scope) -> DataFrame:
+    """One row per series in scope with its reading in each of the two latest periods."""
+    readings = scoped_readings(series, metric, geography, scope)
     change = change_struct(F.col("latest.value"), F.col("previous.value"))
-    return joined.select(
+    return readings.select(
         F.col("geo_code").alias("code"),
         F.col("geo_name").alias("name"),
         "level",
@@ -144,45 +154,86 @@ def occupation_totals(
     ``by_state`` groups by state as well, so a report over all states is one
     aggregation and not one query per state.
     """
-    scoped = scoped_series(series, geography, scope)
-    wide = scoped_series(series, geography, Scope(scope.source, scope.dataset, scope.edition, scope.levels))
-    latest, previous = latest_pair(metric, wide)
-    two = metric.filter((F.col("period_start") == latest) | (F.col("period_start") == previous)).select(
-        "series_key",
-        "value",
-        (F.col("period_start") == latest).alias("is_latest"),
-    )
-    named = scoped.filter(F.col("occ_code").isNotNull() & (F.col("occ_code") != ""))
     keys = ["state_code", "occ_code"] if by_state else ["occ_code"]
+    by_area = area_totals(scoped_readings(series, metric, geography, scope))
+    grouped = by_area.groupBy(*keys).agg(*_sums()).withColumnRenamed("occ_code", "code")
+    scoped = scoped_series(series, geography, scope)
+    if by_state:
+        in_scope = scoped.groupBy("state_code").agg(F.count_distinct("geo_code").alias("regions_in_scope"))
+        return grouped.join(in_scope, "state_code", "left")
+    in_scope = scoped.agg(F.count_distinct("geo_code").alias("n")).scalar()
+    return grouped.withColumn("regions_in_scope", in_scope)
+
+
+def area_totals(readings: DataFrame) -> DataFrame:
+    """Both period sums per state, occupation and area, for series that name an occupation."""
     # Areas first, occupations from them: counting two distinct columns in one step would triple every row.
-    reported = F.col("is_latest") & F.col("value").isNotNull() & F.col("geo_code").isNotNull()
-    by_area = (
-        named.join(two, "series_key", "left")
-        .groupBy(*keys, "geo_code")
+    reported = F.col("latest.value").isNotNull() & F.col("geo_code").isNotNull()
+    return (
+        readings.filter(F.col("occ_code").isNotNull() & (F.col("occ_code") != ""))
+        .groupBy("state_code", "occ_code", "geo_code")
         .agg(
             F.min("occ_name").alias("first_name"),
             F.max("occ_name").alias("last_name"),
-            F.sum(F.when(F.col("is_latest"), F.col("value"))).alias("latest"),
-            F.sum(F.when(~F.col("is_latest"), F.col("value"))).alias("previous"),
+            F.sum("latest.value").alias("latest"),
+            F.sum("previous.value").alias("previous"),
             F.max(reported).alias("reported"),
         )
     )
+
+
+def _sums() -> list[Column]:
+    """What a place's or the nation's row of an occupation sums up from area totals."""
     first_name = F.min("first_name")
-    grouped = (
-        by_area.groupBy(*keys)
-        .agg(
-            F.sum("latest").alias("total"),
-            F.sum("previous").alias("previous_total"),
-            F.count_if("reported").alias("regions_reporting"),
-            F.when(first_name == F.max("last_name"), first_name).alias("name"),
-        )
-        .withColumnRenamed("occ_code", "code")
+    return [
+        F.sum("latest").alias("total"),
+        F.sum("previous").alias("previous_total"),
+        F.count_if("reported").alias("regions_reporting"),
+        F.when(first_name == F.max("last_name"), first_name).alias("name"),
+    ]
+
+
+def occupation_cube(
+    series: DataFrame, metric: DataFrame, geography: DataFrame, scope: Scope, total_code: str
+) -> DataFrame:
+    """National and state totals of every occupation from one reading of the observations.
+
+    One row per (state, code) and, with ``national``, one per code, by grouping sets
+    over area totals. Beside each stand the total of its place (the place's row of
+    ``total_code``), the nation's total of the code, the nation's total, and whether
+    the code is one of the finest. Windows run over these few rows, by place and by code.
+    """
+    by_area = area_totals(scoped_readings(series, metric, geography, scope)).withColumnRenamed("occ_code", "code")
+    cube = by_area.groupingSets([["state_code", "code"], ["code"]], "state_code", "code").agg(
+        *_sums(), (F.grouping("state_code") == 1).alias("national")
     )
-    if by_state:
-        in_scope = scoped.groupBy("state_code").agg(F.count_distinct("geo_code").alias("regions_in_scope"))
-        return grouped.join(in_scope, "state_code", "left")
-    in_scope = scoped.agg(F.count_distinct("geo_code").alias("n")).scalar()
-    return grouped.withColumn("regions_in_scope", in_scope)
+    in_place = Window.partitionBy("national", "state_code")
+    cube = cube.withColumn("place_total", F.max(F.when(F.col("code") == total_code, F.col("total"))).over(in_place))
+    cube = cube.withColumn("finest", finest("code", "national", "state_code"))
+    nation = F.struct("total", "place_total", "finest")
+    cube = cube.withColumn("nation", F.max(F.when(F.col("national"), nation)).over(Window.partitionBy("code")))
+    return cube.select(
+        "national",
+        "state_code",
+        "code",
+        "name",
+        "total",
+        "previous_total",
+        "regions_reporting",
+        "place_total",
+        F.col("nation.total").alias("national_value"),
+        F.col("nation.place_total").alias("national_total"),
+        F.col("nation.finest").alias("is_leaf"),
+    )
+
+
+def finest(code: str, *group: str) -> Column:
+    """Whether no other code of its group starts with this one; codes are unique in a group.
+
+    In text order, codes that start with a code follow it at once.
+    """
+    after = F.lead(code).over(Window.partitionBy(*group, F.substring(code, 1, 1)).orderBy(code))
+    return ~F.coalesce(F.startswith(after, F.col(code)), F.lit(False))
 
 
 def occupation_options(series: DataFrame, source: str, dataset: str) -> DataFrame:
@@ -250,23 +301,24 @@ def state_rollup(totals: DataFrame) -> DataFrame:
     )
 
 
-def divergence(left: DataFrame, right: DataFrame, total_code: str, floor: float) -> DataFrame:
-    """How two mixes differ: finest codes both sides report, at least one at the floor, by share gap."""
-    totals = [
-        side.filter(F.col("code") == total_code).agg(F.max("total").alias("t")).scalar() for side in (left, right)
-    ]
-    pairs = left.select("code", "name", F.col("total").alias("a_value")).join(
-        right.select("code", F.col("total").alias("b_value")), "code"
+def divergence(cube: DataFrame, left: str, right: str, total_code: str, floor: float) -> DataFrame:
+    """How the mixes of two states differ: finest codes both report, at least one at the floor, by share gap."""
+    both = cube.filter(~F.col("national") & F.col("state_code").isin(left, right))
+    of = lambda state, column: F.max(F.when(F.col("state_code") == state, F.col(column)))
+    pairs = both.filter((F.col("code") != total_code) & F.col("is_leaf")).groupBy("code").agg(
+        of(left, "name").alias("name"),
+        of(left, "total").alias("a_value"),
+        of(right, "total").alias("b_value"),
+        of(left, "place_total").alias("a_total"),
+        of(right, "place_total").alias("b_total"),
     )
-    a_share = F.col("a_value") / totals[0] * 100
-    b_share = F.col("b_value") / totals[1] * 100
     return (
-        pairs.filter(F.col("code") != total_code)
-        .filter(F.col("a_value").isNotNull() & F.col("b_value").isNotNull())
+        pairs.filter(F.col("a_value").isNotNull() & F.col("b_value").isNotNull())
         .filter((F.col("a_value") >= floor) | (F.col("b_value") >= floor))
-        .withColumn("a_share", a_share)
-        .withColumn("b_share", b_share)
+        .withColumn("a_share", F.col("a_value") / F.col("a_total") * 100)
+        .withColumn("b_share", F.col("b_value") / F.col("b_total") * 100)
         .withColumn("gap", F.col("a_share") - F.col("b_share"))
+        .drop("a_total", "b_total")
     )
 
 
@@ -280,9 +332,10 @@ def movers(totals: DataFrame, count: int, percent_floor: float) -> DataFrame:
             F.when(F.col("previous_total") >= percent_floor, F.col("absolute") / F.col("previous_total") * 100),
         )
     )
-    risers = moved.filter("absolute > 0").orderBy(F.desc("absolute"), "code").limit(count)
-    fallers = moved.filter("absolute < 0").orderBy("absolute", "code").limit(count)
-    return risers.withColumn("side", F.lit("RISER")).unionByName(fallers.withColumn("side", F.lit("FALLER")))
+    sided = moved.filter("absolute <> 0").withColumn("side", F.when(F.col("absolute") > 0, "RISER").otherwise("FALLER"))
+    largest = Window.partitionBy("side").orderBy(F.desc(F.abs("absolute")), "code")
+    ranked = sided.withColumn("place", F.row_number().over(largest)).filter(F.col("place") <= count)
+    return ranked.drop("place")
 
 
 def position_of(ranked: DataFrame, key: str, wanted: str, value: str) -> DataFrame:
@@ -424,22 +477,17 @@ def unresolved_dimensions(series: DataFrame, source: str) -> DataFrame:
     )
 
 
-def specialisms(by_state: DataFrame, national: DataFrame, total_code: str, floor: float, per_state: int) -> DataFrame:
+def location_quotients(cube: DataFrame, total_code: str) -> DataFrame:
+    """Each state's occupations with how far their share departs from the nation's; places without a total row are left out."""
+    local = cube.filter(~F.col("national") & (F.col("code") != total_code) & F.col("place_total").isNotNull())
+    quotient = concentration(F.col("total"), F.col("place_total"), F.col("national_value"), F.col("national_total"))
+    return local.withColumn("quotient", quotient)
+
+
+def specialisms(cube: DataFrame, total_code: str, floor: float, per_state: int) -> DataFrame:
     """The most over-represented finest codes of each state, above the floor and above the nation."""
-    national_total = national.filter(F.col("code") == total_code).agg(F.max("total").alias("t")).scalar()
-    leaves = leaf_codes(national.filter(F.col("code") != total_code)).select(
-        "code", F.col("total").alias("national_value")
-    )
-    state_totals = by_state.filter(F.col("code") == total_code).select(
-        "state_code", F.col("total").alias("state_total")
-    )
-    quotient = concentration(F.col("total"), F.col("state_total"), F.col("national_value"), national_total)
-    scored = (
-        by_state.join(leaves, "code")
-        .join(state_totals, "state_code")
-        .filter(F.col("total") >= floor)
-        .withColumn("quotient", quotient)
-        .filter(F.col("quotient") > 1)
+    scored = location_quotients(cube, total_code).filter(
+        F.col("is_leaf") & (F.col("total") >= floor) & (F.col("quotient") > 1)
     )
     # One row per occupation of a state, so a partition is as large as the classification.
     best = Window.partitionBy("state_code").orderBy(F.desc("quotient"), "code")

@@ -201,10 +201,71 @@ def _report_sql() -> str:
     return "\nunion all ".join(parts)
 
 
+def shared_failures(t: Inputs) -> tuple[set[str], list[DataFrame]]:
+    """Checks that are judged with others of their table, and the failures of each table in one read of it."""
+    permissions = S.field_permissions(t.source_registry, t.rights, "description")
+    single = lambda name, rules: [(name, rule) for rule in rules]
+    tables = [
+        (
+            t.faulty_metric,
+            [
+                ("s1_counts_non_negative", Q.negative_rule()),
+                ("s2_missingness_modelled", Q.missingness_rule()),
+                ("s25_constraints", Q.metric_constraint()),
+            ],
+        ),
+        (t.faulty_summary, [("s1_counts_non_negative", Q.negative_rule())]),
+        (
+            t.job,
+            [
+                ("s7_dates_possible", Q.dates_rule(NOW)),
+                ("s8_signal_evidenced", Q.evidence_rule()),
+                ("s17_no_contact_details", Q.contacts_rule(CONTACT_RULES)),
+                *single("s25_constraints", Q.job_constraints()),
+                *single("s26_declared_values", Q.declared_rules("id", DECLARED)),
+            ],
+        ),
+        (
+            Q.placed_again(t.place, G.allocation_table(t.spark)),
+            [
+                ("s9_placement_coherent", Q.coherence_rule()),
+                ("s10_placement_attributed", Q.attributed_rule()),
+                ("s11_derived_postcode_sourced", Q.postcode_source_rule()),
+                ("s12_postcode_well_formed", Q.postcode_form_rule()),
+                ("s13_matches_instrument", Q.instrument_rule()),
+            ],
+        ),
+        (
+            Q.held_by_source(t.job, t.source_registry, permissions),
+            [
+                ("s14_source_registered", Q.unregistered_rule()),
+                ("s15_source_eligible", Q.ineligible_rule()),
+                ("s16_description_withheld", Q.refused_rule()),
+            ],
+        ),
+        (
+            Q.with_positions(t.source_registry, t.rights, REQUIRED),
+            [
+                ("s21_attribution_available", Q.attribution_rule()),
+                ("s22_licence_linkable", Q.licence_rule()),
+                ("s23_listing_content_described", Q.positions_rule(REQUIRED)),
+            ],
+        ),
+    ]
+    repeated = Q.repeated_keys(t.run, t.faulty_metric, SUMMARY_KEY).select(F.lit("s25_constraints").alias("name"), "id", "weight")
+    names = {name for _, rules in tables for name, _ in rules}
+    return names, [*[Q.failures(table, rules) for table, rules in tables], repeated]
+
+
 @query("s_quality_report", _report_sql())
 def s_report(t: Inputs) -> DataFrame:
-    checks = [Q.Check(name, asserts, build(t)) for name, (asserts, build, sql) in CHECKS.items() if sql is not None]
-    reported = Q.report(t.spark, checks)
+    shared, frames = shared_failures(t)
+    checks = [
+        Q.Check(name, asserts, None if name in shared else build(t))
+        for name, (asserts, build, sql) in CHECKS.items()
+        if sql is not None
+    ]
+    reported = Q.report(t.spark, checks, frames)
     return reported.select("name", "status", "failures", F.array_join("examples", " | ").alias("examples"))
 
 

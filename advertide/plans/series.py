@@ -33,6 +33,10 @@ def states(t: Inputs) -> DataFrame:
     return T.occupation_totals(t.series, t.metric, t.geography, SCOPE, by_state=True)
 
 
+def cube(t: Inputs) -> DataFrame:
+    return T.occupation_cube(t.series, t.metric, t.geography, SCOPE, TOTAL_CODE)
+
+
 def regions(t: Inputs, occupation: str = OCCUPATION) -> DataFrame:
     return T.region_totals(t.series, t.metric, t.geography, scope(occupation=occupation))
 
@@ -193,7 +197,7 @@ def d11(t: Inputs) -> DataFrame:
 
 
 def occupation_table(t: Inputs) -> DataFrame:
-    flagged = T.with_leaf_flag(occupations(t)).filter(F.col("code") != TOTAL_CODE)
+    flagged = occupations(t).withColumn("is_leaf", T.finest("code")).filter(F.col("code") != TOTAL_CODE)
     return flagged.select("code", "name", "total", "previous_total", "is_leaf")
 
 
@@ -207,28 +211,12 @@ LOCATION_QUOTIENT = f"""with codes as ({occupation_sql()}), st as ({occupation_s
 
 @query("d12_location_quotient", LOCATION_QUOTIENT)
 def d12(t: Inputs) -> DataFrame:
-    national = occupations(t)
-    local = states(t)
-    return location_quotients(local, national).select(
+    return T.location_quotients(cube(t), TOTAL_CODE).select(
         "state_code", "code", "total",
         F.when(F.col("total") >= FLOOR, F.round("quotient", 6)).alias("quotient"),
     )
 
 
-def location_quotients(local: DataFrame, national: DataFrame) -> DataFrame:
-    whole = national.filter(F.col("code") == TOTAL_CODE).agg(F.max("total").alias("t")).scalar()
-    places = local.filter(F.col("code") == TOTAL_CODE).select("state_code", F.col("total").alias("state_total"))
-    groups = national.select("code", F.col("total").alias("national_value"))
-    return (
-        local.filter(F.col("code") != TOTAL_CODE)
-        .join(groups, "code")
-        .join(places, "state_code")
-        .withColumn(
-            "quotient", T.concentration(F.col("total"), F.col("state_total"), F.col("national_value"), whole)
-        )
-    )
-
-
 @query(
     "d13_mix_divergence",
     f"""with codes as ({occupation_sql()}),
@@ -241,9 +229,8 @@ def location_quotients(local: DataFrame, national: DataFrame) -> DataFrame:
     order by abs(a.total / ta.total * 100 - b.total / tb.total * 100) desc, c.code limit 6""",
 )
 def d13(t: Inputs) -> DataFrame:
-    published = occupations(t).select("code")
-    pairs = T.divergence(occupations(t, state=STATE_A), occupations(t, state=STATE_B), TOTAL_CODE, FLOOR)
-    top = pairs.join(T.leaf_codes(published), "code", "left_semi").orderBy(F.desc(F.abs("gap")), "code").limit(6)
+    pairs = T.divergence(cube(t), STATE_A, STATE_B, TOTAL_CODE, FLOOR)
+    top = pairs.orderBy(F.desc(F.abs("gap")), "code").limit(6)
     return top.select(
         "code", "a_value", "b_value", F.round("a_share", 6).alias("a_share"),
         F.round("b_share", 6).alias("b_share"), F.round("gap", 6).alias("gap"),
@@ -260,13 +247,12 @@ def d13(t: Inputs) -> DataFrame:
     cross join (select max(total) as total from codes where code = '0') n where s.code <> '0'""",
 )
 def d14(t: Inputs) -> DataFrame:
-    national = occupations(t)
-    whole = national.filter(F.col("code") == TOTAL_CODE).agg(F.max("total").alias("t")).scalar()
-    return location_quotients(states(t), national).select(
+    local = cube(t).filter(~F.col("national") & (F.col("code") != TOTAL_CODE))
+    return local.select(
         "state_code", "code",
         F.round(T.share(F.col("total"), F.col("national_value")), 6).alias("share_of_occupation"),
-        F.round(T.share(F.col("total"), F.col("state_total")), 6).alias("share_of_place"),
-        F.round(T.share(F.col("total"), whole), 6).alias("share_of_national"),
+        F.round(T.share(F.col("total"), F.col("place_total")), 6).alias("share_of_place"),
+        F.round(T.share(F.col("total"), F.col("national_total")), 6).alias("share_of_national"),
     )
 
 
@@ -379,7 +365,8 @@ def e3(t: Inputs) -> DataFrame:
     union all select * from (select 'FALLER' as side, * from moved where absolute < 0 order by absolute, code limit 5)""",
 )
 def e6(t: Inputs) -> DataFrame:
-    finest = T.leaf_codes(occupations(t).filter(F.col("code") != TOTAL_CODE))
+    published = occupations(t).filter(F.col("code") != TOTAL_CODE)
+    finest = published.withColumn("is_leaf", T.finest("code")).filter("is_leaf")
     return T.movers(finest, 5, 20.0).select("side", "code", "absolute", F.round("percent", 6).alias("percent"))
 
 
@@ -415,9 +402,9 @@ def e8(t: Inputs) -> DataFrame:
     where place <= 4""",
 )
 def e9(t: Inputs) -> DataFrame:
-    best = T.specialisms(states(t), occupations(t), TOTAL_CODE, FLOOR, 4)
+    best = T.specialisms(cube(t), TOTAL_CODE, FLOOR, 4)
     return best.select(
-        "state_code", "state_total", "code", F.col("total").alias("value"), F.round("quotient", 6).alias("quotient"),
+        "state_code", F.col("place_total").alias("state_total"), "code", F.col("total").alias("value"), F.round("quotient", 6).alias("quotient"),
         F.col("place").cast("bigint").alias("place"),
     ).orderBy(F.desc("state_total"), "state_code", "place")
 
@@ -439,7 +426,7 @@ def e12(t: Inputs) -> DataFrame:
         .agg(F.min(F.struct(-F.col("latest_value"), F.col("code")))["code"].alias("code"))
         .scalar()
     )
-    scored = location_quotients(states(t), occupations(t)).filter(
+    scored = T.location_quotients(cube(t), TOTAL_CODE).filter(
         (F.col("code") == OCCUPATION) & (F.col("total") >= FLOOR) & F.col("quotient").isNotNull()
     )
     return scored.agg(F.min(F.struct(-F.col("quotient"), F.col("state_code")))["state_code"].alias("most_concentrated")).select(

@@ -139,6 +139,26 @@ def test_report_counts_everything_and_shows_five(spark):
     assert tuple(Q.summary(Q.report(spark, checks)).collect()[0]) == (1, 2, False)
 
 
+def test_rules_of_a_table_are_judged_in_one_read(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(40).select("id", (F.col("id") % 4).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("b")).write.parquet(path)
+    table = spark.read.parquet(path)
+    rules = [
+        ("a", Q.Rule.broken_by(F.col("a") == 0, F.col("id"))),
+        ("b", Q.Rule(F.concat_ws(":", F.lit("b"), "id"), F.col("b"))),
+        ("a", Q.Rule.broken_by(F.col("b").isNull(), F.col("id"))),
+    ]
+    found = Q.failures(table, rules)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    sums = {r["name"]: (r["n"], r["w"]) for r in found.groupBy("name").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    rows = [(i, i % 4, i % 3 if i % 5 else None) for i in range(40)]
+    assert sums["a"] == (sum((a == 0) + (b is None) for _, a, b in rows),) * 2
+    assert sums["b"] == (sum(1 for *_, b in rows if b), sum(b or 0 for *_, b in rows))
+    got = Q.report(spark, [Q.Check("a", "x", None), Q.Check("b", "y", None), Q.Check("c", "z", Q.failing(table.limit(1), F.col("id")))], [found], 2).collect()
+    assert [(r["name"], r["failures"]) for r in got] == [("a", sums["a"][1]), ("b", sums["b"][1]), ("c", 1)]
+    assert got[0]["examples"] == ["0", "0"] and got[1]["examples"] == ["b:1", "b:11"]
+
+
 @pytest.mark.parametrize(
     "success, failure, verified, errors, scheduled, expected",
     [
