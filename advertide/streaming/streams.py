@@ -2,18 +2,29 @@
 
 State lives in the JVM state store and is bounded by the watermark; output goes
 to tables written one partition per batch, so a batch run twice writes the same.
+
+A change log is kept as a snapshot and a tail. Every so many batches all that came
+before the running batch is written as a snapshot, one partition per source, and
+published by a row in the manifest; batches and snapshots it replaces are removed
+afterwards. The engine has committed every batch before the running one, so no
+batch that may run again lies in a snapshot, and what a crash leaves behind is
+either not published yet (and written anew) or passed over by readers.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advertide.operators import merge as M
+from advertide.session import drop_folder, folder_exists, subfolders
 
 KEYS = ["source_key", "source_id"]
+# Folders of a log beside its batches; a leading underscore keeps them out of reads of the batches.
+SNAPSHOTS, MANIFEST = "_snapshots", "_manifest"
 
 
 def read_stream(spark: SparkSession, path: str, schema, name_pattern: str, files_per_batch: int = 1000) -> DataFrame:
@@ -49,22 +60,98 @@ def current_hashes(log: DataFrame) -> DataFrame:
 
 
 def compact(log: DataFrame, batch: int) -> DataFrame:
-    """A log with every key once, as of a batch; published to a new folder in place of the older ones."""
+    """A log with every key once, as of a batch."""
     return current_listings(log.filter(F.col("batch") <= batch)).withColumn("batch", F.lit(batch).cast("bigint"))
 
 
+def batches(spark: SparkSession, log: str) -> list[int]:
+    """Numbers of the batches that lie in a log."""
+    found = (re.fullmatch(r"batch=(-?\d+)", name) for name in subfolders(spark, log))
+    return sorted(int(m[1]) for m in found if m)
+
+
+def published(spark: SparkSession, log: str) -> int | None:
+    """The last batch of the newest published snapshot."""
+    upto = [int(name.removeprefix("upto=")) for name in subfolders(spark, f"{log}/{MANIFEST}")]
+    whole = [n for n in upto if folder_exists(spark, f"{log}/{MANIFEST}/upto={n}/_SUCCESS")]
+    return max(whole, default=None)
+
+
+def read_log(spark: SparkSession, log: str, before: int | None = None) -> DataFrame:
+    """Snapshot and tail of a log: each key's changes since the snapshot and one row for all before; ``before`` a batch."""
+    upto = published(spark, log)
+    tail = [n for n in batches(spark, log) if (upto is None or n > upto) and (before is None or n < before)]
+    parts = [] if upto is None else [spark.read.parquet(f"{log}/{SNAPSHOTS}/upto={upto}")]
+    # Batch by batch, since a table's first batch may hold other columns and kinds of time than later ones.
+    for n in tail:
+        parts.append(spark.read.parquet(f"{log}/batch={n}").withColumn("batch", F.lit(n).cast("bigint")))
+    if not parts:
+        raise ValueError(f"{log} holds no batch before {before}")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
+def known_hashes(log: DataFrame, keys: DataFrame, most_sources: int = 1000) -> DataFrame:
+    """Keys and content hashes a log has reached, for some keys only.
+
+    A snapshot lies in one partition per source, and only those of the keys' sources
+    are read: their names, of which there are as many as feeds in a batch, become a
+    partition filter, unless there are more than ``most_sources``. Small enough keys
+    are broadcast, and the snapshot stays where it lies.
+    """
+    sources = [r[0] for r in keys.select("source_key").distinct().limit(most_sources + 1).collect()]
+    if len(sources) <= most_sources:
+        log = log.filter(F.col("source_key").isin(sources))
+    return current_hashes(log.join(keys.select(*KEYS).distinct(), KEYS, "left_semi"))
+
+
+def take_snapshot(spark: SparkSession, log: str, upto: int) -> None:
+    """Write the state as of a batch, publish it, then remove what it replaces."""
+    state = compact(read_log(spark, log, upto + 1), upto)
+    state.write.mode("overwrite").partitionBy("source_key").parquet(f"{log}/{SNAPSHOTS}/upto={upto}")
+    publish(spark, log, upto)
+    clean_up(spark, log)
+
+
+def publish(spark: SparkSession, log: str, upto: int) -> None:
+    spark.range(1).select(F.lit(upto).alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{log}/{MANIFEST}/upto={upto}")
+
+
+def clean_up(spark: SparkSession, log: str) -> None:
+    """Remove batches and snapshots that the newest published snapshot replaces; safe to run again."""
+    upto = published(spark, log)
+    if upto is None:
+        return
+    for n in batches(spark, log):
+        if n <= upto:
+            drop_folder(spark, f"{log}/batch={n}")
+    for kind in (SNAPSHOTS, MANIFEST):
+        for name in subfolders(spark, f"{log}/{kind}"):
+            if int(name.removeprefix("upto=")) < upto:
+                drop_folder(spark, f"{log}/{kind}/{name}")
+
+
 def _write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def upsert_into(
-    log: str, rejects: str, hashed: list[str], fault: Column, now: Callable[[int], str], version: list[str] | None = None
+    log: str,
+    rejects: str,
+    hashed: list[str],
+    fault: Column,
+    now: Callable[[int], str],
+    version: list[str] | None = None,
+    snapshot_every: int = 50,
 ):
     """A foreachBatch step: rejects to their own table, changes appended to the log.
 
     Of several versions of a key in a batch the last by the ``version`` columns counts.
     Only created and updated listings and those whose sighting is renewed are
-    written, never the whole table.
+    written, never the whole table. When the tail before the batch has reached
+    ``snapshot_every`` batches, it becomes part of a new snapshot first.
     """
 
     def step(incoming: DataFrame, batch: int) -> None:
@@ -73,8 +160,12 @@ def upsert_into(
         try:
             _write_batch(judged.filter(F.col("fault").isNotNull()).select(*KEYS, F.col("fault").alias("message")), rejects, batch)
             accepted = judged.filter(F.col("fault").isNull()).select(*hashed, *(version or []))
+            upto = published(spark, log)
+            tail = [n for n in batches(spark, log) if n < batch and (upto is None or n > upto)]
+            if len(tail) >= snapshot_every:
+                take_snapshot(spark, log, tail[-1])
             # Changes of this very batch are left out, so a repeated batch sees what it saw before.
-            known = current_hashes(spark.read.parquet(log).filter(F.col("batch") < batch))
+            known = known_hashes(read_log(spark, log, batch), accepted)
             _write_batch(M.listing_changes(known, accepted, hashed, now(batch), version), log, batch)
         finally:
             judged.unpersist()

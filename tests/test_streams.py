@@ -1,4 +1,5 @@
 import datetime
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -73,6 +74,63 @@ def test_a_listing_that_changes_back_within_a_day(spark):
     assert run([("A", 5), ("C", 4)]) == [("A", "UNCHANGED")]
 
 
+def changes(spark, rows, hour):
+    return spark.createDataFrame([(s, i, title, "d", AT(2024, 5, 1, hour)) for s, i, title in rows], LISTING)
+
+
+def state_of(spark, log, before=None):
+    return {(r["source_key"], r["source_id"]): r["title"] for r in Z.current_listings(Z.read_log(spark, log, before)).collect()}
+
+
+def test_a_log_is_kept_as_snapshot_and_tail(spark):
+    log, rejects = folder("log"), folder("rejects")
+    spark.createDataFrame([], "source_key string, source_id string, title string, content_hash string, action string").write.parquet(f"{log}/batch=-1")
+    step = Z.upsert_into(log, rejects, HASHED, F.lit(None).cast("string"), lambda batch: f"2024-05-{batch + 1:02} 00:00:00", ["fed_at"], 3)
+    fed = [[("a", "1", "x0"), ("b", "1", "y0")], [("a", "1", "x1")], [("a", "2", "z2")], [("a", "1", "x3"), ("c", "1", "w3")], [("b", "1", "y4")], [("c", "1", "w5")]]
+    want, states = {}, []
+    for batch, rows in enumerate(fed):
+        step(changes(spark, rows, batch), batch)
+        want |= {(s, i): title for s, i, title in rows}
+        states.append(dict(want))
+        assert state_of(spark, log) == want
+    # Batches -1, 0 and 1 went into the first snapshot, 2 to 4 into the second: only the last batch is a tail.
+    assert Z.published(spark, log) == 4 and Z.batches(spark, log) == [5]
+    assert [n for n in Z.subfolders(spark, f"{log}/{Z.SNAPSHOTS}")] == ["upto=4"]
+    # The running batch again, as after a crash before the engine has noted it: the same changes.
+    before = sorted(map(str, spark.read.parquet(f"{log}/batch=5").collect()))
+    step(changes(spark, fed[5], 5), 5)
+    assert sorted(map(str, spark.read.parquet(f"{log}/batch=5").collect())) == before and state_of(spark, log) == want
+    # Known hashes are read of the batch's sources only.
+    plan = Z.known_hashes(Z.read_log(spark, log, 6), changes(spark, [("b", "1", "q")], 9))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*source_key", plan)
+
+
+def test_crashes_around_a_snapshot_lose_and_repeat_nothing(spark):
+    log, rejects = folder("log"), folder("rejects")
+    spark.createDataFrame([], "source_key string, source_id string, title string, content_hash string, action string").write.parquet(f"{log}/batch=-1")
+    step = Z.upsert_into(log, rejects, HASHED, F.lit(None).cast("string"), lambda batch: "2024-05-01 00:00:00", ["fed_at"], 99)
+    for batch, title in enumerate(("p", "q", "r")):
+        step(changes(spark, [("a", "1", title), ("a", f"k{batch}", title)], batch), batch)
+    want = state_of(spark, log)
+    # Written but not published: readers go on with the batches.
+    Z.compact(Z.read_log(spark, log, 2), 1).write.partitionBy("source_key").parquet(f"{log}/{Z.SNAPSHOTS}/upto=1")
+    assert Z.published(spark, log) is None and state_of(spark, log) == want
+    # Published but not cleaned up: the old batches are passed over, though they still lie there.
+    Z.publish(spark, log, 1)
+    assert Z.published(spark, log) == 1 and Z.batches(spark, log) == [-1, 0, 1, 2]
+    assert state_of(spark, log) == want and Z.read_log(spark, log).filter("batch < 1").count() == 0
+    # Half cleaned up, then cleaned up again.
+    Z.drop_folder(spark, f"{log}/batch=0")
+    assert state_of(spark, log) == want
+    Z.clean_up(spark, log)
+    Z.clean_up(spark, log)
+    assert Z.batches(spark, log) == [2] and state_of(spark, log) == want
+    # A manifest row that was not finished counts for nothing.
+    spark.range(1).write.parquet(f"{log}/{Z.MANIFEST}/upto=2")
+    Z.drop_folder(spark, f"{log}/{Z.MANIFEST}/upto=2/_SUCCESS")
+    assert Z.published(spark, log) == 1 and state_of(spark, log) == want
+
+
 def test_expiry_and_late_rows(spark):
     inbox, sink, progress = (folder(n) for n in ("inbox", "sink", "progress"))
     schema = "ts timestamp, k string"
