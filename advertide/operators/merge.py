@@ -284,6 +284,21 @@ def unseen_inputs(inputs: DataFrame, runs: DataFrame) -> DataFrame:
     return inputs.join(done, ["source_key", "dataset", "checksum"], "left_anti")
 
 
+def require_usable(registry: DataFrame, source: str) -> DataFrame:
+    """One row naming the source; the job fails with the reason when it may not be ingested."""
+    found = registry.filter(F.col("source_key") == source).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.when((F.col("activation") == "ACTIVE") & (F.col("compliance_status") == "VERIFIED"), F.lit(1))).alias("usable"),
+        F.max(F.concat_ws(" / ", "activation", "compliance_status")).alias("standing"),
+    )
+    checked = (
+        F.when(F.col("n") == 0, F.raise_error(F.lit(f"no source registered as {source}")))
+        .when(F.col("usable").isNull(), F.raise_error(F.concat(F.lit(f"{source} may not be ingested: "), "standing")))
+        .otherwise(F.lit(source))
+    )
+    return found.select(checked.alias("source_key"))
+
+
 def reap_abandoned(runs: DataFrame, now: str, after_hours: int = 2) -> DataFrame:
     """Runs still marked running after too long become failed, which frees their source."""
     at = F.lit(now).cast("timestamp_ntz")

@@ -171,9 +171,10 @@ def resolve_localities(
 
 
 def relink(places: DataFrame, geography: DataFrame) -> DataFrame:
-    """Retry rows no area was found for: by state where one is stated, by the text as a country otherwise."""
+    """Retry rows no area was found for: by state where one is stated, by the country or else the text as one otherwise."""
     unresolved = places.filter(F.col("geo_code").isNull())
-    stated = unresolved.withColumn("asked", F.coalesce("state_name", "raw_text")).withColumn(
+    country = ["country_name"] if "country_name" in places.columns else []
+    stated = unresolved.withColumn("asked", F.coalesce("state_name", *country, "raw_text")).withColumn(
         "asked_level", F.when(F.col("state_name").isNull(), "COUNTRY").otherwise("STATE")
     )
     by_level = (

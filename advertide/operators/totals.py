@@ -335,7 +335,7 @@ def movers(totals: DataFrame, count: int, percent_floor: float) -> DataFrame:
     sided = moved.filter("absolute <> 0").withColumn("side", F.when(F.col("absolute") > 0, "RISER").otherwise("FALLER"))
     largest = Window.partitionBy("side").orderBy(F.desc(F.abs("absolute")), "code")
     ranked = sided.withColumn("place", F.row_number().over(largest)).filter(F.col("place") <= count)
-    return ranked.drop("place")
+    return ranked.orderBy(F.desc("side"), "place").drop("place")
 
 
 def position_of(ranked: DataFrame, key: str, wanted: str, value: str) -> DataFrame:

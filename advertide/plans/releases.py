@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from advertide.functions import periods as P
+from advertide.functions.text import dash_key
 from advertide.operators import imports as I
 from advertide.operators import totals as T
 from advertide.plans.inputs import DATASET, NOW, Inputs
@@ -489,15 +490,45 @@ def g23(t: Inputs) -> DataFrame:
     return listing_import(t).counts
 
 
+# The dimension before the run: every other nation's text, those of the first regions without an area.
+STORED_LOCATION = """select concat(n_name, ', ', r_name) as raw_text, n_name as country_name, r_name as state_name,
+    case when r_regionkey < 2 then cast(null as string) else concat('R', cast(r_regionkey as string)) end as geo_code
+    from {nation} join {region} on n_regionkey = r_regionkey where n_nationkey % 2 = 0"""
+
+
 def listing_import(t: Inputs) -> I.ListingImport:
-    lines = listing_lines(t).select("value")
+    lines = listing_lines(t)
     none = F.lit(None)
     stored = t.stored_listing.select(
         "*", *[none.cast("string").alias(c) for c in I.HASHED if c not in t.stored_listing.columns]
     )
     companies = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.lower("c_name").alias("company_key"))
-    locations = t.region.select(F.lower("r_name").alias("location_key"))
-    return I.import_listings(lines, stored, companies, locations, "feed", "au", NOW, 14)
+    locations = t.sql(STORED_LOCATION).select(
+        dash_key(F.col("raw_text")).alias("location_key"), "raw_text", "country_name", "state_name", none.cast("string").alias("state_code"),
+        none.cast("double").alias("latitude"), none.cast("double").alias("longitude"), "geo_code",
+    )
+    registry = t.source_registry.select(F.lit("feed").alias("source_key"), F.lit("ACTIVE").alias("activation"), F.lit("VERIFIED").alias("compliance_status"))
+    return I.import_listings(lines, stored, companies, locations, t.geography, registry, "feed", "au", NOW, 14, ["doc_id"])
+
+
+@query(
+    "g23_locations",
+    f"""with named as (select distinct location_text as raw_text from {{job}} where {FAULTS} = '' and location_text is not null),
+    every as (select raw_text, split_part(raw_text, ', ', 2) as state_name, 'N' as stored, cast(null as varchar) as geo_code from named where raw_text not in (select raw_text from ({STORED_LOCATION}) s)
+      union all select raw_text, state_name, 'Y', geo_code from ({STORED_LOCATION}) o)
+    select raw_text, state_name, coalesce(geo_code, (select min(code) from {{geography}} g where g.level = 'STATE' and g.name = state_name)) as geo_code from every""",
+)
+def g23_locations(t: Inputs) -> DataFrame:
+    return listing_import(t).locations.select("raw_text", "state_name", "geo_code")
+
+
+@query(
+    "g23_ledger",
+    f"""select 'feed' as source_key, 'listings' as dataset, 'COMPLETED' as status, count(*) as records_seen, count(*) filter (where {FAULTS} = '') as records_written,
+    cast(0 as bigint) as records_skipped, count(*) filter (where {FAULTS} <> '') as records_quarantined from {{job}}""",
+)
+def g23_ledger(t: Inputs) -> DataFrame:
+    return listing_import(t).ledger.drop("started_at", "finished_at")
 
 
 @query(

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from advertide.functions.text import url_key, word_key
 from advertide.operators import dedup as D
 from advertide.operators import merge as M
+from advertide.operators import partitions as B
 from advertide.operators import totals as T
 from advertide.plans.inputs import NOW, RUN_NOW, Inputs
 from advertide.plans.listings import moment
 from advertide.plans.registry import query
+from advertide.session import work_folder
 
 HASHED = ["source_key", "source_id", "title", "description"]
 HASH_SQL = "sha256(cast(to_json([{0}source_key, {0}source_id, {0}title, {0}description]) as varchar))"
@@ -63,6 +65,36 @@ def g1_again(t: Inputs) -> DataFrame:
     return M.upsert_listings(first, t.fed_listing, HASHED, NOW).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+ONE_SOURCE = UPSERTED.replace("{fed_listing}", "(select * from {fed_listing} where source_key = 'src3')")
+
+
+def stored_by_source(t: Inputs) -> B.Facts:
+    hashed = t.stored_listing.withColumn("content_hash", M.content_hash(*HASHED))
+    return B.create(hashed, work_folder(t.spark, "listings"), "source_key")
+
+
+@query(
+    "g1_source_partition_upsert",
+    f"select source_key, source_id, title, status, {STAMP.format('last_seen_at')} as last_seen_at from ({ONE_SOURCE}) u",
+)
+def g1_partition(t: Inputs) -> DataFrame:
+    table = stored_by_source(t)
+    B.upsert_source(t.spark, table, t.fed_listing, HASHED, NOW, "src3")
+    return table.read(t.spark).select("source_key", "source_id", "title", "status", moment("last_seen_at").alias("last_seen_at"))
+
+
+@query(
+    "g4_source_partition_expiry",
+    f"""select source_key, status, count(*) as n from (select source_key, case when coalesce(status = 'ACTIVE' and last_seen_at < timestamp '{NOW}' - interval 14 days
+      and source_key = 'chat', false) then 'EXPIRED' else status end as status from {{stored_listing}} where source_key <> 'src3') s group by 1, 2""",
+)
+def g4_partition(t: Inputs) -> DataFrame:
+    table = stored_by_source(t)
+    B.expire_source(t.spark, table, "chat", NOW, 14)
+    B.purge_source(t.spark, table, "src3")
+    return table.read(t.spark).groupBy("source_key", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "g3_refresh_decision",
     f"""with k as (select source_url, max(last_verified_at) as v from {{job}} where source_url is not null group by 1)
@@ -108,6 +140,23 @@ def g6(t: Inputs) -> DataFrame:
     return merged.select("series_key", F.date_format("period_start", "yyyy-MM-dd").alias("period"), "action", "value", "value_state")
 
 
+@query(
+    "g6_period_partition_merge",
+    """with n as (select * from {metric} where year(period_start) >= 1997),
+    m as (select coalesce(n.series_key, o.series_key) as series_key, coalesce(n.period_start, o.period_start) as period_start,
+      case when n.series_key is null then o.value else n.value end as value, case when n.series_key is null then o.value_state else n.value_state end as value_state
+      from {stored_metric} o full outer join n on o.series_key = n.series_key and o.period_start = n.period_start)
+    select series_key, strftime(period_start, '%Y-%m-%d') as period, value, value_state from m
+    where period_start in (select distinct period_start from m order by 1 desc limit 60)""",
+)
+def g6_partition(t: Inputs) -> DataFrame:
+    table = B.create(t.stored_metric, work_folder(t.spark, "observations"), "period_start")
+    incoming = t.metric.select("series_key", "period_start", "value", "value_state").filter(F.year("period_start") >= 1997)
+    B.merge_periods(t.spark, table, incoming)
+    B.prune_periods(t.spark, table, 60)
+    return table.read(t.spark).select("series_key", F.date_format("period_start", "yyyy-MM-dd").alias("period"), "value", "value_state")
+
+
 @query(
     "g7_series_upsert",
     """with i as (select s.series_key, s.occ_name, g.code as geo_id from {series} s left join {geography} g on g.code = s.geo_code and g.level = 'SA4'),

@@ -157,8 +157,8 @@ def rejected(parsed: DataFrame) -> DataFrame:
     )
 
 
-def canonical_listings(records: DataFrame, source: str, country: str) -> DataFrame:
-    """Accepted feed records as listings."""
+def canonical_listings(records: DataFrame, source: str, country: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Accepted feed records as listings, beside columns of the records to ``keep``."""
     description = empty_to_null(feed_text(F.col("description")))
     raw_text = F.coalesce("location", F.when(F.size("area") > 0, F.array_join("area", ", ")))
     placed = raw_text.isNotNull()
@@ -170,6 +170,7 @@ def canonical_listings(records: DataFrame, source: str, country: str) -> DataFra
         .when(F.lower("contract_type") == "contract", "CONTRACT")
     )
     return records.select(
+        *keep,
         F.lit(source).alias("source_key"),
         F.col("id").alias("source_id"),
         feed_text(F.col("title")).alias("title"),
@@ -182,6 +183,8 @@ def canonical_listings(records: DataFrame, source: str, country: str) -> DataFra
         F.when(placed, F.col("latitude")).alias("latitude"),
         F.when(placed, F.col("longitude")).alias("longitude"),
         employment.alias("employment_type"),
+        # The feed does not say where the work is done.
+        F.lit(None).cast("string").alias("remote_type"),
         F.col("contract_type").alias("contract_type"),
         F.when(paid, F.col("salary_min")).alias("salary_min"),
         F.when(paid, F.col("salary_max")).alias("salary_max"),

@@ -60,6 +60,25 @@ ALIASES = {
 }
 
 
+
+def input_checksum(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """One row: the digest of the bytes of a release's files. One file's is that of its content alone.
+
+    Of several files, names and digests in name order are digested again, so a file
+    that is added, renamed or changed in one byte gives another checksum, and the
+    same files in another folder the same. Files without a byte count for nothing, and
+    without any other there is no checksum. Spark reads a file of up to 2 GB as one
+    value; a larger one fails the job and has to come in parts.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    each = files.select(F.struct(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest")).alias("f"))
+    listed = each.agg(F.sort_array(F.collect_list("f")).alias("fs"))
+    together = F.sha2(F.to_json("fs"), 256)
+    return listed.select(
+        F.when(F.size("fs") == 1, F.try_element_at("fs", F.lit(1))["digest"]).when(F.size("fs") > 1, together).alias("checksum")
+    )
+
+
 def read_sheets(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """Sheets kept as CSV, one folder ``sheet=<name>`` each, with the row number in the first column.
 

@@ -47,11 +47,26 @@ def header_lines(p: Provenance) -> list[str]:
 
 
 def _number(value: Column) -> Column:
-    """Figures as a reader writes them: the shortest text that reads back the same, no trailing ".0", no exponent."""
+    """Figures as a reader writes them: the shortest text that reads back the same, no trailing ".0", no exponent.
+
+    A text with an exponent is written out digit by digit, so no figure loses any: its
+    digits without the point, led or followed by as many zeros as the power asks for.
+    """
     text = value.cast("string")
-    text = F.when(F.contains(text, F.lit("E")), F.coalesce(text.try_cast("decimal(38,18)").cast("string"), text)).otherwise(text)
+    digits = F.regexp_extract(text, r"^-?(\d+)", 1)
+    behind = F.regexp_replace(F.regexp_extract(text, r"\.(\d+)", 1), r"0+$", "")
+    power = F.try_to_number(F.regexp_extract(text, r"E([+-]?\d+)$", 1), F.lit("S999")).cast("int")
+    every = F.concat(digits, behind)
+    point = F.length(digits) + power
+    zeros = lambda n: F.repeat(F.lit("0"), n.cast("int"))
+    small = F.concat(F.lit("0."), zeros(-point), every)
+    large = F.concat(every, zeros(point - F.length(every)))
+    inside = F.concat(F.left(every, point), F.lit("."), F.substring(every, point + 1, F.length(every)))
+    whole = F.when(point <= 0, small).when(point >= F.length(every), large).otherwise(inside)
+    spelled = F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), whole)
+    text = F.when(power.isNotNull(), spelled).otherwise(text)
     plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(value.isNotNull(), plain)
+    return F.when(value == 0, "0").when(value.isNotNull(), plain)
 
 
 def _shown(df: DataFrame, key: str) -> Column:

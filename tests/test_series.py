@@ -107,6 +107,33 @@ def test_occupation_totals(small):
     assert {r["regions_in_scope"] for r in rows.values()} == {2}
 
 
+def test_cube_holds_places_and_nation_from_one_reading(spark, small):
+    series, metric, geography, scope = small
+    more = geography.unionByName(
+        spark.createDataFrame([("T", "Other", "STATE", "W"), ("c", "C", "SA4", "T"), ("d", "D", "SA4", None)], "code string, name string, level string, parent_code string").withColumn("edition", F.lit("e"))
+    )
+    rows = [("c|0", "c", "0", "all C"), ("c|1", "c", "1", "One"), ("c|12", "c", "12", "Part"), ("d|0", "d", "0", "all D"), ("c|x", "c", "", "none")]
+    every = series.unionByName(
+        spark.createDataFrame(rows, "series_key string, geo_code string, occ_code string, occ_name string").select("*", F.lit("s").alias("source_key"), F.lit("d").alias("dataset"))
+    )
+    read = [("c|0", DAY(2020, 2, 1), 30.0, "PRESENT"), ("c|1", DAY(2020, 2, 1), 6.0, "PRESENT"), ("c|12", DAY(2020, 2, 1), 3.0, "PRESENT"), ("d|0", DAY(2020, 2, 1), 2.0, "PRESENT")]
+    cube = T.occupation_cube(every, metric.unionByName(spark.createDataFrame(read, metric.schema)), more, scope, "0")
+    got = {(r.national, r.state_code, r.code): r for r in cube.collect()}
+    assert {k: r.total for k, r in got.items()} == {
+        (True, None, "0"): 42.0, (True, None, "1"): 6.0, (True, None, "12"): 3.0, (False, None, "0"): 2.0,
+        (False, "S", "0"): 10.0, (False, "S", "1"): 0.0, (False, "T", "0"): 30.0, (False, "T", "1"): 6.0, (False, "T", "12"): 3.0,
+    }
+    assert got[(True, None, "0")].previous_total == 8.0 and got[(False, "S", "0")].regions_reporting == 1
+    assert {k: r.is_leaf for k, r in got.items() if k[0]} == {(True, None, "0"): True, (True, None, "1"): False, (True, None, "12"): True}
+    # A code is a leaf by the nation's list, also in a state that does not report its parts.
+    assert got[(False, "S", "1")].is_leaf is False
+    assert {(r.national_value, r.national_total) for r in got.values() if r.code == "1"} == {(6.0, 42.0)}
+    quotients = {(r.state_code, r.code): r.quotient for r in T.location_quotients(cube, "0").collect()}
+    assert quotients[("T", "1")] == (6 / 30) / (6 / 42) and set(quotients) == {("S", "1"), ("T", "1"), ("T", "12")}
+    plan = cube._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1
+
+
 def test_states_add_up_to_the_nation(spark):
     from advertide.plans.inputs import Inputs
     from advertide.plans.series import SCOPE
