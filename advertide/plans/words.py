@@ -15,6 +15,7 @@ from advertide.functions import wording as W
 from advertide.operators import merge as M
 from advertide.plans.inputs import Inputs
 from advertide.plans.registry import query
+from advertide.session import spread
 
 DRIVER_VOCABULARY = (
     W.Entry("The", "the", "TOOL", (r"\bthe\b",)),
@@ -51,7 +52,7 @@ def plain_sql(expression: str) -> str:
 
 def attachments(jobs: DataFrame, vocabulary: tuple[W.Entry, ...]) -> DataFrame:
     """One row per advertisement and vocabulary entry found in it."""
-    found = W.with_vocabulary(jobs.select("id", "title", "description", "company_name"), vocabulary)
+    found = W.with_vocabulary(spread(jobs.select("id", "title", "description", "company_name"), "id"), vocabulary)
     # Exploding outer keeps the optimizer from testing the matches once more before exploding them.
     return found.select(F.col("id").alias("job_id"), F.explode_outer("found").alias("m")).filter("m is not null").select(
         "job_id", F.col("m.key").alias("skill_key"), F.col("m.matched_text").alias("matched_text"), F.col("m.sentence").alias("sentence")
@@ -157,14 +158,14 @@ REDACTED = f"""select doc_id, text, after, length(replace(after, '{R.EMAIL_MARK}
 @query("h5_contact_redaction", f"select doc_id, after as text, removals, removals > 0 as has_contact from ({REDACTED}) r")
 def h5(t: Inputs) -> DataFrame:
     text = F.col("text")
-    return t.sql(CONTACTED).select("doc_id", R.redaction(text).alias("r"), R.has_contact(text).alias("has_contact")).select(
+    return spread(t.sql(CONTACTED), "doc_id").select("doc_id", R.redaction(text).alias("r"), R.has_contact(text).alias("has_contact")).select(
         "doc_id", "r.text", "r.removals", "has_contact"
     )
 
 
 @query("g14_redaction_sweep", f"select count(*) as examined, count(*) filter (where removals > 0) as rewritten, cast(sum(removals) as bigint) as removals from ({REDACTED}) r")
 def g14(t: Inputs) -> DataFrame:
-    return M.redaction_outcome(M.redaction_sweep(t.sql(CONTACTED), "text"))
+    return M.redaction_outcome(M.redaction_sweep(spread(t.sql(CONTACTED), "doc_id"), "text"))
 
 
 def signal_sql() -> str:
@@ -194,7 +195,7 @@ def signal_sql() -> str:
 
 def signals(t: Inputs, pack: W.SignalPack) -> DataFrame:
     found = W.signal_of("description", "description_is_excerpt", pack)
-    jobs = t.job.select("id", "description", "description_is_excerpt")
+    jobs = spread(t.job.select("id", "description", "description_is_excerpt"), "id")
     return jobs.select("id", found.alias("found"))
 
 
@@ -216,7 +217,7 @@ def h6_sponsorship(t: Inputs) -> DataFrame:
 @query("g13_reclassification_sweep", f"select id, stored.signal as old_signal, s.signal as new_signal, stored.signal <> s.signal or (s.evidence = '') <> (stored.doc_id % 11 = 1) or s.evidence <> '' as differs from {{job}} stored join ({signal_sql()}) s using (id)")
 def g13(t: Inputs) -> DataFrame:
     found = W.signal_of("description", "description_is_excerpt", DRIVER_PACK)
-    stored = t.job.select("id", "description", "description_is_excerpt", "signal", "evidence")
+    stored = spread(t.job.select("id", "description", "description_is_excerpt", "signal", "evidence"), "id")
     swept = M.reclassified(stored, found)
     return swept.select("id", F.col("signal").alias("old_signal"), "new_signal", "differs")
 

@@ -61,6 +61,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, width: int | None = None) -> DataFrame:
+    """Rows dealt by key over ``width`` tasks (the shuffle width where none is told), for work that is heavy in each row.
+
+    A text table may come in fewer splits than there are cores: a file of one row group is
+    one task however long it is. Moving the texts once costs far less than reading them for patterns.
+    """
+    return df.repartition(width or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
