@@ -200,7 +200,7 @@ def occupation_cube(
 
     One row per (state, code) and, with ``national``, one per code, by grouping sets
     over area totals. Beside each stand the total of its place (the place's row of
-    ``total_code``), the nation's total of the code, the nation's total, and whether
+    ``total_code``, ``totalled`` where it has one, if without a figure), the nation's total of the code, the nation's total, and whether
     the code is one of the finest. Windows run over these few rows, by place and by code.
     """
     by_area = area_totals(scoped_readings(series, metric, geography, scope)).withColumnRenamed("occ_code", "code")
@@ -209,6 +209,7 @@ def occupation_cube(
     )
     in_place = Window.partitionBy("national", "state_code")
     cube = cube.withColumn("place_total", F.max(F.when(F.col("code") == total_code, F.col("total"))).over(in_place))
+    cube = cube.withColumn("totalled", F.max(F.col("code") == total_code).over(in_place))
     cube = cube.withColumn("finest", finest("code", "national", "state_code"))
     nation = F.struct("total", "place_total", "finest")
     cube = cube.withColumn("nation", F.max(F.when(F.col("national"), nation)).over(Window.partitionBy("code")))
@@ -221,6 +222,7 @@ def occupation_cube(
         "previous_total",
         "regions_reporting",
         "place_total",
+        "totalled",
         F.col("nation.total").alias("national_value"),
         F.col("nation.place_total").alias("national_total"),
         F.col("nation.finest").alias("is_leaf"),
@@ -478,8 +480,8 @@ def unresolved_dimensions(series: DataFrame, source: str) -> DataFrame:
 
 
 def location_quotients(cube: DataFrame, total_code: str) -> DataFrame:
-    """Each state's occupations with how far their share departs from the nation's; places without a total row are left out."""
-    local = cube.filter(~F.col("national") & (F.col("code") != total_code) & F.col("place_total").isNotNull())
+    """Each state's occupations with how far their share departs from the nation's; states without a total row are left out."""
+    local = cube.filter(~F.col("national") & (F.col("code") != total_code) & F.col("totalled"))
     quotient = concentration(F.col("total"), F.col("place_total"), F.col("national_value"), F.col("national_total"))
     return local.withColumn("quotient", quotient)
 
