@@ -32,6 +32,25 @@ class ReleaseImport:
 RESOLVED_FIELDS = ["resolved_code", "geography_resolution", "occupation_id", "occupation_resolution"]
 
 
+def retained_readings(
+    sheets: DataFrame, layout: DataFrame, source: str, dataset: str, measure: str, retain_periods: int
+) -> DataFrame:
+    """Readings of the newest period columns, as many as hold the ``retain_periods`` newest periods with a usable cell.
+
+    Columns are taken by their headers. Where some of them hold no usable cell at all, the
+    next older ones are taken as well, twice as many each time, until enough do or no column is left.
+    """
+    headed = R.header_periods(layout).count()
+    taken = min(max(retain_periods, 0), headed)
+    while True:
+        narrowed = R.stated_rows(sheets, layout, recent_periods=taken)
+        read = stage(R.readings(narrowed, source, dataset, measure), "readings")
+        usable = read.filter(F.col("value_state").isNotNull()).select("period_start").distinct().count()
+        if usable >= retain_periods or taken >= headed:
+            return read
+        taken = min(2 * taken, headed)
+
+
 def import_release(
     sheets: DataFrame,
     stored_observations: DataFrame,
@@ -50,6 +69,11 @@ def import_release(
 ) -> ReleaseImport:
     """A release read, narrowed to the retained periods, resolved and merged.
 
+    Only the columns of retained periods are taken apart and kept. Older ones are read
+    inside their row: their figures count as seen, their faults are quarantined, and only
+    rows of a series stated more than once are taken apart whole, for repeats. A period
+    in which no sheet holds a usable cell is not one of the retained.
+
     The gate is part of ``counts``. Where it fails, ``observations`` and ``series`` are
     what was stored, so a release that changed shape never replaces good data. A
     release whose ``checksum`` a completed run of ``runs`` (source_key, dataset, status,
@@ -63,18 +87,17 @@ def import_release(
         sheets = sheets.filter(~done)
     layout = R.layouts(sheets)
     stated = R.stated_rows(sheets, layout)
-    # Four results are drawn from the readings, so the sheets are parsed once and kept.
-    read = stage(R.readings(stated, source, dataset, measure), "readings")
-    first = R.first_readings(read)
-    repeated = R.repeats(read, first)
-    problems = R.problems(stated, read, repeated)
-    observed = R.observations(first)
+    facts = stage(R.row_facts(stated, source, dataset, measure), "release-rows")
+    observed = R.observations(R.first_readings(retained_readings(sheets, layout, source, dataset, measure, retain_periods)))
+    again = R.readings(R.rows_of_repeated_series(stated, facts), source, dataset, measure)
+    repeated = stage(R.repeats(again, R.first_readings(again)).select(*R.PLACE, "label", "series_key", "value", "value_state", "agrees"), "repeats")
+    problems = R.problems(stated, R.unread_cells(facts), repeated)
 
     window = keep_recent(observed, retain_periods)
     merged = M.merge_observations(stored_observations, window)
     snapshot = M.latest_of(merged, ["series_key", "period_start"], ["value_state", "value"])
 
-    described = R.series_of(read, source, dataset, measure, unit)
+    described = R.series_of(facts, source, dataset, measure, unit)
     areas = resolve_geography(described, geography, "geography_code", "geography_name").withColumnRenamed(
         "resolution", "geography_resolution"
     )
@@ -82,7 +105,8 @@ def import_release(
         "resolution", "occupation_resolution"
     )
 
-    seen = observed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    usable = facts.agg(F.coalesce(F.sum(F.col("columns") - F.size("unread")), F.lit(0)).alias("n")).scalar()
+    seen = usable - repeated.agg(F.count(F.lit(1)).alias("n")).scalar()
     found = problems.agg(F.count(F.lit(1)).alias("n")).scalar()
     dropped = repeated.filter("agrees").agg(F.count(F.lit(1)).alias("n")).scalar()
     outcome = M.outcome(merged)

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from advertide.functions.text import code_key, four_digit_postcode, word_key
+from advertide.session import stage
 
 # Levels from the root down and the level each hangs off.
 LEVELS = ("COUNTRY", "STATE", "GCCSA", "SA4")
@@ -472,14 +473,94 @@ def inside_edges(x: Column, y: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
-def place_points(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
+# What a point and the pieces of polygons near it meet on: a cell of some level of the grid, and a share of its points.
+MEETING = ["level", "lx", "ly", "slot"]
+
+
+def dense_leaves(points: DataFrame, size: float, most: int, depth: int) -> DataFrame:
+    """How grid cells of more than ``most`` points are split: one row per occupied finest cell in them.
+
+    ``cx, cy, fx, fy, level, lx, ly, slots``: a cell is quartered until a quarter holds at most ``most``
+    points, ``depth`` times at most; ``lx, ly`` is the quarter of that ``level``. One that holds more at
+    the last level has ``slots``, shares of its points. Points are counted by finest cell first; the
+    windows then see at most ``4 ** depth`` rows of a grid cell, which meet once.
+    """
+    at = lambda axis: F.floor(F.col(axis) / (size / 2**depth))
+    up = lambda axis, level: F.shiftright(axis, depth - level)
+    counts = points.select(at("x").alias("fx"), at("y").alias("fy")).groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("cx", up("fx", 0)).withColumn("cy", up("fy", 0)).repartition("cx", "cy")
+    for level in range(depth + 1):
+        counts = counts.withColumn(f"x{level}", up("fx", level)).withColumn(f"y{level}", up("fy", level))
+        held = Window.partitionBy("cx", "cy", f"x{level}", f"y{level}")
+        counts = counts.withColumn(f"n{level}", F.sum("n").over(held))
+    leaves = [F.when(F.col(f"n{level}") <= most, F.struct(F.lit(level).alias("level"), f"x{level}", f"y{level}", f"n{level}")) for level in range(depth)]
+    last = F.struct(F.lit(depth).alias("level"), f"x{depth}", f"y{depth}", f"n{depth}")
+    named = "struct<level:int,lx:bigint,ly:bigint,held:bigint>"
+    split = counts.filter(F.col("n0") > most).withColumn("leaf", F.coalesce(*[leaf.cast(named) for leaf in [*leaves, last]]))
+    return split.select(
+        "cx", "cy", "fx", "fy", "leaf.level", "leaf.lx", "leaf.ly", F.ceil(F.col("leaf.held") / most).cast("int").alias("slots")
+    )
+
+
+def split_points(points: DataFrame, leaves: DataFrame, size: float, depth: int, salts: int = 16) -> DataFrame:
+    """Points with the cell and share they are tested in. The key that looks it up is salted, so a dense cell is several."""
+    at = lambda axis, scale: F.floor(F.col(axis) / scale)
+    fine = size / 2**depth
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    known = leaves.select("fx", "fy", spread.alias("salt"), "level", "lx", "ly", "slots")
+    keyed = points.select("point_id", "x", "y", at("x", fine).alias("fx"), at("y", fine).alias("fy"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int"))
+    found = keyed.join(known, ["fx", "fy", "salt"], "left")
+    whole = F.col("level").isNull()
+    return found.select(
+        "point_id", "x", "y",
+        F.coalesce("level", F.lit(0)).alias("level"),
+        F.when(whole, at("x", size)).otherwise(F.col("lx")).alias("lx"),
+        F.when(whole, at("y", size)).otherwise(F.col("ly")).alias("ly"),
+        F.when(whole, 0).otherwise(F.pmod(F.xxhash64("point_id", F.lit("share")), F.col("slots"))).cast("int").alias("slot"),
+    )
+
+
+def split_cells(cells: DataFrame, leaves: DataFrame, size: float) -> DataFrame:
+    """The cells of :func:`grid_cells`, those that are split in their quarters, each with the edges at its own height."""
+    quarters = leaves.select("cx", "cy", "level", "lx", "ly", "slots").distinct()
+    near = cells.join(quarters, ["cx", "cy"], "left")
+    whole = F.col("level").isNull()
+    scale = F.lit(size) / F.pow(F.lit(2.0), F.coalesce("level", F.lit(0)))
+    near = near.select(
+        "polygon_id", "edges", scale.alias("scale"),
+        F.coalesce("level", F.lit(0)).alias("level"),
+        F.when(whole, F.col("cx")).otherwise(F.col("lx")).alias("lx"),
+        F.when(whole, F.col("cy")).otherwise(F.col("ly")).alias("ly"),
+        F.coalesce("slots", F.lit(1)).alias("slots"),
+    )
+    cell = lambda v: F.floor(v / F.col("scale"))
+    low = lambda e, axis: cell(F.least(e["a"][axis], e["b"][axis]))
+    high = lambda e, axis: cell(F.greatest(e["a"][axis], e["b"][axis]))
+    beside = F.filter("edges", lambda e: (low(e, "y") <= F.col("ly")) & (high(e, "y") >= F.col("ly")))
+    near = near.withColumn("edges", beside)
+    # A point inside has an edge on either side of it at its own height.
+    left = F.array_min(F.transform("edges", lambda e: low(e, "x"))) <= F.col("lx")
+    right = F.array_max(F.transform("edges", lambda e: high(e, "x"))) >= F.col("lx")
+    slots = F.sequence(F.lit(0), F.col("slots") - 1)
+    return near.filter(left & right).select("polygon_id", "edges", "level", "lx", "ly", F.explode(slots).alias("slot"))
+
+
+def place_points(points: DataFrame, polygons: DataFrame, size: float = 1.0, most: int = 50_000, depth: int = 6) -> DataFrame:
     """The polygon each point lies in, null where it lies in none; the least id where several hold it.
 
     Points and polygons meet on a grid cell, so a point is tested only against
     polygons whose box touches its cell, and against those edges at its height.
+    Cells are counted first: one that holds more than ``most`` points is split where it is dense.
     """
     celled = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-    near = celled.join(grid_cells(polygons, size), ["cx", "cy"])
+    cells = grid_cells(polygons, size)
+    if celled.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).filter("cx is not null and cy is not null").isEmpty():
+        near = celled.join(cells, ["cx", "cy"])
+    else:
+        # Points and cells both read the split, so it is worked out once.
+        leaves = stage(dense_leaves(points.filter("x is not null and y is not null"), size, most, depth), "dense-cells")
+        near = split_points(points, leaves, size, depth).join(split_cells(cells, leaves, size), MEETING)
     held = (
         near.filter(inside_edges(F.col("x"), F.col("y"), F.col("edges")))
         .groupBy("point_id")

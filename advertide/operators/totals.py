@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advertide.functions.periods import change_struct
+from advertide.session import stage
 
 
 @dataclass(frozen=True)
@@ -356,24 +357,17 @@ def with_share_of_maximum(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("of_maximum", F.col(value) / top)
 
 
-def value_positions(values: DataFrame, value: str, slices: int = 200) -> DataFrame:
+def value_positions(values: DataFrame, value: str, slices: int | None = None) -> DataFrame:
     """Each distinct value with how many rows hold it and how many rows come before it.
 
-    Exact at any size: values are counted first, then running counts are taken
-    inside value ranges of roughly equal size, and the ranges' own totals, at
-    most ``slices`` rows, are summed last. No task sees all values.
+    Exact at any size: values are counted first and dealt in value order over ``slices`` tasks, by
+    default as many as a shuffle has (ranges are sampled; which range a value fell in is written with
+    it, so a task that runs again cannot disagree). Running counts are taken inside a range, and the
+    ranges' own totals, one row each, are summed last. No task sees all values.
     """
     counted = values.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    marks = [i / slices for i in range(1, slices)]
-    cuts = counted.agg(
-        F.array_distinct(F.percentile_approx(F.col(value).cast("double"), marks, 10 * slices)).alias("cuts")
-    ).scalar()
-    # Values up to a cut share its slice. The search is over a sorted array of fixed length.
-    sliced = (
-        counted.withColumn("cuts", cuts)
-        .withColumn("slice", F.size(F.filter("cuts", lambda cut: cut < F.col(value))))
-        .drop("cuts")
-    )
+    ranged = counted.repartitionByRange(slices, value) if slices else counted.repartitionByRange(value)
+    sliced = stage(ranged.withColumn("slice", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

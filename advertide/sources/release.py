@@ -161,13 +161,22 @@ def _prepared(layout: DataFrame) -> DataFrame:
         "sheet",
         "header_row",
         periods.alias("periods"),
+        F.get(periods, F.lit(0))["granularity"].alias("granularity"),
         F.transform(qualifiers, lambda c: F.struct(c["pos"].alias("pos"), c["label"].alias("label"))).alias("qualifiers"),
         *[_best_column(columns, role).alias(f"{role}_at") for role in ALIASES if role != "geography_level"],
     )
 
 
+def header_periods(layout: DataFrame) -> DataFrame:
+    """The periods some sheet has a column for, each once."""
+    return _prepared(layout).select(F.explode("periods.period_start").alias("period_start")).distinct()
+
+
 def _keep_newest(prepared: DataFrame, recent_periods: int | None) -> DataFrame:
-    """Drop period columns older than the newest ``recent_periods`` of all sheets."""
+    """Drop period columns older than the newest ``recent_periods`` of all sheets.
+
+    What a row says of itself, its granularity included, is that of the whole header.
+    """
     if recent_periods is None:
         return prepared
     newest = (
@@ -203,6 +212,7 @@ def stated_rows(sheets: DataFrame, layout: DataFrame, recent_periods: int | None
         "row_index",
         "cells",
         "periods",
+        "granularity",
         *[cell(f"{role}_at").alias(role) for role in ALIASES if role != "geography_level"],
         F.map_from_entries(last).alias("qualifiers"),
     )
@@ -212,14 +222,50 @@ def is_attributed() -> Column:
     return F.coalesce("geography_code", "geography_name", "occupation_code", "occupation_name").isNotNull()
 
 
-def readings(stated: DataFrame, source: str, dataset: str, measure: str) -> DataFrame:
-    """One row per period cell of an attributed row: series, period, state, value, or what could not be read."""
-    # The key is made once per row, before the row is taken apart.
-    stated = stated.filter(is_attributed()).withColumn("granularity", F.col("periods")[0]["granularity"])
+def _keyed(stated: DataFrame, source: str, dataset: str, measure: str) -> DataFrame:
+    """Attributed rows with the key of their series, made once per row, before the row is taken apart."""
     key = series_key(
         F.lit(source), F.lit(dataset), F.lit(measure), F.col("granularity"),
         F.col("geography_code"), F.col("geography_name"), F.col("occupation_code"), F.col("occupation_name"), F.col("qualifiers"),
     )
+    return stated.filter(is_attributed()).withColumn("series_key", key)
+
+
+def row_facts(stated: DataFrame, source: str, dataset: str, measure: str) -> DataFrame:
+    """One row per attributed row, not taken apart: its series, how many cells can be used, those that cannot, and
+    whether its header states a period ``twice``.
+    """
+    unread = F.transform(
+        "periods",
+        lambda p: F.struct(
+            p["pos"].alias("pos"), p["label"].alias("label"), read_value(F.get(F.col("cells"), p["pos"]))["unreadable"].alias("unreadable")
+        ),
+    )
+    return _keyed(stated, source, dataset, measure).select(
+        "series_key", "sheet", "row_index", F.lit(0).alias("pos"), "geography_code", "geography_name", "occupation_code", "occupation_name",
+        "qualifiers", "granularity", F.size("periods").alias("columns"),
+        F.filter(unread, lambda c: c["unreadable"].isNotNull()).alias("unread"),
+        (F.size(F.array_distinct("periods.period_start")) < F.size("periods")).alias("twice"),
+    )
+
+
+def unread_cells(facts: DataFrame) -> DataFrame:
+    """The cells of :func:`row_facts` that are no figure, one row each."""
+    return facts.select("series_key", "sheet", "row_index", F.inline("unread")).select(
+        "series_key", "sheet", "row_index", F.col("pos"), "label", "unreadable"
+    )
+
+
+def rows_of_repeated_series(stated: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rows that can state a period of a series again: the series has several rows, or the header the period twice."""
+    several = facts.groupBy("series_key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("any")).filter("n > 1 or any")
+    at = facts.join(several, "series_key", "left_semi").select("sheet", "row_index")
+    return stated.join(at, ["sheet", "row_index"], "left_semi")
+
+
+def readings(stated: DataFrame, source: str, dataset: str, measure: str) -> DataFrame:
+    """One row per period cell of an attributed row: series, period, state, value, or what could not be read."""
+    stated = _keyed(stated, source, dataset, measure)
     cells = F.transform(
         "periods",
         lambda p: F.struct(
@@ -230,8 +276,7 @@ def readings(stated: DataFrame, source: str, dataset: str, measure: str) -> Data
         ),
     )
     return (
-        stated.withColumn("series_key", key)
-        .select(
+        stated.select(
             "series_key", "sheet", "row_index", "geography_code", "geography_name", "occupation_code",
             "occupation_name", "qualifiers", "granularity", F.explode(cells).alias("c"),
         )

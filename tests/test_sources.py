@@ -110,6 +110,49 @@ def test_release_import_is_idempotent_and_gated(spark):
     assert sorted((r["series_key"], r["period_start"].month, r["value"], r["action"]) for r in failed.observations.collect()) == [("k", 1, 1.0, "KEPT"), ("k", 2, 2.0, "KEPT")]
 
 
+def test_only_retained_periods_are_taken_apart(spark, monkeypatch):
+    """Figures, faults and repeats of older periods count, but only readings of the retained ones are kept."""
+    areas = spark.createDataFrame([("1", "New South Wales")], "code string, name string")
+    jobs = spark.createDataFrame([("2211", "2211/v1")], "code string, occupation_id string")
+    nothing = spark.createDataFrame([], "series_key string, period_start date, value double, value_state string")
+    months = ["Jan-06", "Feb-06", "Mar-06", "Apr-06", "May-06", "Jun-06"]
+    head = ["ANZSCO Code", "State", *months]
+    # The newest column holds no figure at all; an old cell is a word; two rows state one series.
+    lines = [head] + [["2211", f"S{i}", "?" if i == 3 else "1", "2", "3", "4", "5", "?"] for i in range(40)]
+    lines += [["2211", "S0", "1", "2", "9", "4", "5", "?"], [None, None, "1", "2", "3", "4", "5", "6"]]
+    old = [["ANZSCO Code", "State", "Jan-05", "Feb-05"], ["2211", "Old", "1", "x"]]
+    kept, staged = {}, I.stage
+
+    def watched(df, name):
+        kept.setdefault(name, []).append(staged(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(I, "stage", watched)
+    done = I.import_release(sheet(spark, {"A": lines, "B": old}), nothing, areas, jobs, "src", "data", "ads", "ads", 2)
+    row = done.counts.collect()[0]
+    words = 41 + 1 + 1  # the newest column, one old cell, one of the older sheet
+    usable = 41 * 6 + 2 - words
+    repeats = {"agree": 4, "contradict": 1}
+    assert row["records_seen"] == usable - 5 + words + repeats["contradict"] + 1
+    assert row["records_quarantined"] == words + repeats["contradict"] + 1
+    assert row["records_skipped"] == repeats["agree"]
+    assert row["records_written"] == 2 * 40
+    at = lambda df: sorted({r["period_start"].month for r in df.select("period_start").collect()})
+    # One period short in the first try, so the second takes twice the columns; never all of them.
+    assert [at(df) for df in kept["readings"]] == [[5, 6], [3, 4, 5, 6]]
+    # A series without a retained figure is still described.
+    assert done.series.count() == 41
+    assert done.quarantined.count() == row["records_quarantined"]
+
+
+def test_a_sheet_of_old_periods_is_no_fault(spark):
+    """Narrowing leaves a sheet no column at all; its rows are read, its cells are not."""
+    sheets = sheet(spark, {"A": [HEADER, ["2211", "Accountants", "NSW", "x", "1", "2"]], "B": [["State", "Jan-01", "Q1 2002"], ["NSW", "1", "2"]]})
+    stated = R.stated_rows(sheets, R.layouts(sheets), recent_periods=1)
+    assert {r["sheet"]: (len(r["periods"]), r["granularity"]) for r in stated.collect()} == {"A": (1, "MONTH"), "B": (0, "MONTH")}
+    assert R.readings(stated, "s", "d", "m").count() == 1
+
+
 def test_a_completed_release_is_not_read_again(spark):
     areas = spark.createDataFrame([("1", "New South Wales")], "code string, name string")
     jobs = spark.createDataFrame([("2211", "2211/v1")], "code string, occupation_id string")
