@@ -458,6 +458,21 @@ def g22(t: Inputs) -> DataFrame:
     return release_import(t).counts.select("records_seen", "records_written", "records_skipped", "records_quarantined", "status")
 
 
+@query(
+    "g22_published_observations",
+    f"""with c as (
+    {G22}), r as ({RETAINED}),
+    s as (select k.series_key, k.period_start, m.value_state, k.value from ({STORED}) k join {{stored_metric}} m
+      on k.series_key = 'feed|advertisement-index|online-advertisements|month|g:n.' || lower(split_part(m.series_key, '|', 1)) || '|o:c.' || split_part(m.series_key, '|', 2) || '|adjustment.original' and k.period_start = m.period_start),
+    u as (select series_key, period_start, value_state, value from r union all select * from s where not exists (select 1 from r where r.series_key = s.series_key and r.period_start = s.period_start)),
+    p as (select * from u where period_start in (select distinct period_start from u order by 1 desc limit 24) and (select status from c) = 'COMPLETED'
+      union all select * from s where (select status from c) <> 'COMPLETED')
+    select series_key, strftime(period_start, '%Y-%m-%d') as period, value_state, value from p""",
+)
+def g22_published(t: Inputs) -> DataFrame:
+    return release_import(t).observations.select("series_key", F.date_format("period_start", "yyyy-MM-dd").alias("period"), "value_state", "value")
+
+
 @query(
     "g22_ledger",
     f"""with c as (
