@@ -28,7 +28,9 @@ from advertide.session import stage
 LANDING = 12
 # Documents of one flight: small enough for one task, large enough that few levels are needed.
 BLOCK = 8192
-UNIT = "key long, source string, size long, p double, unit_id long, unit_size long, unit_rows long"
+UNIT = "key long, source string, size long, p double, unit_id long, unit_mark long, unit_rows long, unit_sure long"
+# Rows of a repeated document that are numbered out of one array.
+STRETCH = 10_000
 
 
 def word_count(text) -> F.Column:
@@ -111,7 +113,7 @@ def landing(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _move(block: pd.DataFrame) -> pd.DataFrame:
     """A source's only block lands; one of several leaves its undecided to the next level."""
     last = block["slots"].iloc[0] == 1
-    block = block.sort_values(["key", "unit_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    block = block.sort_values(["key", "unit_id", "size", "unit_mark"], kind="stable", na_position="last").reset_index(drop=True)
     p, sizes = block["p"].to_numpy(dtype=float), block["size"].to_numpy(dtype=float)
     p = flight(p, sizes, LANDING if last else 2)
     block["p"] = landing(p, sizes) if last else p
@@ -119,25 +121,34 @@ def _move(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def taken_copies(sized: DataFrame, **rules) -> DataFrame:
-    """How often each document is taken: ``doc_id, source, size, rows, source_size, target, copies``.
-
-    ``sized`` has ``doc_id`` (long), ``source``, ``size`` (long). Rows alike in all three
-    are one unit of ``rows`` rows and share their fate. An empty document is taken by
-    its source's ratio like any other. Reruns agree: blocks, order and moves follow
-    from hashes of ids.
+    """How often each document is taken: ``doc_id, source, size, mark, rows, source_size, target, whole, more, copies``.
+
+    ``sized`` has ``doc_id`` (long), ``source``, ``size`` (long) and may have ``mark`` (long), which
+    tells rows apart that agree in the others. Rows alike in all are one unit of ``rows`` rows, yet
+    each row is decided: every row is taken ``whole`` times and ``more`` of them once more, ``copies``
+    in all. Of n rows with probability p, floor(n * p) are sure to be taken once more (moves between
+    equal sizes lead there); what is left over is one row's probability, and enters the flight as one
+    row of its own size. So however often a row is repeated, a source misses its target by
+    no more than single rows make out. An empty document is taken by its source's ratio like any
+    other. Reruns agree: blocks, order and moves follow from hashes of ids and marks.
     """
-    units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    if "mark" not in sized.columns:
+        sized = sized.withColumn("mark", F.lit(0).cast("long"))
+    units = sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("rows"))
     aims = targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), **rules)
     units = units.join(aims, units["source"].eqNullSafe(aims["source"])).drop(aims["source"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
-    key = F.xxhash64("doc_id", "size", F.lit("unit"))
+    due = F.col("rows") * F.col("p")
+    units = units.withColumn("sure", F.when(F.col("rows") > 1, F.floor(due + 1e-9)).otherwise(0).cast("long"))
+    units = units.withColumn("p", F.when(F.col("rows") > 1, F.greatest(due - F.col("sure"), F.lit(0.0))).otherwise(F.col("p")))
+    key = F.xxhash64("doc_id", "size", "mark", F.lit("unit"))
     pool = stage(units.withColumn("key", key), "mix-units")
 
     undecided = pool.select(
-        "key", "source", (F.col("size") * F.col("rows")).alias("size"), "p",
-        F.col("doc_id").alias("unit_id"), F.col("size").alias("unit_size"), F.col("rows").alias("unit_rows"),
-    )
+        "key", "source", "size", "p", F.col("doc_id").alias("unit_id"), F.col("mark").alias("unit_mark"),
+        F.col("rows").alias("unit_rows"), F.col("sure").alias("unit_sure"),
+    )
     settled, level = undecided.where((F.col("p") <= 0) | (F.col("p") >= 1)), 0
     undecided = undecided.where((F.col("p") > 0) & (F.col("p") < 1))
     while True:
@@ -154,37 +165,60 @@ def taken_copies(sized: DataFrame, **rules) -> DataFrame:
             break
         undecided, level = moved.where((F.col("p") > 0) & (F.col("p") < 1)), level + 1
     chosen = settled.select(
-        F.col("unit_id").alias("doc_id"), "source", F.col("unit_size").alias("size"), F.col("unit_rows").alias("rows"),
-        F.col("p").cast("long").alias("more"),
+        F.col("unit_id").alias("doc_id"), "source", "size", F.col("unit_mark").alias("mark"), F.col("unit_rows").alias("rows"),
+        (F.col("unit_sure") + F.col("p").cast("long")).alias("more"),
     )
     aims = pool.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"))
     out = chosen.join(aims, chosen["source"].eqNullSafe(aims["source"])).drop(aims["source"])
     return out.select(
-        "doc_id", "source", "size", "rows", "source_size", "target", (F.col("whole") + F.col("more")).cast("long").alias("copies")
+        "doc_id", "source", "size", "mark", "rows", "source_size", "target", F.col("whole").cast("long").alias("whole"), "more",
+        (F.col("whole") * F.col("rows") + F.col("more")).cast("long").alias("copies"),
     )
 
 
+def _mark(docs: DataFrame) -> F.Column:
+    """A hash of a row's columns, those left out that Spark does not hash (maps and variants)."""
+    hashed = [c for c in docs.columns if not any(kind in docs.schema[c].dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.xxhash64(*[docs[c] for c in hashed])
+
+
 def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), _mark(docs).alias("mark")
+    )
 
 
 def mix_report(docs: DataFrame, **rules) -> DataFrame:
     """One row a document: its words, its source's words and target, and the words the mix takes of it."""
     copies = taken_copies(_sized(docs), **rules)
-    each = copies.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    # Rows of a unit are numbered a stretch at a time, so that no array grows with its rows.
+    each = copies.withColumn("start", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"), F.lit(STRETCH).cast("long"))))
+    each = each.withColumn("row", F.explode(F.sequence("start", F.least("rows", F.col("start") + (STRETCH - 1)))))
+    taken = F.col("whole") + F.when(F.col("row") <= F.col("more"), 1).otherwise(0)
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * taken).alias("taken"))
 
 
 def mix(docs: DataFrame, **rules) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
+
+    Where only some rows of a repeated one are taken once more, the rows are written and numbered by file
+    and place in it, so that no task counts all of them.
+    """
     copies = taken_copies(_sized(docs), **rules).where("copies > 0")
-    rows = docs.select(
-        F.struct(*docs.columns).alias("doc"),
-        F.xxhash64(F.col("doc_id").cast("long"), "source", word_count(F.col("text"))).alias("unit"),
-    )
-    wanted = copies.select(
-        F.xxhash64("doc_id", "source", "size").alias("unit"), F.col("doc_id").alias("unit_id"), "copies"
-    )
-    same = (rows["unit"] == wanted["unit"]) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("unit_id"))
-    each = rows.join(wanted, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc.*")
+    # A hash and the id together: texts of different ids are never taken for one another.
+    unit = lambda doc_id, *rest: F.struct(F.xxhash64(doc_id, *rest).alias("hash"), F.col(doc_id).alias("id")).alias("unit")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("_id"), _mark(docs).alias("_mark"))
+    rows = rows.select("doc", unit("_id", "doc.source", word_count(F.col("doc.text")), "_mark"))
+    wanted = copies.select(unit("doc_id", "source", "size", "mark"), "rows", "whole", "more")
+    each = rows.join(wanted, "unit")
+    some = (F.col("more") > 0) & (F.col("more") < F.col("rows"))
+    alike = each.where(~some).select("doc", (F.col("whole") + (F.col("more") > 0).cast("long")).alias("copies"))
+    told = stage(each.where(some), "mix-repeated").select("*", "_metadata.file_path", "_metadata.row_index")
+    held = told.groupBy("unit", "file_path").agg(F.count("*").alias("held"))
+    earlier = Window.partitionBy("unit").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("unit", "file_path", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("unit", "file_path").orderBy("row_index"))
+    placed = told.withColumn("inside", inside).join(held, ["unit", "file_path"])
+    again = (F.col("before") + F.col("inside") <= F.col("more")).cast("long")
+    every = alike.unionByName(placed.select("doc", (F.col("whole") + again).alias("copies")))
+    return every.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc.*")

@@ -183,6 +183,34 @@ def test_flight_keeps_totals():
     assert set(done) <= {0.0, 1.0} and abs(done @ sizes - p @ sizes) < 5
 
 
+def test_repeated_rows_are_decided_one_by_one(spark):
+    """One row repeated 1,000 times and rows without an id: every source lands within its largest document."""
+    texts = [(i, "a", "w " * (20 + i % 37)) for i in range(120)] + [(7000, "b", "w " * 33)] * 1000
+    texts += [(7001 + i, "b", "w " * (5 + i % 11)) for i in range(60)] + [(None, "c", "w " * (9 + i % 5)) for i in range(300)]
+    docs = spark.createDataFrame([(*row, {"n": i}) for i, row in enumerate(texts)], "doc_id int, source string, text string, extra map<string,int>")
+    rows = mixing.mix_report(docs, weights=(2, 3, 1), share=1.3).collect()
+    assert len(rows) == len(texts)
+    targets = {r.source_size: r.target for r in rows}
+    for source in "abc":
+        own = [len(t.split()) for _, s, t in texts if s == source]
+        got = sum(r.taken for r in rows if r.source_size == sum(own))
+        assert abs(got - targets[sum(own)]) <= max(own)
+    assert all(r.taken <= 2 * r["size"] for r in rows)
+    mixed = mixing.mix(docs, weights=(2, 3, 1), share=1.3)
+    assert mixed.columns == docs.columns
+    count = lambda pairs: sorted((k or -1, n) for k, n in pairs)
+    words = mixed.groupBy("doc_id").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    want = {}
+    for r in rows:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert count(words) == count((k, n) for k, n in want.items() if n)
+    # Every row stays or is taken twice at most, also where rows are alike but for a column Spark does not hash.
+    assert {r["count"] for r in mixed.groupBy(F.col("extra")["n"]).count().collect()} <= {1, 2}
+    assert [tuple(r) for r in mixing.mix_report(docs, weights=(2, 3, 1), share=1.3).orderBy("doc_id", "size", "taken").collect()] == sorted(
+        (tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[4])
+    )
+
+
 def test_mix_of_odd_rows(odd, none):
     assert len(mixing.mix_report(odd).collect()) == len(ODD)
     mixed = mixing.mix(odd)
