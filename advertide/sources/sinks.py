@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advertide.functions.text import csv_field
 
+# Rows alike that are numbered out of one array.
+STRETCH = 10_000
+
 
 @dataclass(frozen=True)
 class Provenance:
@@ -95,10 +98,14 @@ def json_lines(rows: DataFrame, columns: dict[str, str], provenance: Provenance,
     spark = rows.sparkSession
     shown = F.to_json(F.struct(*[F.col(key) for key in columns]), {"ignoreNullFields": "false"})
     body = rows.select(F.struct(*order).alias("place"), shown.alias("text"))
-    first = body.agg(F.min("place").alias("p")).scalar()
-    # One of the rows at the least place goes without a comma and before all others; equal places are settled by text.
-    least = body.where(F.col("place").eqNullSafe(first)).withColumn("nth", F.row_number().over(Window.orderBy("text")))
-    others = body.where(~F.col("place").eqNullSafe(first)).withColumn("nth", F.lit(2))
+    # The least row goes without a comma and before all others; equal places are settled by text. Rows
+    # alike in both are counted and told apart by number, so however many share the least place, no task orders them.
+    first = body.agg(F.min(F.struct("place", "text")).alias("p")).scalar()
+    is_least = F.struct("place", "text").eqNullSafe(first)
+    alike = body.where(is_least).groupBy("place", "text").agg(F.count(F.lit(1)).alias("n"))
+    least = alike.withColumn("start", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(STRETCH).cast("long"))))
+    least = least.select("place", "text", F.explode(F.sequence("start", F.least("n", F.col("start") + (STRETCH - 1)))).alias("nth"))
+    others = body.where(~is_least).withColumn("nth", F.lit(2).cast("long"))
     opens = F.col("nth") == 1
     lines = least.unionByName(others).select(
         F.lit(1).alias("part"), F.when(opens, 0).otherwise(1).alias("seat"), "place",

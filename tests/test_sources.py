@@ -266,6 +266,19 @@ def test_csv_export(spark):
     assert text.startswith("# Title\r\n#\r\n# Publisher: Pub\r\n") and "# Reference period: 2024-05\r\n" in text
 
 
+def test_json_export_of_rows_at_one_place(spark, monkeypatch):
+    """Every row is at the least place and most are alike: one document with all of them, nothing numbered in one task."""
+    monkeypatch.setattr(K, "STRETCH", 3)
+    rows = spark.createDataFrame([(1, "a")] * 10 + [(1, "b"), (1, None)], "id int, name string")
+    lines = K.json_lines(rows, {"id": "Id", "name": "Name"}, ABOUT, [F.col("id")])
+    assert "Window" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    told = [r["line"] for r in lines.sort("part", "seat", "place").collect()]
+    names = [r["name"] for r in json.loads("".join(told))["rows"]]
+    assert sorted(names, key=str) == [None] + ["a"] * 10 + ["b"]
+    nothing = K.json_lines(rows.limit(0), {"id": "Id", "name": "Name"}, ABOUT, [F.col("id")]).sort("part", "seat", "place").collect()
+    assert json.loads("".join(r["line"] for r in nothing))["rows"] == []
+
+
 def test_json_export_is_one_document(spark):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/out"
     rows = spark.range(50).select(F.col("id"), F.when(F.col("id") % 2 == 0, "x").alias("name")).repartition(8)
