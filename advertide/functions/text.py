@@ -87,7 +87,8 @@ def occurrences(text: Column, pattern: str) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of blanks become one space; none at either end."""
-    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
+    # One space between two words is what it shall be, and most characters are no blank by the first range asked.
+    return F.trim(F.regexp_replace(text, rf"(?! [!-~])[[^!-~]&&[{BLANK}]]+", " "))
 
 
 def strip(text: Column) -> Column:
@@ -244,7 +245,8 @@ def quote(text: Column, first: Column, last: Column, start: Column, end: Column)
 
 def sentence_at(text: Column, start: Column, end: Column) -> Column:
     """The sentence round a match at 0-based [start, end)."""
-    return quote(text, sentence_from(text, start), sentence_to(text, end), start, end)
+    bounds = F.struct(sentence_from(text, start).alias("first"), sentence_to(text, end).alias("last"))
+    return let(bounds, lambda b: quote(text, b["first"], b["last"], start, end))
 
 
 def four_digit_postcode(raw: Column) -> Column:

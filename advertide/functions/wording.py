@@ -329,20 +329,30 @@ SKILLS = (
 )
 
 
+def _first_match(dark: Column, pattern: str) -> Column:
+    """struct(start, length) of the first match of a pattern that the text holds.
+
+    The match is looked for as it stands: behind a reluctant prefix every place before it costs many times as much.
+    """
+    flags, body = split_flags(pattern)
+    # An empty match at the front leaves no piece before it, so empty ones are placed by their prefix.
+    prefix = F.regexp_extract(dark, f"{flags}^([\\s\\S]*?)({body})", 1)
+    return let(
+        F.length(F.regexp_extract(dark, pattern, 0)),
+        lambda length: F.struct(
+            F.length(F.when(length == 0, prefix).otherwise(F.split(dark, pattern, 2)[0])).alias("start"),
+            length.alias("length"),
+        ),
+    )
+
+
 def earliest_match(dark: Column, entry: Entry) -> Column:
     """struct(start, order, end) of the first match of an entry, null when absent."""
-    hits = []
-    for order, pattern in enumerate(entry.patterns):
-        flags, body = split_flags(pattern)
-        anchored = f"{flags}^([\\s\\S]*?)({body})"
-        start = F.length(F.regexp_extract(dark, anchored, 1))
-        length = F.length(F.regexp_extract(dark, anchored, 2))
-        hits.append(
-            F.when(
-                dark.rlike(pattern),
-                F.struct(start.alias("start"), F.lit(order).alias("order"), (start + length).alias("end")),
-            )
-        )
+
+    def placed(order: int):
+        return lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), (m["start"] + m["length"]).alias("end"))
+
+    hits = [F.when(dark.rlike(pattern), let(_first_match(dark, pattern), placed(order))) for order, pattern in enumerate(entry.patterns)]
     return F.array_min(F.array(*hits))
 
 
