@@ -74,11 +74,20 @@ LISTING_KEYS = ["source_key", "source_id"]
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row of each key that is last by ``order``; among equals the greatest content hash, so reruns agree."""
+    """The row of each key that is last by ``order``; among equals the greatest content hash, so reruns agree.
+
+    The hash is picked beside the rest of the row, by the same order and so from the same
+    row: who only asks what changed moves and sorts no text.
+    """
     rest = [c for c in df.columns if c not in keys]
-    place = F.struct(*order, *[c for c in ("content_hash",) if c in rest])
-    kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("row"))
-    return kept.select(*keys, *[F.col("row")[c].alias(c) for c in rest])
+    hashes = [c for c in ("content_hash",) if c in rest]
+    place = F.struct(*order, *hashes)
+    fields = [c for c in rest if c not in hashes]
+    picked = [F.max_by(F.col(c), place).alias(c) for c in hashes]
+    if fields:
+        picked.append(F.max_by(F.struct(*fields), place).alias("row"))
+    kept = df.groupBy(*keys).agg(*picked)
+    return kept.select(*keys, *[F.col(c) if c in hashes else F.col("row")[c].alias(c) for c in rest])
 
 
 def listing_changes(
